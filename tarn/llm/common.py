@@ -48,3 +48,12 @@ def fold(column: str, of: int, seed: str = "") -> Column:
     """The remainder of the CRC-32 of a key's text by ``of``; a null key has remainder 0."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.crc32(F.encode(F.concat(F.lit(seed), text) if seed else text, "UTF-8")) % F.lit(of)
+
+
+#: Rows of a table of a few numbers that are broadcast at most, some 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has been counted to be small; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

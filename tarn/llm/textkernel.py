@@ -83,8 +83,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = last
 
 
-def split(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    solid = ~_SPACE[buf]
+def split(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
+    """Words between the bytes that ``space`` marks."""
+    solid = ~space[buf]
     first, last = solid.copy(), solid.copy()
     if len(buf):
         first[1:] &= ~solid[:-1]
@@ -215,6 +216,11 @@ def rule_counts(w: Words) -> dict[str, np.ndarray]:
 
 def text_shape(w: Words) -> dict[str, np.ndarray]:
     """Rates of a text's characters, words and lines; every rate of an empty text is 0."""
+    return shape_and_counts(w)[0]
+
+
+def shape_and_counts(w: Words) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """``text_shape`` and the ``rule_counts`` it is made from."""
     c = rule_counts(w)
     n_words, n_bytes = np.maximum(c["n_words"], 1), np.maximum(np.diff(w.offsets), 1)
     by_byte = {k: _of_class(lut, w.buf, w.offsets) for k, lut in (("upper", _UPPER), ("lower", _LOWER), ("digit", _DIGIT), ("high", _HIGH), ("punct", _PUNCT))}
@@ -223,7 +229,7 @@ def text_shape(w: Words) -> dict[str, np.ndarray]:
     _, at = distinct(h, w.doc, len(w.offsets) - 1)
     lengths = (w.ends - w.starts).astype(np.float64)
     mean = per_text(lengths, w.bounds) / n_words
-    return {
+    shape = {
         "log_words": np.log1p(c["n_words"]),
         "mean_word": mean,
         "symbol_rate": c["n_symbols"] / n_words,
@@ -236,19 +242,33 @@ def text_shape(w: Words) -> dict[str, np.ndarray]:
         "words_per_line": np.log1p(c["n_words"] / np.maximum(c["n_lines"], 1)),
         "long_word_rate": per_text((lengths > 14).astype(np.float64), w.bounds) / n_words,
     }
+    return shape, c
 
 
 def over_texts(df: DataFrame, keep: list[str], text: str, fields: str, made: Callable[[np.ndarray, np.ndarray], list]) -> DataFrame:
     """``keep`` columns of each row and the ``fields`` that ``made(bytes, offsets)`` gives for its text."""
     schema = T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
+    read = keep if text in keep else [*keep, text]
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offsets in slices(batch.column(len(keep))):
+            for lo, hi, buf, offsets in slices(batch.column(read.index(text))):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + [x if isinstance(x, pa.Array) else pa.array(x) for x in made(buf, offsets)], names=schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in read)).mapInArrow(run, schema)
+
+
+def filter_texts(df: DataFrame, text: str, kept: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows for whose text ``kept(bytes, offsets)`` holds, with all columns."""
+    place = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch.column(place)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(kept(buf, offsets)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
