@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
-from tarn.llm.common import cut, table
+from tarn.llm.common import cut, sized, table
 from tarn.llm.components import components
+from tarn.llm.units import dealt, roots, runs, together
 
 #: SLOTS minima of BITS bits each; CHUNKS chunks of SLOTS // CHUNKS slots. Two signatures that
 #: differ in at most MAX_ERRORS slots have, by pigeonhole, a chunk with at most ERRORS errors.
@@ -18,6 +18,8 @@ from tarn.llm.components import components
 #: differs in more than MAX_ERRORS of 60 slots about once in 3,000 times.
 SLOTS, CHUNKS, BITS, ERRORS = 60, 12, 16, 1
 MAX_ERRORS = CHUNKS * (ERRORS + 1) - 1
+#: Sets of a block that are compared with another's at once, and rows of a bucket in one unit.
+SET_BLOCK, BUCKET_BLOCK = 256, 1024
 #: Bits of a slot that go into the bit planes that bound the distance from below.
 PLANES = 4
 
@@ -77,11 +79,69 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed(id_col, "id")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity."""
-    held = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def _near_blocks(batches):
+    """Pairs of different blocks of which two members of a bucket may be within the distance."""
+    for unit in runs(batches, 3):
+        block, side = unit.column("block").to_numpy(), unit.column("side").to_numpy()
+        inside = unit.column("i")[0] == unit.column("j")[0]
+        a, b = (np.arange(len(block)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(a) or not len(b):
+            continue
+        differ = np.zeros((len(a), len(b)), dtype=np.uint64)
+        for p in range(PLANES):
+            plane = unit.column(f"p{p}").to_numpy().view(np.uint64)
+            differ |= plane[a][:, None] ^ plane[b][None, :]
+        x, y = np.nonzero((np.bitwise_count(differ) <= MAX_ERRORS) & (block[a][:, None] != block[b][None, :]))
+        pairs = np.unique(np.stack([np.minimum(block[a[x]], block[b[y]]), np.maximum(block[a[x]], block[b[y]])], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by products of 0-1 matrices."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def places(flat, sets):
+        at = np.searchsorted(both, flat)
+        held = both[np.minimum(at, len(both) - 1)] == flat
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], owner[held][order]
+
+    if len(both):
+        (at_a, of_a), (at_b, of_b) = places(flat_a, a), places(flat_b, b)
+        for low in range(0, len(both), 4096):
+            parts = []
+            for at, of, n in ((at_a, of_a, len(a)), (at_b, of_b, len(b))):
+                one, two = np.searchsorted(at, [low, low + 4096])
+                m = np.zeros((n, min(4096, len(both) - low)), dtype=np.float32)
+                m[of[one:two], at[one:two] - low] = 1
+                parts.append(m)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def _linked(percent: int):
+    def run(batches):
+        for unit in runs(batches, 2):
+            ids, side = unit.column("rep").to_numpy(), unit.column("side").to_numpy()
+            held = unit.column("shingles").combine_chunks()
+            at, values = held.offsets.to_numpy(), held.values.to_numpy()
+            sets = [values[at[k] : at[k + 1]] for k in range(len(ids))]
+            inside = unit.column("a")[0] == unit.column("b")[0]
+            a, b = (np.arange(len(ids)),) * 2 if inside else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if len(ids) < 2 or not len(a) or not len(b):
+                continue
+            size = np.array([len(s) for s in sets], dtype=np.float64)
+            common = _common([sets[k] for k in a], [sets[k] for k in b]).astype(np.float64)
+            linked = np.zeros((len(ids), len(ids)), dtype=bool)
+            linked[np.ix_(a, b)] = 100 * common >= percent * (size[a][:, None] + size[b][None, :] - common)
+            root = roots(ids, linked | linked.T)
+            moved = np.flatnonzero(root != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(root[moved])], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -93,11 +153,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one representative, so copies cost one row each. Representatives meet in
     buckets of equal chunk keys: the multi-index join, which holds every pair whose signatures
-    differ in at most MAX_ERRORS slots. In each bucket all members are first compared with its
-    smallest one; after these links are merged, the pairs of a bucket that are still in different
-    components (and whose bit planes allow the distance) are compared too, so no pair of a
-    bucket is skipped unless it is connected already and no group of copies makes all its pairs.
-    Every link is confirmed on full shingle sets.
+    differ in at most MAX_ERRORS slots. Members of related buckets are dealt to blocks of about
+    SET_BLOCK sets; two blocks are compared if a bucket holds a pair of their members whose bit
+    planes allow the distance. Comparing blocks takes the exact intersections of all their full
+    shingle sets, as products of 0-1 matrices, and returns a spanning forest of the links: no
+    group of near copies makes a row per pair, and no pair within the distance is left out.
 
     Null and word-less texts have no shingles and stand alone. Rows with a null id have a null
     component and are kept; rows that repeat an id are one document. Other columns are ignored.
@@ -106,31 +166,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = table(signatures(docs, id_col, text_col, width))
     planes = [f"p{p}" for p in range(PLANES)]
     same = ["n_shingles", "s1", "s2"]
-    reps = sigs.where("n_shingles > 0 and id is not null").groupBy(same).agg(F.min("id").alias("rep"))
-    bucketed = sigs.where("n_shingles > 0 and id is not null").join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi")
-    keyed = bucketed.select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    buckets = cut(keyed.join(hubs.select("key", "hub"), "key").distinct())
-    stars = cut(buckets.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-
-    met = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("rep"))
+    filled = sigs.where("n_shingles > 0 and id is not null")
+    reps = filled.groupBy(same).agg(F.min("id").alias("rep"))
+    keyed = filled.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n")).where("hub < last")
+    buckets = cut(keyed.join(hubs.select("key", "hub", "n"), "key"))
+
+    labels = buckets.groupBy("rep").agg(F.min("hub").alias("label"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / SET_BLOCK))
+    placed = cut(labels.join(sizes, "label").select("rep", F.xxhash64("label", part).alias("block")))
+
+    members = buckets.join(placed, "rep")
+    mixed = members.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
+    shown = placed.select("rep").join(sigs.select(F.col("id").alias("rep"), *planes).dropDuplicates(["rep"]), "rep")
+    units = dealt(members.join(mixed, "key", "left_semi").join(shown, "rep").select("key", "n", "rep", "block", *planes), ["key"], "rep", "n", BUCKET_BLOCK)
+    near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"]).mapInArrow(_near_blocks, "a long, b long")
+    pairs = cut(near.unionByName(placed.select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct())
 
     def made(buf, offsets):
         return [tk.lists(*_sets(buf, offsets, width))]
 
-    texts = docs.join(met.withColumnRenamed("rep", id_col), id_col, "left_semi").dropDuplicates([id_col])
-    sets = table(tk.over_texts(texts, [id_col], text_col, "shingles array<long>", made).withColumnRenamed(id_col, "rep"))
-    links = cut(_verified(stars, sets, percent))
-
-    merged = components(links)
-    labelled = buckets.join(merged.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = labelled.where("rep != hub").join(mixed, "key", "left_semi").join(sigs.select(F.col("id").alias("rep"), *planes).dropDuplicates(["rep"]), "rep")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", *planes))) for side in "xy")
-    differ = reduce(lambda m, p: m.bitwiseOR(p), (F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y")) for p in planes))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.bit_count(differ) <= MAX_ERRORS))
-    more = _verified(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), sets, percent)
-    whole = components(links.unionByName(more))
+    chosen = sized(placed.select(F.col("rep").alias(id_col)))
+    texts = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    sets = tk.over_texts(texts, [id_col], text_col, "shingles array<long>", made).withColumnRenamed(id_col, "rep").join(placed, "rep")
+    sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
+    links = together(sides.join(sets, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(_linked(percent), "a long, b long")
+    whole = components(links)
 
     classes = reps.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", *same).join(classes, same, "left").select(
