@@ -15,9 +15,11 @@ from tarn.llm.labelled import ROWS_PER_CLASS, sample, texts_of
 
 #: A word is predicted from its first bytes, these from fewer: the orders of the models.
 PREFIXES = (4, 6)
-DISCOUNT = 0.75
+DISCOUNT = 0.1
 #: An entry seen less often in the sample's texts is unseen: only its shared backoff remains.
 LEAST_COUNT = 2
+#: The part of a toxic text's words that the toxic model writes; the ordinary one writes the rest.
+TOXIC_SHARE = 0.003
 #: What a text's log-likelihood difference is divided by: its tokens to this power.
 LENGTH_POWER = 0.5
 THRESHOLD = 0.5
@@ -67,30 +69,34 @@ def _counts(batches_of: DataFrame) -> DataFrame:
 
 
 def _fit(counts) -> tuple[np.ndarray, ...]:
-    """Interpolated Kneser-Ney of both classes; the lower distribution of a history is shared."""
+    """Interpolated Kneser-Ney of both classes; the lower distribution of a history is shared.
+
+    Counts are first scaled to the smaller class's total. So an expression that is rare in the
+    sample falls below the discount of both classes, and its shared backoff cancels out.
+    """
     entries, gains, histories, unseen = [], [], [], []
+    words = counts[counts["level"] == len(PREFIXES)][["n0", "n1"]].to_numpy().sum(axis=0).astype(float)
+    scale = words.min() / np.maximum(words, 1)
     for level in range(len(PREFIXES) + 1):
         part = counts[counts["level"] == level]
         history, entry = part["history"].to_numpy().view(np.uint64), part["entry"].to_numpy().view(np.uint64)
-        n = part[["n0", "n1"]].to_numpy().astype(float)
+        n = part[["n0", "n1"]].to_numpy().astype(float) * scale
         if not len(n):
             continue
         keys, back = np.unique(history, return_inverse=True)
         total = np.stack([np.bincount(back, n[:, c]) for c in (0, 1)], axis=1)
-        kinds = np.stack([np.bincount(back, n[:, c] > 0) for c in (0, 1)], axis=1)
-        # shared backoff: how many classes and occurrences, discounted, an entry has after its history
-        pooled = n.sum(axis=1) - DISCOUNT
-        pool = np.bincount(back, pooled)
-        left = np.bincount(back, np.full(len(n), DISCOUNT))
-        share = pooled / (pool + left)[back]
-        missing = left / (pool + left)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(total > 0, (DISCOUNT * kinds) / np.maximum(total, 1), 1.0)
-        p = np.maximum(n - DISCOUNT, 0) / np.maximum(total[back], 1) + weight[back] * share[:, None]
+        cut_off = np.stack([np.bincount(back, np.minimum(n[:, c], DISCOUNT)) for c in (0, 1)], axis=1)
+        # shared backoff: pooled counts less a discount, which is left for what the sample lacks
+        pooled = n.sum(axis=1)
+        taken = np.minimum(pooled, DISCOUNT) / 2
+        pool, left = np.bincount(back, pooled), np.bincount(back, taken)
+        share, missing = (pooled - taken) / np.maximum(pool, 1e-9)[back], left / np.maximum(pool, 1e-9)
+        weight = np.where(total > 0, cut_off / np.maximum(total, 1e-9), 1.0)
+        p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1e-9)[back] + weight[back] * share[:, None] + 1e-12
         entries.append(entry)
         gains.append(np.log(p[:, 1]) - np.log(p[:, 0]))
         histories.append(keys)
-        miss = weight * missing[:, None]
+        miss = weight * missing[:, None] + 1e-12
         unseen.append(np.where((total > 0).all(axis=1), np.log(miss[:, 1]) - np.log(miss[:, 0]), 0.0))
     if not entries:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), 0.0
@@ -109,7 +115,11 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
 
 
 def differences(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum over a text's words of the difference of log-likelihoods, its words)."""
+    """(sum over a text's words of the difference of log-likelihoods, its words).
+
+    Most words of a toxic text are ordinary: each is the toxic model's with probability
+    TOXIC_SHARE, so that a word can speak against toxicity only a little.
+    """
     w, orders = _entries(buf, offsets)
     words, back = np.unique(orders[-1], return_inverse=True)
     first = np.zeros(len(words), dtype=np.int64)
@@ -122,6 +132,7 @@ def differences(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
         if lost.any():
             gain[lost] += _look(model.histories, model.unseen, orders[k - 1][first[lost]])[0] if k else model.root_unseen
         known &= hit
+    gain = np.log1p(TOXIC_SHARE * np.expm1(np.minimum(gain, 30)))
     return tk.per_text(gain[back], w.bounds), w.counts
 
 
