@@ -21,7 +21,7 @@ LEAST_COUNT = 2
 #: The part of a toxic text's words that the toxic model writes; the ordinary one writes the rest.
 TOXIC_SHARE = 0.003
 #: What a text's log-likelihood difference is divided by: its tokens to this power.
-LENGTH_POWER = 0.5
+LENGTH_POWER, SCALE = 0.5, 100.0
 THRESHOLD = 0.5
 
 
@@ -137,8 +137,9 @@ def differences(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
 
 
 def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    n = np.maximum(words, 1)
-    return np.stack([np.ones(len(n)), total / n**LENGTH_POWER, total / n, np.log1p(words)], axis=1)
+    """The length-normalised difference, on a log scale above 0, and the length."""
+    normalised = np.maximum(total, 0) / np.maximum(words, 1) ** LENGTH_POWER
+    return np.stack([np.ones(len(words)), np.log1p(SCALE * normalised), np.log1p(words)], axis=1)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     texts = texts_of(docs, chosen, id_col, text_col)
     counts = _counts(texts.where(fold(id_col, 5) != 4)).toPandas()
     table = _fit(counts)
-    model = Model(*table, np.array([-30.0, 0, 0, 0]))
+    model = Model(*table, np.array([-30.0, 0, 0]))
 
     def made(buf, offsets):
         return list(differences(model, buf, offsets))
