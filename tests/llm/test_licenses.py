@@ -29,6 +29,12 @@ def best(template, doc):
     return top[1]
 
 
+def share_a_run(a, b, n=licenses.GRAM + licenses.WINDOW - 1):
+    """Whether two word lists have ``n`` equal words in a row, for which a fingerprint is sure."""
+    runs = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
+    return any(tuple(b[i : i + n]) in runs for i in range(len(b) - n + 1))
+
+
 def test_matches_full_alignment(spark):
     mit = NOTICES["MIT", "text"]
     texts = [
@@ -54,7 +60,8 @@ def test_matches_full_alignment(spark):
         full = {k: best(words(t), words(text)) for k, t in NOTICES.items()}
         passing = {k for k, m in full.items() if 100 * m >= licenses.COVERAGE * len(words(NOTICES[k]))}
         reported = {(r["license_id"], r["template"]) for r in found.get(i, [])}
-        assert reported <= passing and bool(reported) == bool(passing)
+        sure = {k for k in passing if share_a_run(words(NOTICES[k]), words(text))}
+        assert reported <= passing and bool(reported) >= bool(sure)
         assert all(r["matched"] == full[r["license_id"], r["template"]] for r in found.get(i, []))
     assert len(found[9]) == 30 and [r["license_id"] for r in found[3]] == ["Apache-2.0", "CC-BY-NC-4.0"]
     assert {(r["license_id"], r["template"]) for r in found[7]} == {("Apache-2.0", "header")}
