@@ -15,16 +15,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import table
-
 BLOCK_BYTES = 16 << 20
 #: Parts of every dictionary. At a billion distinct pieces a shard has a million.
-SHARDS = 1024
+SHARDS = 512
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -68,54 +67,50 @@ Cutter = Callable[[pa.Array, pa.RecordBatch], tuple[np.ndarray, np.ndarray, list
 
 
 def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFrame:
-    """Rows of texts (shard null) and rows of dictionary shards, written to the shared folder.
+    """Rows of texts, rows of blocks and rows of dictionary shards, told apart by ``key``.
 
-    A text's row: block, place (its row in the block), ``keep`` columns, n, positions. A shard's
-    row: block, shard, pieces, places, counts.
+    A text's row: key (its block), place (its row in the block), n, ``keep`` columns. A block's
+    row: key, positions of all its texts. A shard's row: key (-1 - shard), block, pieces, places,
+    counts. The number of a block comes from its partition and from its dictionary, so texts
+    never meet the dictionary of other texts, even if a lost partition is read in another order.
     """
-    own = T.StructType.fromDDL("block long, place int, shard int, n long, positions binary, pieces binary, places binary, counts binary")
+    own = T.StructType.fromDDL("key long, block long, place int, n long, positions binary, pieces binary, places binary, counts binary")
     schema = T.StructType(own.fields + [df.schema[k] for k in keep])
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        serial = 0
+        arrow = _Arrow(schema)
+        serial = TaskContext.get().partitionId() << 24
         for batch in batches:
-            texts = batch.column(len(keep))
-            if texts.null_count:
-                texts = texts.fill_null("")
-            at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if pa.types.is_string(texts.type) else np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            texts = batch.column(len(keep)).fill_null("").cast(pa.large_string())
+            at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
             row = 0
             while row < len(texts):
                 last = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK_BYTES, side="right")) - 1)
                 part = batch.slice(row, last - row)
-                yield from emit((task << 32) | serial, part, cutter(part.column(len(keep)).fill_null(""), part))
+                yield from emit(arrow, serial, part, cutter(texts.slice(row, last - row), part))
                 row, serial = last, serial + 1
 
-    def emit(block, part, made):
+    def emit(arrow, serial, part, made):
         positions, bounds, pieces, counts = made
+        block = xxhash.xxh64_intdigest(b"\0".join(pieces), serial & 0xFFFFFFFFFFFFFFFF) >> 1
         n = part.num_rows
-        packed = [pack_numbers(positions[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        arrow = _Arrow(schema)
-        empty = {f.name: pa.nulls(n, f.type) for f in arrow.fields}
-        yield arrow.batch(empty | {"block": pa.array([block] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "n": pa.array(np.diff(bounds), pa.int64()), "positions": pa.array(packed, pa.binary())} | {k: part.column(i) for i, k in enumerate(keep)})
+        yield arrow.batch(n, {"key": pa.array([block] * n), "place": pa.array(range(n)), "n": pa.array(np.diff(bounds))} | {k: part.column(i) for i, k in enumerate(keep)})
+        yield arrow.batch(1, {"key": pa.array([block]), "positions": pa.array([pack_numbers(positions)], pa.binary())})
         shard = np.fromiter((zlib.crc32(p) for p in pieces), dtype=np.uint32, count=len(pieces)) % SHARDS
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
         full = [(s, order[edges[s] : edges[s + 1]]) for s in range(SHARDS) if edges[s] < edges[s + 1]]
-        n = len(full)
-        empty = {f.name: pa.nulls(n, f.type) for f in arrow.fields}
-        yield arrow.batch(
-            empty
-            | {
-                "block": pa.array([block] * n, pa.int64()),
-                "shard": pa.array([s for s, _ in full], pa.int32()),
-                "pieces": pa.array([pack_pieces([pieces[i] for i in of.tolist()]) for _, of in full], pa.binary()),
-                "places": pa.array([pack_numbers(np.diff(of, prepend=0)) for _, of in full], pa.binary()),
-            }
-            | ({"counts": pa.array([pack_numbers(counts[of]) for _, of in full], pa.binary())} if counts is not None else {})
-        )
-
-    return table(df.select(*keep, text).mapInArrow(run, schema))
+        columns = {
+            "key": pa.array([-1 - s for s, _ in full], pa.int64()),
+            "block": pa.array([block] * len(full), pa.int64()),
+            "pieces": pa.array([pack_pieces([pieces[i] for i in of.tolist()]) for _, of in full], pa.binary()),
+            "places": pa.array([pack_numbers(np.diff(of, prepend=0)) for _, of in full], pa.binary()),
+        }
+        if counts is not None:
+            columns["counts"] = pa.array([pack_numbers(counts[of]) for _, of in full], pa.binary())
+        yield arrow.batch(len(full), columns)
+
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 class _Arrow:
@@ -125,37 +120,42 @@ class _Arrow:
         self.schema = to_arrow_schema(schema)
         self.fields = list(self.schema)
 
-    def batch(self, columns: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in self.fields], names=self.schema.names)
+    def batch(self, rows: int, columns: dict) -> pa.RecordBatch:
+        """Columns that are not given are null."""
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in self.fields], names=self.schema.names)
 
 
 def dictionary_rows(blocks: DataFrame) -> DataFrame:
-    return blocks.where(F.col("shard").isNotNull()).select("block", "shard", "pieces", "places", "counts")
-
-
-def text_rows(blocks: DataFrame, keep: list[str]) -> DataFrame:
-    return blocks.where(F.col("shard").isNull()).select("block", "place", "n", "positions", *keep)
+    return blocks.where("key < 0").select("key", "block", "pieces", "places", "counts")
 
 
 def by_shard(rows: DataFrame, *then: str) -> DataFrame:
     """Rows of a shard in one task, one shard after another."""
-    return rows.repartition("shard").sortWithinPartitions("shard", *then)
+    return rows.repartition("key").sortWithinPartitions("key", *then)
 
 
-def reassembled(texts: DataFrame, parts: DataFrame, keep: list[str], fields: str, made: Callable) -> DataFrame:
-    """``keep`` columns and ``fields`` of each text, from its block's texts and returned parts.
+def reassembled(rows: DataFrame, parts: DataFrame, keep: list[str], fields: str, made: Callable) -> DataFrame:
+    """``keep`` columns and ``fields`` of each text, from the rows of its block and its returned parts.
 
     ``made(part rows, position arrays)`` gives the values of ``fields`` for the block's texts.
+    Rows of shards among ``rows`` are left out.
     """
-    schema = T.StructType([texts.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
+    schema = T.StructType([rows.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        positions = [unpack_numbers(p) for p in left.column("positions").to_pylist()]
         arrow = _Arrow(schema)
-        columns = [left.column(k).combine_chunks() for k in keep] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in made(right.to_pylist(), positions)]
+        texts = left.filter(pc.and_(pc.greater_equal(left.column("key"), 0), pc.is_valid(left.column("n")))).sort_by("place")
+        if not texts.num_rows:
+            return arrow.schema.empty_table()
+        positions = unpack_numbers(left.filter(pc.is_valid(left.column("positions"))).column("positions")[0].as_py())
+        if not right.num_rows and len(positions):
+            raise ValueError("a block lost its dictionary: the texts were read in another order")
+        ends = np.cumsum(texts.column("n").to_numpy())
+        values = made(right.to_pylist(), np.split(positions, ends[:-1]))
+        columns = [texts.column(k).combine_chunks() for k in keep] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in values]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow.fields, strict=True)], names=arrow.schema.names)
 
-    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(run, schema)
+    return rows.groupBy("key").cogroup(parts.groupBy("block")).applyInArrow(run, schema)
 
 
 def pack_longs(values: np.ndarray) -> bytes:

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_numbers, reassembled, rows_of, text_rows, unpack_numbers, unpack_pieces
+from tarn.llm.blocks import blocked, pack_numbers, reassembled, rows_of, unpack_numbers, unpack_pieces
 
 
 @lru_cache(maxsize=2)
@@ -74,8 +74,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
         encoding = _encoding(path, pattern)
         shard, known = None, {}
         for row in rows_of(batches):
-            if row["shard"] != shard:
-                shard, known = row["shard"], {}
+            if row["key"] >= 0:
+                continue
+            if row["key"] != shard:
+                shard, known = row["key"], {}
             ids = []
             for piece in unpack_pieces(row["pieces"]):
                 if piece not in known:
@@ -98,9 +100,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in made])])
         return [np.diff(bounds), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(made) if made else flat[:0]))]
 
-    blocks = blocked(docs, keep, text_col, cutter)
-    parts = by_shard(dictionary_rows(blocks).select("block", "shard", "pieces", "places")).mapInArrow(encoded, "block long, places binary, lengths binary, ids binary")
-    return reassembled(text_rows(blocks, keep), parts, keep, "n_tokens long, ids array<int>", joined)
+    # one exchange by key serves both: the shards, which are encoded, and the blocks, which wait for them
+    dealt = blocked(docs, keep, text_col, cutter).repartition("key")
+    parts = dealt.sortWithinPartitions("key").mapInArrow(encoded, "block long, places binary, lengths binary, ids binary")
+    return reassembled(dealt, parts, keep, "n_tokens long, ids array<int>", joined)
 
 
 def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = False) -> DataFrame:

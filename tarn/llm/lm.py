@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
-from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_longs, pack_numbers, pack_pieces, reassembled, rows_of, text_rows, unpack_longs, unpack_numbers, unpack_pieces
+from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_longs, pack_numbers, pack_pieces, reassembled, rows_of, unpack_longs, unpack_numbers, unpack_pieces
 from tarn.llm.common import fold, table
 
 #: Words with a vector of their own: the most frequent ones of the training texts. All others
@@ -78,29 +78,29 @@ def _totals(blocks: DataFrame) -> DataFrame:
             top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard], pa.int32()),
+                    pa.array([shard], pa.int64()),
                     pa.array([pack_pieces(list(held))], pa.binary()),
                     pa.array([pack_longs(np.fromiter(held.values(), dtype=np.int64, count=len(held)))], pa.binary()),
                     pa.array([len(held)], pa.int64()),
                     pa.array([sum(held.values())], pa.int64()),
                     pa.array([[{"piece": p, "n": c} for p, c in top]], pa.list_(pa.struct([("piece", pa.binary()), ("n", pa.int64())]))),
                 ],
-                names=["shard", "pieces", "counts", "kinds", "tokens", "top"],
+                names=["key", "pieces", "counts", "kinds", "tokens", "top"],
             )
 
         now, counts = None, {}
         for row in rows_of(batches):
-            if row["shard"] != now:
+            if row["key"] != now:
                 if now is not None:
                     yield out(now, counts)
-                now, counts = row["shard"], {}
+                now, counts = row["key"], {}
             for piece, n in zip(unpack_pieces(row["pieces"]), unpack_numbers(row["counts"]).tolist(), strict=True):
                 counts[piece] = counts.get(piece, 0) + n
         if now is not None:
             yield out(now, counts)
 
-    rows = by_shard(dictionary_rows(blocks).select("shard", "pieces", "counts"))
-    return table(rows.mapInArrow(run, "shard int, pieces binary, counts binary, kinds long, tokens long, top array<struct<piece:binary,n:long>>"))
+    rows = by_shard(dictionary_rows(blocks).select("key", "pieces", "counts"))
+    return table(rows.mapInArrow(run, "key long, pieces binary, counts binary, kinds long, tokens long, top array<struct<piece:binary,n:long>>"))
 
 
 def _returned(blocks: DataFrame, totals: DataFrame, ids: dict[bytes, int]) -> DataFrame:
@@ -117,8 +117,8 @@ def _returned(blocks: DataFrame, totals: DataFrame, ids: dict[bytes, int]) -> Da
             words = np.fromiter((ids.get(p, RARE) for p in pieces), dtype=np.uint32, count=len(pieces))
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["places"]], pa.binary()), pa.array([pack_longs(counts)], pa.binary()), pa.array([pack_numbers(words)], pa.binary())], names=["block", "places", "counts", "words"])
 
-    first = totals.select(F.lit(None).cast("long").alias("block"), "shard", "pieces", F.lit(None).cast("binary").alias("places"), "counts")
-    rows = by_shard(first.unionByName(dictionary_rows(blocks).select("block", "shard", "pieces", "places", F.lit(None).cast("binary").alias("counts"))), "block")
+    first = totals.select(F.lit(None).cast("long").alias("block"), "key", "pieces", F.lit(None).cast("binary").alias("places"), "counts")
+    rows = by_shard(first.unionByName(dictionary_rows(blocks).select("block", "key", "pieces", "places", F.lit(None).cast("binary").alias("counts"))), "block")
     return rows.mapInArrow(run, "block long, places binary, counts binary, words binary")
 
 
@@ -262,7 +262,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = docs.select(F.col(id_col), (fold(id_col, FOLDS) == HELD_FOLD).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     keep = [id_col, "held_out"]
-    blocks = blocked(rows, keep, "text", _cutter)
+    blocks = table(blocked(rows, keep, "text", _cutter))
     totals = _totals(blocks)
     n, kinds = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     top = totals.select(F.explode("top").alias("t")).select("t.piece", "t.n").orderBy(F.desc("n"), "piece").limit(VOCABULARY - 1).collect()
@@ -288,7 +288,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             pa.array([pack_numbers(word[p]) for p in positions], pa.binary()),
         ]
 
-    texts = table(reassembled(text_rows(blocks, keep), _returned(blocks, totals, ids), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
+    texts = table(reassembled(blocks.where("key >= 0"), _returned(blocks, totals, ids), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
 
     share = np.array([max(rare - 1, 0), *counts.values()], dtype=np.float64) + 1
     share /= share.sum()
