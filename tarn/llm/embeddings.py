@@ -139,3 +139,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = rows.withColumn("v", F.when(good, F.col("v"))).join(classes, "v", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+
+
+#: DuckDB SQL for ``near_duplicates`` of the embeddings: all pairs.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+s AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x AS id, x AS top FROM s UNION SELECT s.y, r.top FROM r JOIN s ON s.x = r.id),
+c AS (SELECT id, min(top) AS top FROM r GROUP BY id),
+n AS (SELECT x AS id, count(*) AS k FROM s GROUP BY x)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(top, vec_id) AS component_id, coalesce(coalesce(top, vec_id) = vec_id, true) AS kept
+FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN c ON c.id = vec_id
+"""

@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.SQL,
+    "op9_embedding_near_dedup": embeddings.SQL,
     "op6_source_mixing": mixing.oracle(mixing.WEIGHTS, MIX_PERCENT, MIX_EPOCHS),
     "op7_warc": warc.SQL,
 }

@@ -208,3 +208,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     dropped = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(id_col).distinct()
     return docs.join(dropped, id_col, "left_anti")
+
+
+#: DuckDB SQL for two words and 80 percent: pairs that share one of their rarest shingles, checked in full.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(ws), 0) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM g),
+f AS (SELECT h, count(*) AS df FROM u GROUP BY h),
+o AS (SELECT u.doc_id, n, u.h, row_number() OVER (PARTITION BY u.doc_id ORDER BY df, u.h) AS k FROM u JOIN f ON f.h = u.h),
+q AS (SELECT doc_id, n, h FROM o WHERE k <= n - (4 * n + 4) // 5 + 1),
+m AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM q a JOIN q b ON a.h = b.h AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+i AS (SELECT x, y, count(*) AS c, min(a.n) AS na, min(b.n) AS nb FROM m JOIN u a ON a.doc_id = x JOIN u b ON b.doc_id = y AND b.h = a.h GROUP BY x, y),
+p AS (SELECT x, y FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+s AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT x AS id, x AS top FROM s UNION SELECT s.y, r.top FROM r JOIN s ON s.x = r.id),
+c AS (SELECT id, min(top) AS top FROM r GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(top, doc_id) AS component_id, coalesce(coalesce(top, doc_id) = doc_id, true) AS kept FROM g LEFT JOIN c ON c.id = doc_id
+"""
