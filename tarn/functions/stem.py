@@ -1,4 +1,4 @@
-"""The Porter stemmer of 1980, applied to distinct tokens in Arrow batches."""
+"""The Porter stemmer of 1980, applied to the distinct tokens of Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The published suffix tables of steps 2 to 4.
 STEP_2 = {
@@ -80,6 +80,12 @@ def stem(word: str | None) -> str | None:
     return word
 
 
-@F.pandas_udf(StringType())
-def stem_column(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+@F.pandas_udf(ArrayType(StringType()))
+def stem_arrays(tokens: pd.Series) -> pd.Series:
+    """Arrays of stems; each distinct token of a batch is stemmed once."""
+    known: dict[str | None, str | None] = {}
+    for words in tokens:
+        for w in words if words is not None else ():
+            if w not in known:
+                known[w] = stem(w)
+    return tokens.map(lambda words: None if words is None else [known[w] for w in words])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
-from tarn.functions.stem import stem_column
+from tarn.functions.stem import stem_arrays
 
 
 def word_frequencies(df: DataFrame, label: str, tokens: str, top: int = 200) -> DataFrame:
@@ -23,12 +23,13 @@ def word_frequencies(df: DataFrame, label: str, tokens: str, top: int = 200) ->
 
 
 def stems(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``key``, stems (array) and stemmed (joined by spaces): each distinct token is stemmed once."""
-    placed = df.select(key, F.posexplode(tokens).alias("place", "token"))
-    known = placed.select("token").distinct().withColumn("stem", stem_column("token"))
-    met = placed.join(known, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "stem"))).alias("s"))
-    back = df.select(key).join(met, key, "left").select(key, F.coalesce(F.col("s.stem"), F.array().cast("array<string>")).alias("stems"))
-    return back.withColumn("stemmed", F.array_join("stems", " "))
+    """``key``, stems (array) and stemmed (joined by spaces); no tokens give no stems.
+
+    Tokens stay in their rows: a shuffle of all tokens to stem each once in the whole table
+    would cost more than stemming it once per batch.
+    """
+    made = df.select(key, stem_arrays(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("stems"))
+    return made.withColumn("stemmed", F.array_join("stems", " "))
 
 
 def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tarn.functions import text as X
 from tarn.operators import features, profile, share
 from tarn.sources import readers
 
-ROW, FIRST, LONGEST = 3, 10, 2000
+ROW, FIRST, LENGTH = 3, 10, 12
 CODES = {"negative": 1, "neutral": 0, "positive": 0}
 
 
@@ -63,8 +63,8 @@ def tweets_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets_of_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first text with a given number of characters or more."""
-    made = _length(spark, sf_dir).where(F.col("length") >= LONGEST).select("tweet_id", "text", "length")
+    """The first text with a given number of characters."""
+    made = _length(spark, sf_dir).where(F.col("length") == LENGTH).select("tweet_id", "text", "length")
     return profile.head(made, "tweet_id", 1)
 
 
@@ -205,7 +205,7 @@ SQL = {
     "tweets_mean_by_label": f"{_T} SELECT airline_sentiment, round(avg(airline_sentiment_confidence), 6) AS mean_airline_sentiment_confidence, round(avg(retweet_count), 6) AS mean_retweet_count FROM t WHERE airline_sentiment IS NOT NULL GROUP BY 1",
     "tweets_describe_length": f"{_L} SELECT count(length) AS n, round(avg(length), 6) AS mean, round(stddev_samp(length), 6) AS std, CAST(min(length) AS INTEGER) AS min, quantile_cont(length, 0.25) AS q25, quantile_cont(length, 0.5) AS median, quantile_cont(length, 0.75) AS q75, CAST(max(length) AS INTEGER) AS max FROM l",
     "tweets_longest": f"{_L} SELECT tweet_id, text, CAST(length AS INTEGER) AS length FROM l ORDER BY length DESC, tweet_id LIMIT 1",
-    "tweets_of_length": f"{_L} SELECT tweet_id, text, CAST(length AS INTEGER) AS length FROM l WHERE length >= {LONGEST} ORDER BY tweet_id LIMIT 1",
+    "tweets_of_length": f"{_L} SELECT tweet_id, text, CAST(length AS INTEGER) AS length FROM l WHERE length = {LENGTH} ORDER BY tweet_id LIMIT 1",
     "tweets_hist": _hist_sql(None),
     "tweets_hist_by_label": _hist_sql("airline_sentiment"),
     "tweets_label_counts": f"{_T} SELECT airline_sentiment, count(*) AS n FROM t WHERE airline_sentiment IS NOT NULL GROUP BY 1",
