@@ -309,4 +309,4 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     known = texts.select(*keep, "n_tokens", "n_known", "base_score", "words", "rare_score")
     schema = known.select(*known.columns[:5]).schema.add("score", "double")
-    return known.mapInArrow(scored, schema).withColumn("train_tokens", F.lit(int(n)))
+    return known.mapInArrow(scored, schema).withColumn("train_tokens", F.lit(int(n)).cast("long"))

@@ -206,8 +206,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id stay together: they are the same document.
     """
-    dropped = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    dropped = cut(near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(id_col).distinct())
+    return docs.join(sized(dropped), id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 #: DuckDB SQL for two words and 80 percent: pairs that share one of their rarest shingles, checked in full.
