@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import bpe, minhash, mixing, rules, toxicity
-from tarn.llm.common import read, shared_dir
+from tarn.llm.common import read, shared_dir, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The mixture takes so much of the tokens that reach it, each document once at most.
@@ -29,6 +29,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    small_batches(spark)
     return minhash.deduplicate(docs)
 
 
@@ -39,6 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of the texts, and the digests of the ids and of what they decode to."""
+    small_batches(spark)
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"])
     return bpe.decode(ids, RANKS, digests=True)
 
