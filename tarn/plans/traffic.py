@@ -11,11 +11,11 @@ from tarn.functions.spline import grid, weights
 from tarn.operators import traffic as T
 from tarn.sources import readers
 
-AFTER, BEFORE, SPLIT = "1994-12-31", "2001-01-01", 3
+AFTER, FIRST, BEFORE, SPLIT = "1994-12-31", "1995-01-01", "2001-01-01", 3
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.whole_years(readers.traffic(spark, sf_dir), AFTER, BEFORE)
+    return T.whole_years(readers.traffic(spark, sf_dir, FIRST, BEFORE), AFTER, BEFORE)
 
 
 def traffic_ratio_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:

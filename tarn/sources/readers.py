@@ -22,9 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per month of shipping: counts and integer measures, so sums have no order."""
+def traffic(spark: SparkSession, sf_dir: str, first: str | None = None, before: str | None = None) -> DataFrame:
+    """One row per month of shipping: counts and integer measures, so sums have no order.
+
+    ``first`` and ``before`` bound the days read; they reach the scan, which a bound on the month,
+    a function of the day, does not.
+    """
     items = table(spark, sf_dir, "lineitem")
+    if first:
+        items = items.where(F.col("l_shipdate") >= F.lit(first).cast("timestamp_ntz"))
+    if before:
+        items = items.where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
     quantity = F.col("l_quantity").cast("long")
     price = F.round(F.col("l_extendedprice") * 100, 0).cast("long")
     sums = []

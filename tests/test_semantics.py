@@ -147,6 +147,7 @@ def test_csv_with_quoted_lines(spark, tmp_path):
 def test_date_filter_and_columns_reach_the_scan(spark):
     from tests.conftest import DATA
 
-    df = readers.table(spark, f"{DATA}/sf0.001", "lineitem").where(dates.within(F.col("l_shipdate"), "1995-01-01", "1996-01-01")).groupBy("l_linestatus").agg(F.sum("l_quantity"))
-    plan = df._jdf.queryExecution().toString()
-    assert "GreaterThan(l_shipdate" in plan and "l_comment" not in plan and "l_extendedprice" not in plan.split("ReadSchema")[-1]
+    df = traffic.sums_by_year(traffic.whole_years(readers.traffic(spark, f"{DATA}/sf0.001", "1995-01-01", "1996-01-01"), "1994-12-31", "1996-01-01"), "flights_domestic")
+    scan = df._jdf.queryExecution().toString().split("PushedFilters")[-1]
+    assert "GreaterThanOrEqual(l_shipdate" in scan and "LessThan(l_shipdate" in scan
+    assert "l_linestatus" in scan.split("ReadSchema")[-1] and "l_extendedprice" not in scan.split("ReadSchema")[-1]
