@@ -21,7 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 16 << 20
+from tarn.llm.common import lean, release
+
+BLOCK_BYTES = 6 << 20
 #: Parts of every dictionary. At a billion distinct pieces a shard has a million.
 SHARDS = 512
 
@@ -80,12 +82,13 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
     def run(batches):
         arrow = _Arrow(schema)
         serial = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            texts = batch.column(len(keep)).fill_null("").cast(pa.large_string())
+        for batch in _gathered(batches, len(keep)):
+            texts = batch.column(len(keep))
+            texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
             at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
             row = 0
             while row < len(texts):
-                last = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK_BYTES, side="right")) - 1)
+                last = max(row + 1, int(np.searchsorted(at, at[row] + 2 * BLOCK_BYTES, side="right")) - 1)
                 part = batch.slice(row, last - row)
                 yield from emit(arrow, serial, part, cutter(texts.slice(row, last - row), part))
                 row, serial = last, serial + 1
@@ -110,7 +113,20 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
             columns["counts"] = pa.array([pack_numbers(counts[of]) for _, of in full], pa.binary())
         yield arrow.batch(len(full), columns)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, text).mapInArrow(lean(run), schema)
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold BLOCK_BYTES of texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 class _Arrow:
@@ -143,6 +159,7 @@ def reassembled(rows: DataFrame, parts: DataFrame, keep: list[str], fields: str,
     schema = T.StructType([rows.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         arrow = _Arrow(schema)
         texts = left.filter(pc.and_(pc.greater_equal(left.column("key"), 0), pc.is_valid(left.column("n")))).sort_by("place")
         if not texts.num_rows:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tarn.llm.blocks import blocked, pack_numbers, reassembled, rows_of, unpack_numbers, unpack_pieces
+from tarn.llm.common import lean
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +103,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
 
     # one exchange by key serves both: the shards, which are encoded, and the blocks, which wait for them
     dealt = blocked(docs, keep, text_col, cutter).repartition("key")
-    parts = dealt.sortWithinPartitions("key").mapInArrow(encoded, "block long, places binary, lengths binary, ids binary")
+    parts = dealt.sortWithinPartitions("key").mapInArrow(lean(encoded), "block long, places binary, lengths binary, ids binary")
     return reassembled(dealt, parts, keep, "n_tokens long, ids array<int>", joined)
 
 
@@ -141,4 +142,4 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = Fals
             old = [batch.column(batch.schema.names.index(n)) for n in schema.names[: -len(new)]]
             yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
 
-    return ids.mapInArrow(run, schema)
+    return ids.mapInArrow(lean(run), schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +43,20 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch. Spark's own bounds let a batch of texts have 64 MB, which the
+#: JVM, the socket and the Python worker of every running task hold at the same time.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """``spark`` with smaller Arrow batches, for the queries over whole texts."""
+    for key, value in ARROW_BATCH.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(column: str, of: int, seed: str = "") -> Column:
@@ -57,3 +72,24 @@ BROADCAST_ROWS = 500_000
 def sized(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if it has been counted to be small; a larger one is shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def release() -> None:
+    """Hands unused memory of a Python worker back: idle workers live on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with unused memory released after each task."""
+
+    def leaving(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return leaving

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut
+from tarn.llm.common import cut, lean
 from tarn.llm.components import components
 from tarn.llm.units import dealt, roots, runs, together
 
@@ -106,7 +106,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     flat = pa.array(keys.reshape(-1))
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * TABLES), flat)], names=["rep", "keys"])
 
-    buckets = reps.select("rep", "v", "dims").mapInArrow(keyed, "rep long, keys array<long>")
+    buckets = reps.select("rep", "v", "dims").mapInArrow(lean(keyed), "rep long, keys array<long>")
     placed = buckets.join(reps.select("rep", "dims"), "rep").select("rep", "dims", F.posexplode("keys").alias("t", "key"))
     sizes = placed.groupBy("dims", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = dealt(placed.join(sizes, ["dims", "t", "key"]), ["dims", "t", "key"], "rep", "n", BLOCK)
@@ -128,7 +128,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def out(found):
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["rep", "links", "root"])
 
-    found = cut(work.mapInArrow(linked, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
+    found = cut(work.mapInArrow(lean(linked), "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
     whole = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = (

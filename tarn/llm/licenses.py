@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
+from tarn.llm.common import lean
 from tarn.llm.templates import NOTICES
 
 #: Fingerprints are hashes of GRAM words, one at least of every WINDOW following ones; so equal
@@ -180,4 +181,4 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
                 types = (pa.string(), pa.string(), pa.int32(), pa.float64(), *(pa.int64(),) * 4)
                 yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(lean(run), schema)

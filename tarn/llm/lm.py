@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
 from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_longs, pack_numbers, pack_pieces, reassembled, rows_of, unpack_longs, unpack_numbers, unpack_pieces
-from tarn.llm.common import fold, table
+from tarn.llm.common import fold, lean, table
 
 #: Words with a vector of their own: the most frequent ones of the training texts. All others
 #: share the vector RARE and are told apart by their counts.
@@ -100,7 +100,7 @@ def _totals(blocks: DataFrame) -> DataFrame:
             yield out(now, counts)
 
     rows = by_shard(dictionary_rows(blocks).select("key", "pieces", "counts"))
-    return table(rows.mapInArrow(run, "key long, pieces binary, counts binary, kinds long, tokens long, top array<struct<piece:binary,n:long>>"))
+    return table(rows.mapInArrow(lean(run), "key long, pieces binary, counts binary, kinds long, tokens long, top array<struct<piece:binary,n:long>>"))
 
 
 def _returned(blocks: DataFrame, totals: DataFrame, ids: dict[bytes, int]) -> DataFrame:
@@ -119,7 +119,7 @@ def _returned(blocks: DataFrame, totals: DataFrame, ids: dict[bytes, int]) -> Da
 
     first = totals.select(F.lit(None).cast("long").alias("block"), "key", "pieces", F.lit(None).cast("binary").alias("places"), "counts")
     rows = by_shard(first.unionByName(dictionary_rows(blocks).select("block", "key", "pieces", "places", F.lit(None).cast("binary").alias("counts"))), "block")
-    return rows.mapInArrow(run, "block long, places binary, counts binary, words binary")
+    return rows.mapInArrow(lean(run), "block long, places binary, counts binary, words binary")
 
 
 def _contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _trained(texts: DataFrame, model: Model, share: np.ndarray, seed: int) -> Mo
         weight = np.concatenate([seen, [seen.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(weight), pa.ListArray.from_arrays(pa.array(np.arange(n + 2, dtype=np.int32) * width), pa.array((flat * weight[:, None]).reshape(-1)))], names=["row", "weight", "values"])
 
-    copies = texts.where("not held_out").select("words").mapInArrow(run, "row int, weight double, values array<double>")
+    copies = texts.where("not held_out").select("words").mapInArrow(lean(run), "row int, weight double, values array<double>")
     means = copies.groupBy("row").agg(F.array(*(F.sum(F.col("values")[k]) / F.sum("weight") for k in range(width))).alias("values")).orderBy("row").collect()
     if not means:
         return model
@@ -309,4 +309,4 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     known = texts.select(*keep, "n_tokens", "n_known", "base_score", "words", "rare_score")
     schema = known.select(*known.columns[:5]).schema.add("score", "double")
-    return known.mapInArrow(scored, schema).withColumn("train_tokens", F.lit(int(n)).cast("long"))
+    return known.mapInArrow(lean(scored), schema).withColumn("train_tokens", F.lit(int(n)).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
-from tarn.llm.common import cut, sized, table
+from tarn.llm.common import cut, lean, sized, table
 from tarn.llm.components import components
 from tarn.llm.units import dealt, roots, runs, together
 
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = members.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
     shown = placed.select("rep").join(sigs.select(F.col("id").alias("rep"), *planes).dropDuplicates(["rep"]), "rep")
     units = dealt(members.join(mixed, "key", "left_semi").join(shown, "rep").select("key", "n", "rep", "block", *planes), ["key"], "rep", "n", BUCKET_BLOCK)
-    near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"]).mapInArrow(_near_blocks, "a long, b long")
+    near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"]).mapInArrow(lean(_near_blocks), "a long, b long")
     pairs = cut(near.unionByName(placed.select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct())
 
     def made(buf, offsets):
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
     sets = tk.over_texts(texts, [id_col], text_col, "shingles array<long>", made).withColumnRenamed(id_col, "rep").join(placed, "rep")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
-    links = together(sides.join(sets, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(_linked(percent), "a long, b long")
+    links = together(sides.join(sets, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(lean(_linked(percent)), "a long, b long")
     whole = components(links)
 
     classes = reps.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))

@@ -1,7 +1,7 @@
 """Vectorised word splitting, hashing and statistics over Arrow batches of texts.
 
 A slice is the UTF-8 bytes of consecutive whole texts and their offsets. All functions work on
-slices of a few MB, so memory does not follow the batch; a longer text is a slice of its own.
+slices of about half a MB, so memory does not follow the batch; a longer text is a slice of its own.
 A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``. Null texts are empty texts.
 """
 
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+from tarn.llm.common import lean
+
+SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -256,7 +258,7 @@ def over_texts(df: DataFrame, keep: list[str], text: str, fields: str, made: Cal
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + [x if isinstance(x, pa.Array) else pa.array(x) for x in made(buf, offsets)], names=schema.names)
 
-    return df.select(*(f"`{c}`" for c in read)).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in read)).mapInArrow(lean(run), schema)
 
 
 def filter_texts(df: DataFrame, text: str, kept: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -268,7 +270,7 @@ def filter_texts(df: DataFrame, text: str, kept: Callable[[np.ndarray, np.ndarra
             for lo, hi, buf, offsets in slices(batch.column(place)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept(buf, offsets)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
-from tarn.llm.common import fold
+from tarn.llm.common import fold, lean
 from tarn.llm.labelled import ROWS_PER_CLASS, sample, texts_of
 
 #: A word is predicted from its first bytes, these from fewer: the orders of the models.
@@ -64,7 +64,7 @@ def _counts(batches_of: DataFrame) -> DataFrame:
                     n0 = np.bincount(back, minlength=len(keys)) - n1
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(history[first].view(np.int64)), pa.array(keys.view(np.int64)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["level", "history", "entry", "n0", "n1"])
 
-    parts = batches_of.select("label", "text").mapInArrow(run, "level int, history long, entry long, n0 long, n1 long")
+    parts = batches_of.select("label", "text").mapInArrow(lean(run), "level int, history long, entry long, n0 long, n1 long")
     return parts.groupBy("level", "history", "entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_COUNT)
 
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, shared_dir
+from tarn.llm.common import cut, lean, shared_dir
 
 #: A payload of fewer bytes is archived each time it occurs.
 REVISIT_BYTES = 1000
@@ -179,7 +179,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield out()
 
-    return cut(marked.mapInArrow(run, "name string, records long, bytes long"))
+    return cut(marked.mapInArrow(lean(run), "name string, records long, bytes long"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +203,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], t) for n, t in fields], names=[n for n, _ in fields])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:
