@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tarn.llm.common import lean, release
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Parts of every dictionary. At a billion distinct pieces a shard has a million.
 SHARDS = 512
 

@@ -16,7 +16,10 @@ from tarn.llm.blocks import blocked, pack_numbers, reassembled, rows_of, unpack_
 from tarn.llm.common import lean
 
 
-@lru_cache(maxsize=2)
+#: Tokens that are decoded at once, so that a long text's index arrays stay small.
+PART = 1 << 16
+
+
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
@@ -126,19 +129,20 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = Fals
             results = []
             for i in range(batch.num_rows):
                 if not column[i].is_valid:
-                    results.append(None)
+                    results.append((None, None))
                     continue
                 one = column[i].values.to_numpy(zero_copy_only=False)
                 if len(one) and (one.min() < 0 or one.max() >= len(lengths) or lengths[one].min() < 0):
                     raise ValueError("an id is not in the token table")
-                results.append((one, _gather(flat, starts[one], lengths[one]).tobytes()))
-            if digests:
-                new = [
-                    pa.array([r and hashlib.sha256(r[0].astype("<u4").tobytes()).hexdigest() for r in results], pa.string()),
-                    pa.array([r and hashlib.sha256(r[1]).hexdigest() for r in results], pa.string()),
-                ]
-            else:
-                new = [pa.array([r and r[1] for r in results], pa.binary())]
+                parts = (_gather(flat, starts[p], lengths[p]).tobytes() for p in (one[at : at + PART] for at in range(0, len(one), PART)))
+                if digests:
+                    whole = hashlib.sha256()
+                    for part in parts:
+                        whole.update(part)
+                    results.append((hashlib.sha256(one.astype("<u4")).hexdigest(), whole.hexdigest()))
+                else:
+                    results.append((b"".join(parts),))
+            new = [pa.array([r[k] for r in results], pa.string() if digests else pa.binary()) for k in range(len(made))]
             old = [batch.column(batch.schema.names.index(n)) for n in schema.names[: -len(new)]]
             yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
 

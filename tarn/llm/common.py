@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -45,7 +46,7 @@ def table(df: DataFrame) -> DataFrame:
 
 #: Rows and bytes of an Arrow batch. Spark's own bounds let a batch of texts have 64 MB, which the
 #: JVM, the socket and the Python worker of every running task hold at the same time.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -84,11 +85,16 @@ def release() -> None:
 
 
 def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with unused memory released after each task."""
+    """``run`` for mapInArrow, with unused memory released after each task and about every second."""
 
     def leaving(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
         try:
-            yield from run(batches)
+            for made in run(batches):
+                yield made
+                if time.monotonic() - last > 1:
+                    release()
+                    last = time.monotonic()
         finally:
             release()
 
