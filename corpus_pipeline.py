@@ -42,7 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of the texts, and the digests of the ids and of what they decode to."""
     small_batches(spark)
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"])
-    return bpe.decode(ids, RANKS, digests=True)
+    return bpe.decode(ids, RANKS, digests=True, keep_ids=True)
 
 
 STAGES = [

@@ -110,15 +110,15 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
     return reassembled(dealt, parts, keep, "n_tokens long, ids array<int>", joined)
 
 
-def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = False) -> DataFrame:
+def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = False, keep_ids: bool = False) -> DataFrame:
     """All columns and decoded (binary): the bytes of the tokens of ``ids_col`` in their order.
 
     Ids are joined to the rank file's token-byte table, which each task holds (its size is the
     vocabulary's). A null list has a null result; an id that the table lacks fails the job.
     ``digests``: instead of both columns, ids_sha256 (of the ids as little-endian 32-bit
-    integers) and decoded_sha256 in hex.
+    integers) and decoded_sha256 in hex; with ``keep_ids`` the ids stay beside them.
     """
-    kept = [f for f in ids.schema.fields if not (digests and f.name == ids_col)]
+    kept = [f for f in ids.schema.fields if keep_ids or not (digests and f.name == ids_col)]
     made = [T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")] if digests else [T.StructField("decoded", T.BinaryType())]
     schema = T.StructType([f for f in kept if f.name not in {m.name for m in made}] + made)
 

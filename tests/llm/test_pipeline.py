@@ -7,7 +7,7 @@ from pathlib import Path
 
 import __spark_entry__
 import corpus_pipeline
-from tarn.llm import toxicity
+from tarn.llm import bpe, toxicity
 from tests.conftest import DATA
 from tests.llm import brute
 
@@ -61,3 +61,13 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'traffic_yoy' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); print('fine')"
     made = subprocess.run([sys.executable, "-P", "-c", f"import sys; sys.path.insert(0, {str(tmp_path)!r}); " + code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert made.stdout.strip() == "fine", made.stderr
+
+
+def test_the_last_stage_returns_the_encoded_corpus(spark):
+    docs = spark.createDataFrame([(1, "some words, some more", "en", "src0", 21), (2, None, "en", "src0", 0)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = corpus_pipeline.encoded(spark, docs, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    table = {rank: token for token, rank in bpe._ranks(corpus_pipeline.RANKS).items()}
+    for r in got.collect():
+        assert len(r["ids"]) == r["n_tokens"]
+        assert b"".join(table[i] for i in r["ids"]) == (b"some words, some more" if r["doc_id"] == 1 else b"")
