@@ -1,9 +1,10 @@
-"""Licence texts in documents, by winnowed fingerprints and banded alignment."""
+"""Licence texts in documents, by an index of the templates' words and local alignment."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,8 @@ from tarn.llm import textkernel as tk
 from tarn.llm.common import lean
 from tarn.llm.templates import NOTICES
 
-#: Fingerprints are hashes of GRAM words, one at least of every WINDOW following ones; so equal
-#: runs of GRAM + WINDOW - 1 words share one.
+#: A run of GRAM + WINDOW - 1 equal words is what winnowed fingerprints would need; here no run is.
 GRAM, WINDOW = 3, 3
-#: Words by which an alignment may leave the diagonal that its fingerprints lie on.
-BAND = 8
 #: The part of a template's words that must be matched, in percent.
 COVERAGE = 80
 
@@ -28,13 +26,13 @@ _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 @dataclass
 class Library:
-    """Templates as word hashes, and the index of their fingerprints: hash, template, place."""
+    """Templates as word hashes, and the index of their words: hash, times in each template."""
 
     names: list[tuple[str, str]]
     words: list[np.ndarray]
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    keys: np.ndarray
+    times: np.ndarray
+    need: np.ndarray
 
 
 def _split(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]:
@@ -43,115 +41,120 @@ def _split(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]:
     return w, tk.hash_spans(buf, w.starts, w.ends, folded=True)
 
 
-def fingerprints(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of the winnowed word runs: the last smallest of each window of one text.
-
-    A text with fewer runs than a window keeps all of them.
-    """
-    if len(hashes) < GRAM:
-        return np.zeros(0, dtype=np.int64)
-    runs = np.flatnonzero(doc[: len(doc) - GRAM + 1] == doc[GRAM - 1 :])
-    value = hashes[runs]
-    for k in range(1, GRAM):
-        value = tk.pair_hash(value, hashes[runs + k])
-    owner = doc[runs]
-    counts = np.bincount(owner)[owner]
-    chosen = counts < WINDOW
-    if len(runs) >= WINDOW:
-        n = len(runs) - WINDOW + 1
-        spread = np.stack([value[k : k + n] for k in range(WINDOW - 1, -1, -1)])
-        pick = np.arange(n) + WINDOW - 1 - spread.argmin(axis=0)
-        chosen[pick[owner[:n] == owner[WINDOW - 1 :]]] = True
-    return runs[chosen]
-
-
-def _gram_hash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    value = hashes[at]
-    for k in range(1, GRAM):
-        value = tk.pair_hash(value, hashes[at + k])
-    return value
-
-
 def library(templates: Mapping[tuple[str, str], str] = NOTICES) -> Library:
-    """The inverted index of the templates' fingerprints; its size is the library's."""
-    made, keys, of, place = Library(list(templates), []), [], [], []
-    for k, text in enumerate(templates.values()):
+    """The index of the templates' words; its size is the library's."""
+    words = []
+    for text in templates.values():
         ((_, _, buf, offsets),) = tk.slices(pa.array([text]))
-        _, hashes = _split(buf, offsets)
-        at = fingerprints(hashes, np.zeros(len(hashes), dtype=np.int64))
-        made.words.append(hashes)
-        keys.append(_gram_hash(hashes, at))
-        of.append(np.full(len(at), k))
-        place.append(at)
-    key = np.concatenate(keys) if keys else made.keys
-    order = np.argsort(key, kind="stable")
-    made.keys, made.of, made.place = key[order], np.concatenate(of)[order], np.concatenate(place)[order]
-    return made
+        words.append(_split(buf, offsets)[1])
+    keys = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
+    times = np.stack([np.bincount(np.searchsorted(keys, w), minlength=len(keys)) for w in words], axis=1) if words else np.zeros((0, 0), np.int64)
+    need = np.array([max(1, -(-COVERAGE * len(w) // 100)) for w in words], dtype=np.int64)
+    return Library(list(templates), words, keys, times, need)
 
 
-def aligned(template: np.ndarray, words: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best local alignment within BAND of a diagonal.
+def aligned(template: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+    """(matched words, start, end) of the best local alignment.
 
     A match counts 2, a word left out, put in or changed -1. ``start`` and ``end`` are places in
     ``words``. Of equal scores the first alignment counts.
     """
+    n = len(words)
     best, found = 0, (0, 0, 0)
-    width = 2 * BAND + 1
-    above = [(0, 0, 0)] * (width + 1)
-    for i, t in enumerate(template.tolist()):
-        row, left = [], (0, 0, 0)
-        for k in range(width):
-            j = diagonal + i - BAND + k
-            if not 0 <= j < len(words):
-                cell = (0, 0, 0)
-            else:
-                score, matched, start = above[k]
-                equal = t == int(words[j])
-                cell = (score + 2, matched + 1, start if score else j) if equal else (score - 1, matched, start)
-                for other in (above[k + 1], left):
-                    if other[0] - 1 > cell[0]:
-                        cell = (other[0] - 1, other[1], other[2])
-                if cell[0] <= 0:
-                    cell = (0, 0, 0)
-                elif cell[0] > best:
-                    best, found = cell[0], (cell[1], cell[2], j + 1)
-            row.append(cell)
-            left = cell
-        above = [*row, (0, 0, 0)]
+    place = np.arange(n)
+    score, matched, start = (np.zeros(n + 1, dtype=np.int64) for _ in range(3))
+    for t in template:
+        equal = words == t
+        cell = score[:-1] + np.where(equal, 2, -1)
+        count = matched[:-1] + equal
+        first = np.where(equal & (score[:-1] == 0), place, start[:-1])
+        up = score[1:] - 1 > cell
+        cell, count, first = np.where(up, score[1:] - 1, cell), np.where(up, matched[1:], count), np.where(up, start[1:], first)
+        # words put in: the last place from which the way to the right costs least
+        ahead = np.maximum.accumulate((np.maximum(cell, 0) + place) * (n + 1) + place)
+        of = ahead % (n + 1)
+        cell = ahead // (n + 1) - place
+        alive = cell > 0
+        score[1:], matched[1:], start[1:] = np.where(alive, cell, 0), np.where(alive, count[of], 0), np.where(alive, first[of], 0)
+        j = int(score.argmax())
+        if score[j] > best:
+            best, found = int(score[j]), (int(matched[j]), int(start[j]), j)
     return found
 
 
-def _matches(lib: Library, words: np.ndarray, hits: np.ndarray, of: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(template, matched, start, end) of one text, no two of them on the same words."""
+def _places(lib: Library, k: int, words: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(matched, start, end) of all matches of a template in one text, none on another's words.
+
+    A match of ``m`` words has a positive score, so that fewer than ``2 * m`` words are put in:
+    it lies in less than three times the template's words, of which ``need`` are the template's.
+    ``ids``: the place of each word in the library's index, -1 if it has none.
+    """
+    template, need = lib.words[k], int(lib.need[k])
+    n = len(template)
+    at = np.flatnonzero((ids >= 0) & (lib.times[ids, k] > 0))
+    near = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < 3 * n) if len(at) >= need else at[:0]
+    if not len(near):
+        return []
+    lo, hi = at[near], at[near + need - 1] + 1
+    cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
+    waiting = [(int(a[0]), int(b.max())) for a, b in zip(np.split(lo, cut), np.split(hi, cut), strict=True)][::-1]
     found = []
-    for k in np.unique(of):
-        upto = {}
-        mine = of == k
-        for at, p in sorted(zip(hits[mine].tolist(), place[mine].tolist(), strict=True)):
-            near = next((d for d in upto if abs(d - (at - p)) <= BAND), None)
-            if near is not None:
-                continue
-            matched, start, end = aligned(lib.words[k], words, at - p)
-            upto[at - p] = end
-            if 100 * matched >= COVERAGE * len(lib.words[k]):
-                found.append((int(k), matched, start, end))
-    taken, kept = [], []
+    while waiting:
+        lo, hi = waiting.pop()
+        # a long part is aligned by its first words; a match that begins in their first half is whole
+        end = min(hi, lo + 12 * n)
+        held = ids[lo:end]
+        counts = np.bincount(held[held >= 0], minlength=len(lib.keys))
+        if np.minimum(counts, lib.times[:, k]).sum() < need:
+            if end < hi:
+                waiting.append((lo + 6 * n, hi))
+            continue
+        matched, a, b = aligned(template, words[lo:end])
+        if end < hi and a >= 6 * n:
+            waiting += [(lo + a, hi), (lo, lo + a)]
+            continue
+        if matched >= need:
+            found.append((matched, lo + a, lo + b))
+        waiting += [(x, y) for x, y in ((lo + b, hi), (lo, lo + a)) if y - x >= need]
+    return found
+
+
+def _matches(lib: Library, words: np.ndarray, ids: np.ndarray, templates: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(template, matched, start, end) of one text, no two of them on the same words."""
+    found = [(int(k), *one) for k in templates for one in _places(lib, int(k), words, ids)]
+    starts, ends, kept = [], [], []
     for one in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
-        if all(one[3] <= a or b <= one[2] for a, b in taken):
-            taken.append(one[2:])
+        at = bisect_right(starts, one[2])
+        if (at == 0 or ends[at - 1] <= one[2]) and (at == len(starts) or one[3] <= starts[at]):
+            starts.insert(at, one[2])
+            ends.insert(at, one[3])
             kept.append(one)
     return sorted(kept, key=lambda f: f[2:])
 
 
+def _candidates(lib: Library, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, template) pairs where the text holds so many of the template's words as a match needs."""
+    at = np.flatnonzero(ids >= 0)
+    if not len(at):
+        return at, at
+    pair, n = np.unique(doc[at] * len(lib.keys) + ids[at], return_counts=True)
+    of, word = pair // len(lib.keys), pair % len(lib.keys)
+    texts, first = np.unique(of, return_index=True)
+    both = np.add.reduceat(np.minimum(n[:, None], lib.times[word]), first, axis=0)
+    text, template = np.nonzero(both >= lib.need)
+    return texts[text], template
+
+
 def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match: id, license_id, template, matched, coverage, word and character spans.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A text is a candidate
-    for the templates whose fingerprints it holds; each diagonal of such fingerprints is aligned
-    within a band, and matches of COVERAGE percent of a template's words are reported, on
-    overlapping words only the one with most matched words. Texts stay where they are read; the
-    index is sent to the tasks and grows with the templates only. Null, empty and unlicensed texts
-    have no rows; rows that repeat an id have their own. char_start and char_end are code points.
+    for the templates of which it holds COVERAGE percent of the words, in any order, which no
+    match lacks. Where so many are near one another they are aligned; every match of COVERAGE
+    percent of a template's words is reported, on overlapping words only the one with most
+    matched words. Texts stay where they are read; the index is sent to the tasks and grows with
+    the templates only. Null, empty and unlicensed texts have no rows; rows that repeat an id
+    have their own. char_start and char_end are code points.
     """
     lib = lib or library()
     schema = docs.select(id_col).schema.add("license_id", "string").add("template", "string").add("matched", "integer").add("coverage", "double").add("word_start", "long").add("word_end", "long").add("char_start", "long").add("char_end", "long")
@@ -160,25 +163,18 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
         for batch in batches:
             for lo, _, buf, offsets in tk.slices(batch.column(1)):
                 w, hashes = _split(buf, offsets)
-                at = fingerprints(hashes, w.doc)
-                key = _gram_hash(hashes, at)
-                first, last = np.searchsorted(lib.keys, key, side="left"), np.searchsorted(lib.keys, key, side="right")
-                hit = np.flatnonzero(last > first)
-                rows = []
-                if len(hit):
-                    times = (last - first)[hit]
-                    where = np.repeat(at[hit], times)
-                    entry = np.repeat(first[hit] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-                    bounds, owner = w.bounds, w.doc[where]
-                    for d in np.unique(owner):
-                        mine = owner == d
-                        base = int(bounds[d])
-                        for k, matched, start, end in _matches(lib, hashes[base : bounds[d + 1]], where[mine] - base, lib.of[entry[mine]], lib.place[entry[mine]]):
-                            head = bytes(buf[offsets[d] : w.starts[base + start]]).decode(errors="replace")
-                            span = bytes(buf[w.starts[base + start] : w.ends[base + end - 1]]).decode(errors="replace")
-                            rows.append((lo + int(d), *lib.names[k], matched, matched / len(lib.words[k]), start, end, len(head), len(head) + len(span)))
-                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                ids = np.minimum(np.searchsorted(lib.keys, hashes), max(len(lib.keys) - 1, 0))
+                ids = np.where(lib.keys[ids] == hashes, ids, -1) if len(lib.keys) else np.full(len(hashes), -1)
+                owner, template = _candidates(lib, ids, w.doc)
+                bounds, rows = w.bounds, []
+                for d in np.unique(owner):
+                    base, stop = int(bounds[d]), int(bounds[d + 1])
+                    for k, matched, start, end in _matches(lib, hashes[base:stop], ids[base:stop], template[owner == d]):
+                        head = bytes(buf[offsets[d] : w.starts[base + start]]).decode(errors="replace")
+                        span = bytes(buf[w.starts[base + start] : w.ends[base + end - 1]]).decode(errors="replace")
+                        rows.append((lo + int(d), *lib.names[k], matched, matched / len(lib.words[k]), start, end, len(head), len(head) + len(span)))
+                kept = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 types = (pa.string(), pa.string(), pa.int32(), pa.float64(), *(pa.int64(),) * 4)
-                yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([kept] + [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)], names=schema.names)
 
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(lean(run), schema)

@@ -72,3 +72,15 @@ def test_edges(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["word_start"]) for r in got) == [(0, 0), (4, 0), (4, 300_000)]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def found(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[(r["license_id"], r["template"], r["matched"], r["word_start"]) for r in sorted(rows, key=lambda r: r["word_start"]) if r["doc_id"] == i] for i in range(len(texts))]
+
+
+def test_short_notices_on_following_lines_have_a_row_each(spark):
+    notices = [(k, t) for k, t in NOTICES.items() if len(words(t)) <= 8]
+    assert len(notices) == 3
+    for (k, t), got in zip(notices, found(spark, [f"{t}\n" * 40 for _, t in notices]), strict=True):
+        assert got == [(*k, len(words(t)), i * len(words(t))) for i in range(40)]
