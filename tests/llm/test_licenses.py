@@ -84,3 +84,18 @@ def test_short_notices_on_following_lines_have_a_row_each(spark):
     assert len(notices) == 3
     for (k, t), got in zip(notices, found(spark, [f"{t}\n" * 40 for _, t in notices]), strict=True):
         assert got == [(*k, len(words(t)), i * len(words(t))) for i in range(40)]
+
+
+def test_coverage_alone_decides(spark):
+    texts = []
+    for text in NOTICES.values():
+        w = text.split()
+        if len(w) <= 12:
+            texts += [" ".join(["see", *w[:i], "other", *w[i + 1 :], "here"]) for i in range(len(w))]
+            texts += [" ".join(w[:i] + w[i + 1 :]) for i in range(len(w))] + [" x ".join(w), " ".join(w[::-1])]
+    texts += ["Released under an MIT License", " ".join(w if i % 6 else "other" for i, w in enumerate(NOTICES["ISC", "text"].split()))]
+    for text, got in zip(texts, found(spark, texts), strict=True):
+        full = {k: best(words(t), words(text)) for k, t in NOTICES.items()}
+        passing = {k for k, m in full.items() if 100 * m >= licenses.COVERAGE * len(words(NOTICES[k]))}
+        assert {r[:2] for r in got} <= passing and bool(got) == bool(passing), text
+        assert all(r[2] == full[r[:2]] for r in got)
