@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +15,20 @@ from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
 from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_longs, pack_numbers, pack_pieces, reassembled, rows_of, unpack_longs, unpack_numbers, unpack_pieces
-from tarn.llm.common import fold, lean, table
+from tarn.llm.common import fold, lean, shared_dir, table
 
-#: Words with a vector of their own: the most frequent ones of the training texts. All others
-#: share the vector RARE and are told apart by their counts.
-VOCABULARY = 2048
+#: Every word that the training texts hold so often has vectors of its own. All others share the
+#: vector RARE and are told apart by their counts.
+LEAST = 5
 RARE = 0
-DIMS, NOISE, BATCH, EPOCHS, RATE = 24, 24, 8192, 1, 0.08
+#: Up to so many words are one level, whose normalisers are a table of all pairs of contexts. More
+#: words have two: HEADS frequent ones and classes of words about as frequent, then a class's words.
+TABLE, HEADS, CLASS_WORDS = 2048, 512, 256
+#: Counts of words that differ by less than this power of 2 are one band; words are numbered by it.
+BAND = 1 / 8
+DIMS, NOISE, INNER_NOISE, BATCH, RATE = 24, 24, 6, 8192, 0.08
+#: Rows of vectors in a file of the model, and contexts whose normalisers are computed at once.
+FILE_ROWS, CONTEXTS = 1 << 14, 2048
 FOLDS, HELD_FOLD = 7, 2
 #: The end of a text, a token that no word can equal.
 END = b""
@@ -69,13 +79,93 @@ def _cutter(texts: pa.Array, part: pa.RecordBatch):
     return positions, bounds, pieces, seen.astype(np.uint32)
 
 
+def _bands(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1)) / BAND).astype(np.int64)
+
+
+@dataclass
+class Layout:
+    """Numbers of words: RARE, the end, then band after band from the frequent to the rare.
+
+    ``first``: the number of each (band, shard)'s first word. ``edges``: that of each band's, from
+    the most frequent band, and ``of`` these bands. Words up to ``heads`` are outcomes of the first
+    level; ``size`` words from there on are a class, an outcome of the first level as well.
+    """
+
+    words: int
+    heads: int
+    size: int
+    edges: np.ndarray
+    of: np.ndarray
+    first: dict[int, np.ndarray]
+    rare: int
+    ends: int
+
+    @property
+    def classes(self) -> int:
+        return -(-(self.words - self.heads) // self.size)
+
+    @property
+    def outcomes(self) -> int:
+        return self.heads + self.classes
+
+    @property
+    def rows(self) -> int:
+        """Rows of the model: words, classes, and one for the weights of the two places."""
+        return self.words + self.classes + 1
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """About the count of every word: RARE's and the end's own, the others' by their band."""
+        inner = np.arange(2, self.words)
+        at = np.searchsorted(self.edges, inner, side="right") - 1
+        return np.concatenate([[self.rare + 1.0, self.ends + 1.0], 2 ** ((self.of[at] + 0.5) * BAND) if len(inner) else []])
+
+    @cached_property
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the outcomes of the first level, and of every later word in its class."""
+        counts = self.counts
+        inner = counts[self.heads :]
+        at = np.arange(0, len(inner), self.size)
+        sums = np.add.reduceat(inner, at) if len(inner) else inner
+        outer = np.concatenate([counts[: self.heads], sums])
+        return outer / outer.sum(), inner / np.repeat(sums, np.diff([*at, len(inner)])) if len(inner) else inner
+
+
+def layout(by_shard_: dict[int, list[int]], rare: int, ends: int) -> Layout:
+    """The numbers of words from the words of each shard by band."""
+    width = max([len(b) for b in by_shard_.values()], default=0)
+    shards = sorted(by_shard_)
+    counts = np.array([[*by_shard_[k], *[0] * (width - len(by_shard_[k]))] for k in shards], dtype=np.int64).reshape(len(shards), width)
+    down = counts[:, ::-1].T
+    first = 2 + np.cumsum(down.reshape(-1)).reshape(down.shape) - down
+    words = 2 + int(counts.sum())
+    edges, of = first[:, 0] if len(shards) else np.zeros(0, np.int64), np.arange(width)[::-1]
+    heads = words if words <= TABLE else max(2, int(edges[edges <= HEADS].max(initial=2)))
+    size = max(CLASS_WORDS, int(np.ceil(np.sqrt(words))))
+    return Layout(words, heads, size, edges, of, {k: first[::-1, i] for i, k in enumerate(shards)}, rare, ends)
+
+
+def _numbers(plan: Layout, shard: int, pieces: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The numbers of a shard's words."""
+    out = np.full(len(pieces), RARE, dtype=np.int64)
+    mine = np.flatnonzero((counts >= LEAST) & np.fromiter((p != END for p in pieces), dtype=bool, count=len(pieces)))
+    band = _bands(counts[mine])
+    order = np.argsort(band, kind="stable")
+    band = band[order]
+    out[mine[order]] = plan.first[shard][band] + np.arange(len(band)) - np.searchsorted(band, band)
+    if END in pieces:
+        out[pieces.index(END)] = 1
+    return out
+
+
 def _totals(blocks: DataFrame) -> DataFrame:
-    """A row per shard: its pieces and their counts in all training texts, and the most frequent."""
+    """A row per shard: its pieces and their counts in all training texts, and its words by band."""
 
     def run(batches):
         def out(shard, counts):
             held = {p: c for p, c in counts.items() if c}
-            top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]
+            bands = np.bincount(_bands(np.array([c for p, c in held.items() if p != END and c >= LEAST], dtype=np.int64)))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int64()),
@@ -83,9 +173,11 @@ def _totals(blocks: DataFrame) -> DataFrame:
                     pa.array([pack_longs(np.fromiter(held.values(), dtype=np.int64, count=len(held)))], pa.binary()),
                     pa.array([len(held)], pa.int64()),
                     pa.array([sum(held.values())], pa.int64()),
-                    pa.array([[{"piece": p, "n": c} for p, c in top]], pa.list_(pa.struct([("piece", pa.binary()), ("n", pa.int64())]))),
+                    pa.array([held.get(END, 0)], pa.int64()),
+                    pa.array([sum(c for p, c in held.items() if p != END and c >= LEAST)], pa.int64()),
+                    pa.array([bands.tolist()], pa.list_(pa.int64())),
                 ],
-                names=["key", "pieces", "counts", "kinds", "tokens", "top"],
+                names=["key", "pieces", "counts", "kinds", "tokens", "ends", "known", "bands"],
             )
 
         now, counts = None, {}
@@ -100,21 +192,23 @@ def _totals(blocks: DataFrame) -> DataFrame:
             yield out(now, counts)
 
     rows = by_shard(dictionary_rows(blocks).select("key", "pieces", "counts"))
-    return table(rows.mapInArrow(lean(run), "key long, pieces binary, counts binary, kinds long, tokens long, top array<struct<piece:binary,n:long>>"))
+    return table(rows.mapInArrow(lean(run), "key long, pieces binary, counts binary, kinds long, tokens long, ends long, known long, bands array<long>"))
 
 
-def _returned(blocks: DataFrame, totals: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """For each block and shard the global counts and vocabulary ids of its pieces."""
+def _returned(blocks: DataFrame, totals: DataFrame, plan: Layout) -> DataFrame:
+    """For each block and shard the global counts and the numbers of its pieces."""
 
     def run(batches):
-        known: dict[bytes, int] = {}
+        known: dict[bytes, tuple[int, int]] = {}
         for row in rows_of(batches):
             pieces = unpack_pieces(row["pieces"])
             if row["block"] is None:
-                known = dict(zip(pieces, unpack_longs(row["counts"]).tolist(), strict=True))
+                counts = unpack_longs(row["counts"])
+                known = dict(zip(pieces, zip(counts.tolist(), _numbers(plan, row["key"], pieces, counts).tolist(), strict=True), strict=True))
                 continue
-            counts = np.fromiter((known.get(p, 0) for p in pieces), dtype=np.int64, count=len(pieces))
-            words = np.fromiter((ids.get(p, RARE) for p in pieces), dtype=np.uint32, count=len(pieces))
+            both = [known.get(p, (0, 1 if p == END else RARE)) for p in pieces]
+            counts = np.fromiter((c for c, _ in both), dtype=np.int64, count=len(pieces))
+            words = np.fromiter((w for _, w in both), dtype=np.uint32, count=len(pieces))
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["places"]], pa.binary()), pa.array([pack_longs(counts)], pa.binary()), pa.array([pack_numbers(words)], pa.binary())], names=["block", "places", "counts", "words"])
 
     first = totals.select(F.lit(None).cast("long").alias("block"), "key", "pieces", F.lit(None).cast("binary").alias("places"), "counts")
@@ -128,12 +222,11 @@ def _contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-def _sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _sums(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``at`` and the sums of their rows."""
     order = np.argsort(at, kind="stable")
     keys, first = np.unique(at[order], return_index=True)
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    out[keys] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return keys, np.add.reduceat(rows[order], first, axis=0)
 
 
 class _Trainer:
@@ -146,7 +239,9 @@ class _Trainer:
         self.noise_log = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
         self.upto = np.cumsum(share)
 
-    def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+    def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray, inner: tuple[np.ndarray, ...] | None = None) -> None:
+        """``inner``: for the tokens of classes their place in the batch, their word, noise words
+        of its class, and the logarithms of the shares of the word and of the noise words."""
         context, target, bias, places = self.params
         noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE) * self.upto[-1]), len(self.share) - 1)
         rn, rf = context[near], context[far]
@@ -155,62 +250,223 @@ class _Trainer:
         up = 1 / (1 + np.exp((predicted * right).sum(axis=1) + bias[word] - self.noise_log[word]))
         down = -1 / (1 + np.exp(-(predicted @ target[noise].T + bias[noise] - self.noise_log[noise])))
         moved = up[:, None] * right + down @ target[noise]
-        n = len(bias)
-        d_target = _sums(up[:, None] * predicted, word, n)
-        np.add.at(d_target, noise, down.T @ predicted)
-        d_bias = np.bincount(word, up, minlength=n).astype(np.float32)
-        np.add.at(d_bias, noise, down.sum(axis=0))
-        d_context = _sums(moved * places[0], near, n) + _sums(moved * places[1], far, n)
+        at, rows, slopes = [word, noise], [up[:, None] * predicted, down.T @ predicted], [up, down.sum(axis=0)]
+        if inner is not None and len(inner[0]):
+            which, one, others, one_log, others_log = inner
+            mine, right, wrong = predicted[which], target[one], target[others]
+            up = 1 / (1 + np.exp((mine * right).sum(axis=1) + bias[one] - one_log - np.float32(np.log(INNER_NOISE))))
+            down = -1 / (1 + np.exp(-(np.matmul(wrong, mine[:, :, None])[:, :, 0] + bias[others] - others_log - np.float32(np.log(INNER_NOISE)))))
+            moved[which] += up[:, None] * right + np.matmul(down[:, None, :], wrong)[:, 0]
+            at += [one, others.reshape(-1)]
+            rows += [up[:, None] * mine, (down[:, :, None] * mine[:, None, :]).reshape(-1, mine.shape[1])]
+            slopes += [up, down.reshape(-1)]
+        at, rows, slopes = (np.concatenate(x) for x in (at, rows, slopes))
+        keys, d = _sums(np.hstack([rows, slopes[:, None]]), at)
+        self._move(1, keys, d[:, :-1])
+        self._move(2, keys, d[:, -1])
         d_places = np.stack([(moved * rn).sum(axis=0), (moved * rf).sum(axis=0)])
-        for p, g, d in zip(self.params, self.grown, (d_context, d_target, d_bias, d_places), strict=True):
-            g += d * d
-            p += np.float32(RATE) * d / np.sqrt(g)
-
-
-def _trained(texts: DataFrame, model: Model, share: np.ndarray, seed: int) -> Model:
-    """One pass over all training texts: each partition trains a copy, copies are averaged by word.
-
-    A copy's row of a word counts as often as the word occurs in the copy's texts. The average is
-    a Spark aggregate, so what reaches the driver is one model, however many copies there are.
+        self._move(0, *_sums(np.concatenate([moved * places[0], moved * places[1]]), np.concatenate([near, far])))
+        self._move(3, np.arange(2), d_places)
+
+    def _move(self, k: int, at: np.ndarray, d: np.ndarray) -> None:
+        grown = self.grown[k][at] + d * d
+        self.grown[k][at] = grown
+        self.params[k][at] += np.float32(RATE) * d / np.sqrt(grown)
+
+
+def _start(plan: Layout, rows: np.ndarray) -> np.ndarray:
+    """The first vectors (context, target, bias) of rows of the model: noise that the row decides."""
+    seeds = tk.mix(np.asarray(rows, dtype=np.uint64)[:, None] * np.uint64(2 * DIMS) + np.arange(1, 2 * DIMS + 1, dtype=np.uint64))
+    values = ((seeds >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5)) * np.float32(0.1 * 12**0.5)
+    outer, inner = plan.shares
+    shares = np.concatenate([outer[: plan.heads], inner, outer[plan.heads :], [1.0]])
+    made = np.hstack([values, np.log(shares[rows])[:, None].astype(np.float32)])
+    made[np.asarray(rows) == plan.rows - 1] = 1
+    return made
+
+
+def _outer_rows(plan: Layout) -> np.ndarray:
+    """The model's rows of the outcomes of the first level."""
+    return np.concatenate([np.arange(plan.heads), np.arange(plan.words, plan.words + plan.classes)])
+
+
+class _Copy:
+    """A partition's copy of the rows that its texts need."""
+
+    def __init__(self, plan: Layout, seed: int):
+        self.plan, self.rows = plan, _outer_rows(plan)
+        self.slots = np.full(plan.rows, -1, dtype=np.int32)
+        self.slots[self.rows] = np.arange(len(self.rows))
+        first = _start(plan, self.rows)
+        self.seen = np.full(len(self.rows), 1e-3)
+        self.trainer = _Trainer(Model(first[:, :DIMS], first[:, DIMS : 2 * DIMS], first[:, 2 * DIMS], np.ones((2, DIMS), np.float32), 1), plan.shares[0], seed)
+
+    def _add(self, words: np.ndarray) -> None:
+        new = np.unique(words)
+        new = new[self.slots[new] < 0]
+        if not len(new):
+            return
+        self.slots[new] = len(self.rows) + np.arange(len(new))
+        self.rows = np.concatenate([self.rows, new])
+        first = _start(self.plan, new)
+        for k, part in enumerate((first[:, :DIMS], first[:, DIMS : 2 * DIMS], first[:, 2 * DIMS])):
+            self.trainer.params[k] = np.concatenate([self.trainer.params[k], part])
+            self.trainer.grown[k] = np.concatenate([self.trainer.grown[k], np.ones_like(part)])
+        self.seen = np.concatenate([self.seen, np.full(len(new), 1e-3)])
+
+    def learn(self, words: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+        plan, trainer = self.plan, self.trainer
+        self._add(np.concatenate([words, near[:1], far[:1]]))
+        n, slot = len(words), self.slots[words].astype(np.int64)
+        near, far = self.slots[near], self.slots[far]
+        of = (words - plan.heads) // plan.size
+        later = words >= plan.heads
+        outer = np.where(later, plan.heads + of, slot)
+        self.seen += np.bincount(slot, minlength=len(self.seen))
+        self.seen[plan.heads : plan.outcomes] += np.bincount(of[later], minlength=plan.classes)
+        # noise of a class are the words of its other tokens here, which have the class's own shares
+        tokens = np.flatnonzero(later)
+        tokens = tokens[np.argsort(of[tokens], kind="stable")]
+        low, high = (np.searchsorted(of[tokens], of[tokens], side=x) for x in ("left", "right"))
+        log = np.log(plan.shares[1]).astype(np.float32)
+        place = np.zeros(n, dtype=np.int64)
+        place[tokens] = np.arange(len(tokens))
+        order = trainer.draw.permutation(n)
+        for at in range(0, n, BATCH):
+            part = order[at : at + BATCH]
+            which = np.flatnonzero(later[part])
+            p = place[part[which]]
+            drawn = tokens[low[p, None] + (trainer.draw.random((len(p), INNER_NOISE)) * (high - low)[p, None]).astype(np.int64)] if len(p) else np.zeros((0, INNER_NOISE), np.int64)
+            one = part[which]
+            trainer.step(outer[part], near[part], far[part], (which, slot[one], slot[drawn], log[words[one] - plan.heads], log[words[drawn] - plan.heads]))
+
+
+def _trained(texts: DataFrame, plan: Layout, seed: int) -> str:
+    """The folder of the model after one pass over all training texts.
+
+    Each partition trains a copy of the rows that its texts need; copies are averaged by word. A
+    copy's row counts as often as its word or class occurs in the copy's texts. Rows meet by the
+    file of the model they are of, which one task writes, so the model never is in one place.
     """
-    n, width = len(model.bias), 2 * DIMS + 1
+    path = shared_dir(texts.sparkSession).removeprefix("file:")
+    width = 2 * DIMS + 1
 
     def run(batches):
-        trainer, seen = _Trainer(model, share, seed), np.full(n, 1e-3)
-        held, size = [], 0
-
-        def flush():
-            triples = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = trainer.draw.permutation(len(triples[0]))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                trainer.step(*(x[part] for x in triples))
-
+        copy, held, size = _Copy(plan, seed), [], 0
         for batch in batches:
             for packed in batch.column(0):
                 words = unpack_numbers(packed.as_py()).astype(np.int64)
-                near, far = _contexts(words, model.end)
-                held.append((words, near, far))
-                seen += np.bincount(words, minlength=n)
+                held.append((words, *_contexts(words, 1)))
                 size += len(words)
                 if size >= 16 * BATCH:
-                    flush()
+                    copy.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, size = [], 0
         if size:
-            flush()
-        if seen.sum() < 1:
+            copy.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if copy.seen.sum() < 1:
             return
-        context, target, bias, places = trainer.params
-        flat = np.concatenate([np.hstack([context, target, bias[:, None]]), np.concatenate([places.reshape(-1), [0]])[None, :]]).astype(np.float64)
-        weight = np.concatenate([seen, [seen.sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(weight), pa.ListArray.from_arrays(pa.array(np.arange(n + 2, dtype=np.int32) * width), pa.array((flat * weight[:, None]).reshape(-1)))], names=["row", "weight", "values"])
-
-    copies = texts.where("not held_out").select("words").mapInArrow(lean(run), "row int, weight double, values array<double>")
-    means = copies.groupBy("row").agg(F.array(*(F.sum(F.col("values")[k]) / F.sum("weight") for k in range(width))).alias("values")).orderBy("row").collect()
-    if not means:
-        return model
-    flat = np.array([r["values"] for r in means], dtype=np.float32)
-    return Model(flat[:-1, :DIMS], flat[:-1, DIMS : 2 * DIMS], flat[:-1, 2 * DIMS], flat[-1, : 2 * DIMS].reshape(2, DIMS), model.end)
+        context, target, bias, places = copy.trainer.params
+        last = np.append(places.reshape(-1), 0).astype(np.float32)
+        rows = np.append(copy.rows, plan.rows - 1)
+        flat = np.vstack([np.hstack([context, target, bias[:, None]]), last])
+        weight = np.append(copy.seen, copy.seen.sum())
+        order = np.argsort(rows, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(rows[order] // FILE_ROWS)) + 1):
+            yield pa.RecordBatch.from_arrays([pa.array([int(rows[part[0]]) // FILE_ROWS]), pa.array([pack_numbers(rows[part])], pa.binary()), pa.array([weight[part].astype("<f4").tobytes()], pa.binary()), pa.array([flat[part].astype("<f2").tobytes()], pa.binary())], names=["file", "rows", "weights", "values"])
+
+    def averaged(batches):
+        def out(k, total, weight):
+            rows = np.arange(k * FILE_ROWS, k * FILE_ROWS + len(total))
+            made = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-9)[:, None], _start(plan, rows)).astype(np.float32)
+            os.makedirs(path, exist_ok=True)
+            draft = f"{path}/.{uuid.uuid4().hex}.npy"
+            np.save(draft, made)
+            os.replace(draft, f"{path}/{k}.npy")
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["file"])
+
+        now = None
+        for row in rows_of(batches):
+            if row["file"] != now:
+                if now is not None:
+                    yield out(now, total, weight)
+                now = row["file"]
+                n = min(FILE_ROWS, plan.rows - now * FILE_ROWS)
+                total, weight = np.zeros((n, width)), np.zeros(n)
+            at = unpack_numbers(row["rows"]).astype(np.int64) - now * FILE_ROWS
+            w = np.frombuffer(row["weights"], dtype="<f4").astype(np.float64)
+            total[at] += np.frombuffer(row["values"], dtype="<f2").astype(np.float64).reshape(-1, width) * w[:, None]
+            weight[at] += w
+        if now is not None:
+            yield out(now, total, weight)
+
+    copies = texts.where("not held_out").select("words").mapInArrow(lean(run), "file long, rows binary, weights binary, values binary")
+    copies.repartition("file").sortWithinPartitions("file").mapInArrow(lean(averaged), "file long").count()
+    return path
+
+
+class Vectors:
+    """Rows of a model's files, mapped into memory where they are read."""
+
+    def __init__(self, path: str, plan: Layout):
+        self.path, self.plan, self.files = path, plan, {}
+        self.places = self.rows(np.array([plan.rows - 1]))[0, : 2 * DIMS].reshape(2, DIMS)
+        outer = self.rows(_outer_rows(plan))
+        self.target, self.bias = outer[:, DIMS : 2 * DIMS].T.copy(), outer[:, 2 * DIMS].copy()
+        self.flat = _tables(Model(outer[:, :DIMS], outer[:, DIMS : 2 * DIMS], self.bias, self.places, 1)) if not plan.classes else None
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty((len(at), 2 * DIMS + 1), dtype=np.float32)
+        of = at // FILE_ROWS
+        for k in np.unique(of).tolist():
+            if k not in self.files:
+                name = f"{self.path}/{k}.npy"
+                self.files[k] = np.load(name, mmap_mode="r") if os.path.exists(name) else _start(self.plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, self.plan.rows)))
+            mine = of == k
+            out[mine] = self.files[k][at[mine] - k * FILE_ROWS]
+        return out
+
+    def log_probabilities(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Natural log-probabilities of the tokens of texts; the normalisers are those of the texts' contexts."""
+        if self.flat is not None:
+            return [log_probabilities(self.flat, 1, t) for t in texts]
+        if not texts:
+            return []
+        plan = self.plan
+        near, far = (np.concatenate(x) for x in zip(*(_contexts(t, 1) for t in texts), strict=True))
+        words = np.concatenate(texts)
+        kinds, back = np.unique(np.concatenate([near, far]), return_inverse=True)
+        context = self.rows(kinds)[:, :DIMS]
+        of = np.where(words < plan.heads, -1, (words - plan.heads) // plan.size)
+        outer = np.where(of < 0, words, plan.heads + of)
+        out = np.empty(len(words))
+        order = np.argsort(of, kind="stable")
+        for at in range(0, len(order), 64 * CONTEXTS):
+            group = order[at : at + 64 * CONTEXTS]
+            predicted = context[back[group]] * self.places[0] + context[back[len(words) + group]] * self.places[1]
+            for lo in range(0, len(group), CONTEXTS):
+                part = group[lo : lo + CONTEXTS]
+                out[part] = _picked(predicted[lo : lo + CONTEXTS] @ self.target + self.bias, outer[part])
+            cut = np.flatnonzero(np.diff(of[group])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
+                k = int(of[group[lo]])
+                if k < 0:
+                    continue
+                first = plan.heads + k * plan.size
+                inner = self.rows(np.arange(first, min(first + plan.size, plan.words)))
+                for a in range(lo, hi, CONTEXTS):
+                    part = group[a : min(a + CONTEXTS, hi)]
+                    out[part] += _picked(predicted[a : min(a + CONTEXTS, hi)] @ inner[:, DIMS : 2 * DIMS].T + inner[:, 2 * DIMS], words[part] - first)
+        return np.split(out, np.cumsum([len(t) for t in texts])[:-1])
+
+
+def _picked(scores_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of a place of each row."""
+    scores_ -= scores_.max(axis=1, keepdims=True)
+    own = scores_[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(scores_, out=scores_).sum(axis=1, dtype=np.float64))
+
+
+_open: dict[str, Vectors] = {}
 
 
 _made: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -252,9 +508,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts are lower-cased (A-Z) and split into words, then one end, which counts as a token; a
     null text is an empty one. Texts whose CRC-32 fold is HELD_FOLD teach nothing. base_score
     adds log10((c + 1) / (N + V + 1)) with the counts c of all training tokens N of V kinds.
-    score is the model's log10 probability of the text: a token of the vocabulary, or RARE, is
-    predicted from the two tokens before it; a rare token has besides its share of the rare
-    counts, each increased by one, with one more for all unseen ones.
+    score is the model's log10 probability of the text: a token is predicted from the two tokens
+    before it, as a frequent word, or as a class of words about as frequent and a word of it.
+    Words seen less than LEAST times are the word RARE there, and have besides their share of the
+    rare counts, each increased by one, with one more for all unseen ones.
 
     Every word is counted: words meet by a hash in shards and return their counts to the blocks
     of texts that hold them. Every training text is learned from, in one pass. Repeated rows are
@@ -264,13 +521,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keep = [id_col, "held_out"]
     blocks = table(blocked(rows, keep, "text", _cutter))
     totals = _totals(blocks)
-    n, kinds = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    top = totals.select(F.explode("top").alias("t")).select("t.piece", "t.n").orderBy(F.desc("n"), "piece").limit(VOCABULARY - 1).collect()
-    counts = {bytes(r["piece"]): r["n"] for r in top}
-    counts.setdefault(END, 0)
-    ids = {piece: k + 1 for k, piece in enumerate(counts)}
+    found = totals.select("key", "kinds", "tokens", "ends", "known", "bands").collect()
+    n, kinds, ends, known_tokens = (sum(r[k] for r in found) for k in ("tokens", "kinds", "ends", "known"))
+    plan = layout({r["key"]: r["bands"] for r in found}, n - ends - known_tokens, ends)
     # the rare kinds' counts increased by one, and one for the unseen
-    rare = n - sum(counts.values()) + kinds - sum(c > 0 for c in counts.values()) + 1
+    rare = n - ends - known_tokens + kinds - (ends > 0) - (plan.words - 2) + 1
 
     def joined(parts, positions):
         places = [np.cumsum(unpack_numbers(p["places"])) for p in parts]
@@ -288,24 +543,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             pa.array([pack_numbers(word[p]) for p in positions], pa.binary()),
         ]
 
-    texts = table(reassembled(blocks.where("key >= 0"), _returned(blocks, totals, ids), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
+    texts = table(reassembled(blocks.where("key >= 0"), _returned(blocks, totals, plan), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
 
-    share = np.array([max(rare - 1, 0), *counts.values()], dtype=np.float64) + 1
-    share /= share.sum()
-    draw = np.random.Generator(np.random.PCG64(3))
-    size = (len(share), DIMS)
-    model = Model(draw.normal(0, 0.1, size).astype(np.float32), draw.normal(0, 0.1, size).astype(np.float32), np.log(share).astype(np.float32), np.ones((2, DIMS), dtype=np.float32), ids[END])
-    for epoch in range(EPOCHS):
-        model = _trained(texts, model, share, epoch)
+    path = _trained(texts, plan, 0)
 
     def scored(batches):
-        tables = _tables(model)
+        if path not in _open:
+            _open.clear()
+            _open[path] = Vectors(path, plan)
         for batch in batches:
-            made = np.empty(batch.num_rows)
-            for i, packed in enumerate(batch.column(5)):
-                made[i] = log_probabilities(tables, model.end, unpack_numbers(packed.as_py()).astype(np.int64)).sum() / np.log(10)
-            made += batch.column(6).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(made)], names=[*batch.schema.names[:5], "score"])
+            made = _open[path].log_probabilities([unpack_numbers(packed.as_py()).astype(np.int64) for packed in batch.column(5)])
+            score = np.array([x.sum() / np.log(10) for x in made], dtype=np.float64) + batch.column(6).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(score)], names=[*batch.schema.names[:5], "score"])
 
     known = texts.select(*keep, "n_tokens", "n_known", "base_score", "words", "rare_score")
     schema = known.select(*known.columns[:5]).schema.add("score", "double")

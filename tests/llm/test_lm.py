@@ -68,3 +68,23 @@ def test_training_lowers_the_loss():
         trainer.step(words[at : at + 500], near[at : at + 500], far[at : at + 500])
     end = lm.Model(*trainer.params, 1)
     assert lm.log_probabilities(lm._tables(end), 1, words).mean() > lm.log_probabilities(lm._tables(start), 1, words).mean() + 1
+
+
+def test_the_vocabulary_grows_and_frequent_words_are_not_its_bound(spark):
+    draw = np.random.default_rng(4)
+    pairs = draw.permutation(np.repeat(np.arange(3000), 40))
+    texts = [" ".join(f"a{k} b{k}" for k in part) for part in np.split(pairs, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.union(spark.createDataFrame([(1000 + k, f"a{k} b{k}") for k in range(200)] + [(2000 + k, f"a{k} b{k + 1}") for k in range(200)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
+    # 6,000 words of about one count: what follows a word is told by the word only
+    assert np.mean([rows[1000 + k] - rows[2000 + k] for k in range(200)]) > 0.1
+
+
+def test_probabilities_over_classes_add_up_to_one(tmp_path):
+    plan = lm.layout({-1: [0] * 24 + [2000, 0, 0, 100], -2: [0] * 24 + [1500, 20]}, 50, 10)
+    assert plan.classes > 1 and plan.words == 3622
+    draw = np.random.default_rng(2)
+    np.save(tmp_path / "0.npy", draw.normal(size=(plan.rows, 2 * lm.DIMS + 1)).astype(np.float32))
+    made = lm.Vectors(str(tmp_path), plan).log_probabilities([np.array([5, 3600, w]) for w in range(plan.words)])
+    assert math.isclose(sum(math.exp(x[2]) for x in made), 1, rel_tol=1e-4)
