@@ -27,5 +27,10 @@ def sample(labels: DataFrame, label: str, learn: Column, id_col: str = "doc_id",
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, label, weight and text of the sampled rows; the sample, bounded, is sent to the documents."""
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "label", "weight", "text")
+    """id, label, weight and text of the sampled ids; the sample, bounded, is sent to the documents.
+
+    Of an id's texts the first in order is taken, so that repeated rows do not pass the bound; an
+    id with null texts only has an empty one.
+    """
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
+    return texts.groupBy(id_col, "label", "weight").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))

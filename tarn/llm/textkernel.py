@@ -21,6 +21,9 @@ SLICE_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The bytes between words of letters, digits and non-ASCII bytes.
+BREAK = np.ones(256, dtype=bool)
+BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _draw.integers(0, 2**64, 256, dtype=np.uint64)
 _FOLDED = _BYTE.copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,133 +13,137 @@ from tarn.llm import textkernel as tk
 from tarn.llm.common import fold, lean
 from tarn.llm.labelled import ROWS_PER_CLASS, sample, texts_of
 
-#: A word is predicted from its first bytes, these from fewer: the orders of the models.
-PREFIXES = (4, 6)
-DISCOUNT = 0.1
-#: An entry seen less often in the sample's texts is unseen: only its shared backoff remains.
-LEAST_COUNT = 2
+#: What is taken off each count and given to the backoff.
+DISCOUNT = 0.9
 #: The part of a toxic text's words that the toxic model writes; the ordinary one writes the rest.
 TOXIC_SHARE = 0.003
-#: What a text's log-likelihood difference is divided by: its tokens to this power.
+#: What a text's log-likelihood difference is divided by: its words to this power.
 LENGTH_POWER, SCALE = 0.5, 100.0
 THRESHOLD = 0.5
+#: The history of a text's first word.
+START = np.uint64(1)
 
 
 @dataclass
 class Model:
-    """Sorted entry hashes of all orders and, for each, the difference of class log-likelihoods.
+    """Log-likelihood ratios, toxic against ordinary, of everything that the models know.
 
-    ``unseen``: the difference for an entry that is unknown, by the hash of its known history.
+    ``pairs``/``pair_gain``: words after the word before them. ``words``/``word_gain``: words
+    without a history; ``unseen`` is that of a word that neither class holds. ``histories``/
+    ``history_gain``: of the backoff weights of a word before an unknown pair.
     """
 
-    entries: np.ndarray
-    gains: np.ndarray
+    pairs: np.ndarray
+    pair_gain: np.ndarray
+    words: np.ndarray
+    word_gain: np.ndarray
     histories: np.ndarray
-    unseen: np.ndarray
-    root_unseen: float
-    weights: np.ndarray
+    history_gain: np.ndarray
+    unseen: float = 0.0
+    weights: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0, 0, 0]))
 
 
-def _entries(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, list[np.ndarray]]:
-    """Hashes of every word's prefixes and of the word, marked by their order."""
-    w = tk.split(buf, offsets)
-    orders = [tk.hash_spans(buf, w.starts, np.minimum(w.ends, w.starts + n), folded=True) for n in PREFIXES]
-    orders.append(tk.hash_spans(buf, w.starts, w.ends, folded=True))
-    return w, [tk.mix(h ^ np.uint64(k + 1)) for k, h in enumerate(orders)]
+def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray, np.ndarray]:
+    """Words of letters, digits and non-ASCII bytes in lower case: hashes and those of the words before."""
+    w = tk.split(buf, offsets, tk.BREAK)
+    word = tk.hash_spans(buf, w.starts, w.ends, folded=True)
+    before = np.roll(word, 1)
+    before[np.flatnonzero(np.diff(w.doc, prepend=-1))] = START
+    return w, word, before
 
 
-def _counts(batches_of: DataFrame) -> DataFrame:
-    """(order, history, entry, n0, n1) over the sample's texts, pre-aggregated per batch."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """(history, word, n0, n1) over the sample's texts, pre-aggregated per slice."""
 
     def run(batches):
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, buf, offsets in tk.slices(batch.column(1)):
-                w, orders = _entries(buf, offsets)
+                w, word, before = _tokens(buf, offsets)
                 toxic = label[lo:hi][w.doc] == 1
-                for k, entry in enumerate(orders):
-                    history = orders[k - 1] if k else np.zeros(len(entry), np.uint64)
-                    keys, first, back = np.unique(entry, return_index=True, return_inverse=True)
-                    n1 = np.bincount(back[toxic], minlength=len(keys))
-                    n0 = np.bincount(back, minlength=len(keys)) - n1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(history[first].view(np.int64)), pa.array(keys.view(np.int64)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["level", "history", "entry", "n0", "n1"])
+                keys, first, back = np.unique(tk.pair_hash(before, word), return_index=True, return_inverse=True)
+                n1 = np.bincount(back[toxic], minlength=len(keys))
+                n0 = np.bincount(back, minlength=len(keys)) - n1
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["history", "word", "n0", "n1"])
 
-    parts = batches_of.select("label", "text").mapInArrow(lean(run), "level int, history long, entry long, n0 long, n1 long")
-    return parts.groupBy("level", "history", "entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_COUNT)
+    parts = texts.select("label", "text").mapInArrow(lean(run), "history long, word long, n0 long, n1 long")
+    return parts.groupBy("history", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _fit(counts) -> tuple[np.ndarray, ...]:
-    """Interpolated Kneser-Ney of both classes; the lower distribution of a history is shared.
+def _by(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of both classes' columns by key."""
+    return np.stack([np.bincount(key, values[:, c], minlength=n) for c in (0, 1)], axis=1)
 
-    Counts are first scaled to the smaller class's total. So an expression that is rare in the
-    sample falls below the discount of both classes, and its shared backoff cancels out.
+
+def estimate(history: np.ndarray, word: np.ndarray, n: np.ndarray) -> Model:
+    """Interpolated Kneser-Ney of both classes from the counts ``n`` (pairs, 2) of pairs of words.
+
+    With D the discount and c a class, a word w after h has
+    p(w | h, c) = max(n(c, h, w) - D, 0) / n(c, h) + D * kinds(c, h) / n(c, h) * p(w | c), and
+    p(w | c) = max(N(c, w) - D, 0) / N(c) + D * kinds(c) / N(c) * p(w),
+    where N(c, w) are continuation counts: in how many histories the class has w. The backoff
+    p(w) is shared: it counts in how many classes w occurs, less D, which is left for words that
+    no class has. So what one class has often and the other never is told apart clearly, and an
+    expression that is rare in both is mostly its shared backoff, which cancels out.
     """
-    entries, gains, histories, unseen = [], [], [], []
-    words = counts[counts["level"] == len(PREFIXES)][["n0", "n1"]].to_numpy().sum(axis=0).astype(float)
-    scale = words.min() / np.maximum(words, 1)
-    for level in range(len(PREFIXES) + 1):
-        part = counts[counts["level"] == level]
-        history, entry = part["history"].to_numpy().view(np.uint64), part["entry"].to_numpy().view(np.uint64)
-        n = part[["n0", "n1"]].to_numpy().astype(float) * scale
-        if not len(n):
-            continue
-        keys, back = np.unique(history, return_inverse=True)
-        total = np.stack([np.bincount(back, n[:, c]) for c in (0, 1)], axis=1)
-        cut_off = np.stack([np.bincount(back, np.minimum(n[:, c], DISCOUNT)) for c in (0, 1)], axis=1)
-        # shared backoff: pooled counts less a discount, which is left for what the sample lacks
-        pooled = n.sum(axis=1)
-        taken = np.minimum(pooled, DISCOUNT) / 2
-        pool, left = np.bincount(back, pooled), np.bincount(back, taken)
-        share, missing = (pooled - taken) / np.maximum(pool, 1e-9)[back], left / np.maximum(pool, 1e-9)
-        weight = np.where(total > 0, cut_off / np.maximum(total, 1e-9), 1.0)
-        p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1e-9)[back] + weight[back] * share[:, None] + 1e-12
-        entries.append(entry)
-        gains.append(np.log(p[:, 1]) - np.log(p[:, 0]))
-        histories.append(keys)
-        miss = weight * missing[:, None] + 1e-12
-        unseen.append(np.where((total > 0).all(axis=1), np.log(miss[:, 1]) - np.log(miss[:, 0]), 0.0))
-    if not entries:
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), 0.0
-    e, g, h, u = map(np.concatenate, (entries, gains, histories, unseen))
-    by, of = np.argsort(e), np.argsort(h)
-    root = float(u[of][np.searchsorted(h[of], 0)]) if (h == 0).any() else 0.0
-    return e[by], g[by], h[of], u[of], root
-
-
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(n) or not n.sum(axis=0).all():
+        none, zero = np.zeros(0, np.uint64), np.zeros(0)
+        return Model(none, zero, none, zero, none, zero)
+    held = (n > 0).astype(float)
+    words, w = np.unique(word, return_inverse=True)
+    histories, h = np.unique(history, return_inverse=True)
+    after = _by(w, held, len(words))
+    shared = (after > 0).sum(axis=1) - DISCOUNT
+    shared = shared / (shared + DISCOUNT).sum()
+    left = DISCOUNT * (after > 0).sum(axis=0) / after.sum(axis=0)
+    by_word = np.maximum(after - DISCOUNT, 0) / after.sum(axis=0) + left * shared[:, None]
+    total, kinds = _by(h, n, len(histories)), _by(h, held, len(histories))
+    kept = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    by_pair = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[h] + kept[h] * by_word[w]
+    pairs = tk.pair_hash(history, word)
+    order = np.argsort(pairs)
+
+    def gain(p):
+        return np.log(p[..., 1] / p[..., 0])
+
+    return Model(pairs[order], gain(by_pair)[order], words, gain(by_word), histories, gain(kept), float(gain(left)))
+
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
     if not len(keys):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), dtype=bool)
+        return np.broadcast_to(missing, wanted.shape).astype(float)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return np.where(hit, values[at], 0.0), hit
+    return np.where(keys[at] == wanted, values[at], missing)
+
+
+def gains(model: Model, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log p(w | toxic) / p(w | ordinary) of words alone and of words after those before them."""
+    kinds, back = np.unique(word, return_inverse=True)
+    alone = _look(model.words, model.word_gain, kinds, model.unseen)[back]
+    backoff = _look(model.histories, model.history_gain, before, 0.0) + alone
+    return alone, _look(model.pairs, model.pair_gain, tk.pair_hash(before, word), backoff)
 
 
-def differences(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum over a text's words of the difference of log-likelihoods, its words).
+def differences(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood differences of texts by words alone and by pairs of words, and their words.
 
     Most words of a toxic text are ordinary: each is the toxic model's with probability
     TOXIC_SHARE, so that a word can speak against toxicity only a little.
     """
-    w, orders = _entries(buf, offsets)
-    words, back = np.unique(orders[-1], return_inverse=True)
-    first = np.zeros(len(words), dtype=np.int64)
-    first[back] = np.arange(len(back))
-    gain, known = np.zeros(len(words)), np.ones(len(words), dtype=bool)
-    for k, entry in enumerate(orders):
-        value, hit = _look(model.entries, model.gains, entry[first])
-        gain += np.where(known, value, 0.0)
-        lost = known & ~hit
-        if lost.any():
-            gain[lost] += _look(model.histories, model.unseen, orders[k - 1][first[lost]])[0] if k else model.root_unseen
-        known &= hit
-    gain = np.log1p(TOXIC_SHARE * np.expm1(np.minimum(gain, 30)))
-    return tk.per_text(gain[back], w.bounds), w.counts
-
-
-def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The length-normalised difference, on a log scale above 0, and the length."""
-    normalised = np.maximum(total, 0) / np.maximum(words, 1) ** LENGTH_POWER
-    return np.stack([np.ones(len(words)), np.log1p(SCALE * normalised), np.log1p(words)], axis=1)
+    w, word, before = _tokens(buf, offsets)
+    mixed = (np.log1p(TOXIC_SHARE * np.expm1(np.minimum(g, 30))) for g in gains(model, word, before))
+    alone, paired = (tk.per_text(g, w.bounds) for g in mixed)
+    return alone, paired, w.counts
+
+
+def _features(alone: np.ndarray, paired: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The length-normalised difference by words, what pairs add to it, both on a log scale, and the length."""
+    root = np.maximum(words, 1) ** LENGTH_POWER
+
+    def scaled(x):
+        return np.sign(x) * np.log1p(SCALE * np.abs(x) / root)
+
+    return np.stack([np.ones(len(words)), scaled(alone), scaled(paired - alone), np.log1p(words)], axis=1)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -158,51 +162,60 @@ def _calibrated(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_PER_CLASS) -> Model:
     """A model of the labelled rows whose CRC-32 fold is not 0.
 
-    Folds 1 to 3 give the counts and fold 4 the weights of the length-normalised difference, so
-    weights are not fitted to texts that the counts hold. At most ``rows`` rows of each class.
+    Folds 1 to 3 give the counts and fold 4 the weights of the length-normalised differences, so
+    weights are not fitted to texts that the counts hold. At most ``rows`` ids of each class, each
+    with one text, so the counts that reach the driver are those of 2 * ``rows`` texts at most.
     Without labels of both classes every score is 0.
     """
     chosen = sample(labels, label, fold(id_col, 5) != 0, id_col, rows)
     texts = texts_of(docs, chosen, id_col, text_col)
     counts = _counts(texts.where(fold(id_col, 5) != 4)).toPandas()
-    table = _fit(counts)
-    model = Model(*table, np.array([-30.0, 0, 0]))
+    model = estimate(counts["history"].to_numpy().view(np.uint64), counts["word"].to_numpy().view(np.uint64), counts[["n0", "n1"]].to_numpy().astype(float))
 
     def made(buf, offsets):
         return list(differences(model, buf, offsets))
 
-    held = tk.over_texts(texts.where(fold(id_col, 5) == 4), ["label", "weight"], "text", "total double, words long", made).toPandas()
+    held = tk.over_texts(texts.where(fold(id_col, 5) == 4), ["label", "weight"], "text", "alone double, paired double, words long", made).toPandas()
     y = held["label"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.weights = _calibrated(_features(held["total"].to_numpy(), held["words"].to_numpy()), y, held["weight"].to_numpy())
+        model.weights = _calibrated(_features(*(held[k].to_numpy() for k in ("alone", "paired", "words"))), y, held["weight"].to_numpy())
     return model
 
 
+def _scores(model: Model, *parts: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_features(*parts) @ model.weights, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, log_ratio (per word) and score of every row's whole text.
 
-    A null or word-less text has no evidence: its score is the weights' at a length of 0.
+    A null or word-less text has no evidence: its score is the weights' at a length of 0. Rows
+    that repeat an id are scored as rows; other columns are ignored.
     """
 
     def made(buf, offsets):
-        total, words = differences(model, buf, offsets)
-        value = 1 / (1 + np.exp(-np.clip(_features(total, words) @ model.weights, -40, 40)))
-        return [words.astype(np.int64), total / np.maximum(words, 1), value]
+        alone, paired, words = differences(model, buf, offsets)
+        return [words.astype(np.int64), paired / np.maximum(words, 1), _scores(model, alone, paired, words)]
 
     return tk.over_texts(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), [id_col], text_col, "n_words long, log_ratio double, score double", made)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, log_ratio for every row of ``docs``."""
+    """doc_id, held_out, score, predicted, n_words, log_ratio for every row of ``docs``.
+
+    Null and empty texts have the score of a text without words, very long ones are scored whole,
+    repeated rows each have a row, null ids count as held out, no
+    documents give no rows and no labels give scores of 0. Other columns do not matter.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "log_ratio")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    model = fit(docs, labels)
-
-    def ordinary(buf, offsets):
-        return 1 / (1 + np.exp(-np.clip(_features(*differences(model, buf, offsets)) @ model.weights, -40, 40))) < threshold
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
 
-    return tk.filter_texts(docs, "text", ordinary)
+    Rows with null or empty texts are judged as texts without words; repeated rows stand or fall
+    together; without labels of both classes all rows stay.
+    """
+    model = fit(docs, labels)
+    return tk.filter_texts(docs, "text", lambda buf, offsets: _scores(model, *differences(model, buf, offsets)) < threshold)
