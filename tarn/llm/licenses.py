@@ -1,4 +1,4 @@
-"""Licence texts in documents, by an index of the templates' words and local alignment."""
+"""Licence texts in documents, by winnowed fingerprints of templates and banded alignment."""
 
 from __future__ import annotations
 
@@ -15,34 +15,65 @@ from tarn.llm import textkernel as tk
 from tarn.llm.common import lean
 from tarn.llm.templates import NOTICES
 
-#: A run of GRAM + WINDOW - 1 equal words is what winnowed fingerprints would need; here no run is.
-GRAM, WINDOW = 3, 3
 #: The part of a template's words that must be matched, in percent.
 COVERAGE = 80
+#: Templates of SHORT words or more have fingerprints of GRAM words, the least of each WINDOW in a
+#: row: a run of GRAM + WINDOW - 1 equal words has one for sure. Of a match that puts in, changes
+#: and leaves out words in fewer than 0.4 * words - 1 places some run is as long as that. In shorter
+#: templates every word is a fingerprint.
+SHORT, GRAM, WINDOW = 16, 2, 2
 
-_BREAK = np.ones(256, dtype=bool)
-_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+@dataclass
+class Index:
+    """Fingerprints of one length: hashes in order, where each one's postings begin, and postings."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    template: np.ndarray
+    place: np.ndarray
 
 
 @dataclass
 class Library:
-    """Templates as word hashes, and the index of their words: hash, times in each template."""
+    """Templates as word hashes, the inverted index of their fingerprints, and their words' counts.
+
+    ``band``: how far from a fingerprint's diagonal words may be put in or left out. For a short
+    template it is as far as any match can go, for others a quarter of the template.
+    """
 
     names: list[tuple[str, str]]
     words: list[np.ndarray]
     keys: np.ndarray
     times: np.ndarray
     need: np.ndarray
+    band: np.ndarray
+    index: dict[int, Index]
 
 
 def _split(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]:
     """Words of letters, digits and non-ASCII bytes, in lower case."""
-    w = tk.split(buf, offsets, _BREAK)
+    w = tk.split(buf, offsets, tk.BREAK)
     return w, tk.hash_spans(buf, w.starts, w.ends, folded=True)
 
 
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    out = words
+    for k in range(1, width):
+        out = tk.pair_hash(out[: max(len(words) - k, 0)], words[k:])
+    return out
+
+
+def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
+    """The places of the least hash of every ``window`` grams in a row; of equal ones the last."""
+    if len(grams) <= window:
+        return np.array([len(grams) - 1 - int(grams[::-1].argmin())]) if len(grams) else np.zeros(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1]
+    return np.unique(np.arange(len(rows)) + window - 1 - rows.argmin(axis=1))
+
+
 def library(templates: Mapping[tuple[str, str], str] = NOTICES) -> Library:
-    """The index of the templates' words; its size is the library's."""
+    """The templates' fingerprints and words; the size is the library's."""
     words = []
     for text in templates.values():
         ((_, _, buf, offsets),) = tk.slices(pa.array([text]))
@@ -50,111 +81,141 @@ def library(templates: Mapping[tuple[str, str], str] = NOTICES) -> Library:
     keys = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
     times = np.stack([np.bincount(np.searchsorted(keys, w), minlength=len(keys)) for w in words], axis=1) if words else np.zeros((0, 0), np.int64)
     need = np.array([max(1, -(-COVERAGE * len(w) // 100)) for w in words], dtype=np.int64)
-    return Library(list(templates), words, keys, times, need)
-
-
-def aligned(template: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best local alignment.
-
-    A match counts 2, a word left out, put in or changed -1. ``start`` and ``end`` are places in
-    ``words``. Of equal scores the first alignment counts.
+    band = np.array([2 * len(w) if len(w) < SHORT else max(SHORT, len(w) // 4) for w in words], dtype=np.int64)
+    index = {}
+    for width, short in ((1, True), (GRAM, False)):
+        posts = []
+        for k, w in enumerate(words):
+            if (len(w) < SHORT) == short:
+                grams = _grams(w, width)
+                at = np.arange(len(grams)) if short else winnowed(grams, WINDOW)
+                posts += [(int(grams[i]), k, int(i)) for i in at]
+        posts.sort()
+        held, starts = np.unique(np.array([p[0] for p in posts], dtype=np.uint64), return_index=True)
+        index[width] = Index(held, np.append(starts, len(posts)), np.array([p[1] for p in posts], dtype=np.int64), np.array([p[2] for p in posts], dtype=np.int64))
+    return Library(list(templates), words, keys, times, need, band, index)
+
+
+def hits(lib: Library, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, template, place in the template) of every fingerprint that the texts hold, by word."""
+    found = []
+    for width, index in lib.index.items():
+        if len(words) < width or not len(index.keys):
+            continue
+        grams = _grams(words, width)
+        at = np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)
+        here = np.flatnonzero((index.keys[at] == grams) & (doc[: len(grams)] == doc[width - 1 :]))
+        n = index.starts[at[here] + 1] - index.starts[at[here]]
+        post = np.repeat(index.starts[at[here]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        found.append(np.stack([np.repeat(here, n), index.template[post], index.place[post]]))
+    all_ = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return tuple(all_[:, np.argsort(all_[0], kind="stable")])
+
+
+def aligned(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
+    """(matched words, start, end) of the best local alignment near the main diagonal.
+
+    ``words`` begins ``band`` words before the template's first one and ends ``band`` words after
+    its last. A match counts 2, a word left out, put in or changed -1. ``start`` and ``end`` are
+    places in ``words``. Of equal scores the first alignment counts.
     """
-    n = len(words)
+    width = 2 * band + 1
     best, found = 0, (0, 0, 0)
-    place = np.arange(n)
-    score, matched, start = (np.zeros(n + 1, dtype=np.int64) for _ in range(3))
-    for t in template:
-        equal = words == t
+    place = np.arange(width)
+    score, matched, start = (np.zeros(width + 1, dtype=np.int64) for _ in range(3))
+    for row, t in enumerate(template):
+        # a cell's place in the row before is the same for the word before, and the next for this word
+        equal = words[row : row + width] == t
         cell = score[:-1] + np.where(equal, 2, -1)
         count = matched[:-1] + equal
-        first = np.where(equal & (score[:-1] == 0), place, start[:-1])
+        first = np.where(equal & (score[:-1] == 0), place + row, start[:-1])
         up = score[1:] - 1 > cell
         cell, count, first = np.where(up, score[1:] - 1, cell), np.where(up, matched[1:], count), np.where(up, start[1:], first)
         # words put in: the last place from which the way to the right costs least
-        ahead = np.maximum.accumulate((np.maximum(cell, 0) + place) * (n + 1) + place)
-        of = ahead % (n + 1)
-        cell = ahead // (n + 1) - place
+        ahead = np.maximum.accumulate((np.maximum(cell, 0) + place) * (width + 1) + place)
+        of = ahead % (width + 1)
+        cell = ahead // (width + 1) - place
         alive = cell > 0
-        score[1:], matched[1:], start[1:] = np.where(alive, cell, 0), np.where(alive, count[of], 0), np.where(alive, first[of], 0)
-        j = int(score.argmax())
+        score[:-1], matched[:-1], start[:-1] = np.where(alive, cell, 0), np.where(alive, count[of], 0), np.where(alive, first[of], 0)
+        j = int(score[:-1].argmax())
         if score[j] > best:
-            best, found = int(score[j]), (int(matched[j]), int(start[j]), j)
+            best, found = int(score[j]), (int(matched[j]), int(start[j]), j + row + 1)
     return found
 
 
-def _places(lib: Library, k: int, words: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int]]:
+def _places(lib: Library, k: int, words: np.ndarray, ids: np.ndarray, at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
     """(matched, start, end) of all matches of a template in one text, none on another's words.
 
-    A match of ``m`` words has a positive score, so that fewer than ``2 * m`` words are put in:
-    it lies in less than three times the template's words, of which ``need`` are the template's.
-    ``ids``: the place of each word in the library's index, -1 if it has none.
+    ``at``, ``place``: words of the text with a fingerprint and the fingerprints' places in the
+    template. ``ids``: the place of each word in the library's word list, -1 if it has none. Each
+    fingerprint outside the matches so far is aligned on its own diagonal, if the words there
+    are enough for a match.
     """
-    template, need = lib.words[k], int(lib.need[k])
+    template, need, band = lib.words[k], int(lib.need[k]), int(lib.band[k])
     n = len(template)
-    at = np.flatnonzero((ids >= 0) & (lib.times[ids, k] > 0))
-    near = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < 3 * n) if len(at) >= need else at[:0]
-    if not len(near):
-        return []
-    lo, hi = at[near], at[near + need - 1] + 1
-    cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
-    waiting = [(int(a[0]), int(b.max())) for a, b in zip(np.split(lo, cut), np.split(hi, cut), strict=True)][::-1]
-    found = []
-    while waiting:
-        lo, hi = waiting.pop()
-        # a long part is aligned by its first words; a match that begins in their first half is whole
-        end = min(hi, lo + 12 * n)
-        held = ids[lo:end]
-        counts = np.bincount(held[held >= 0], minlength=len(lib.keys))
-        if np.minimum(counts, lib.times[:, k]).sum() < need:
-            if end < hi:
-                waiting.append((lo + 6 * n, hi))
-            continue
-        matched, a, b = aligned(template, words[lo:end])
-        if end < hi and a >= 6 * n:
-            waiting += [(lo + a, hi), (lo, lo + a)]
-            continue
-        if matched >= need:
-            found.append((matched, lo + a, lo + b))
-        waiting += [(x, y) for x, y in ((lo + b, hi), (lo, lo + a)) if y - x >= need]
+    low, high = np.maximum(at - place - band, 0), np.minimum(at - place + n + band, len(words))
+    held = np.concatenate([[0], np.cumsum((ids >= 0) & (lib.times[ids, k] > 0))])
+    ids = np.where(ids < 0, len(lib.keys), ids)
+    free, times = words.copy(), np.append(lib.times[:, k], 0)
+    found, failed, done = [], None, 0
+    for i in np.flatnonzero(held[high] - held[low] >= need):
+        t, lo, hi = int(at[i]), int(low[i]), int(high[i])
+        diagonal = t - int(place[i])
+        while t >= done and failed != (diagonal, len(found)):
+            own = ids[lo:hi][free[lo:hi] != 0]
+            if np.minimum(np.bincount(own, minlength=len(times)), times).sum() < need:
+                break
+            near = np.zeros(n + 2 * band, dtype=np.uint64)
+            near[lo - diagonal + band : hi - diagonal + band] = free[lo:hi]
+            matched, a, b = aligned(template, near, band)
+            if matched < need:
+                failed = (diagonal, len(found))
+                break
+            a, b = a + diagonal - band, b + diagonal - band
+            free[a:b] = 0
+            found.append((matched, a, b))
+            if a <= t < b:
+                done = b
+                break
     return found
 
 
-def _matches(lib: Library, words: np.ndarray, ids: np.ndarray, templates: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _matches(lib: Library, words: np.ndarray, ids: np.ndarray, at: np.ndarray, template: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(template, matched, start, end) of one text, no two of them on the same words."""
-    found = [(int(k), *one) for k in templates for one in _places(lib, int(k), words, ids)]
+    found = [(int(k), *one) for k in np.unique(template) for one in _places(lib, int(k), words, ids, at[template == k], place[template == k])]
     starts, ends, kept = [], [], []
     for one in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
-        at = bisect_right(starts, one[2])
-        if (at == 0 or ends[at - 1] <= one[2]) and (at == len(starts) or one[3] <= starts[at]):
-            starts.insert(at, one[2])
-            ends.insert(at, one[3])
+        i = bisect_right(starts, one[2])
+        if (i == 0 or ends[i - 1] <= one[2]) and (i == len(starts) or one[3] <= starts[i]):
+            starts.insert(i, one[2])
+            ends.insert(i, one[3])
             kept.append(one)
     return sorted(kept, key=lambda f: f[2:])
 
 
-def _candidates(lib: Library, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, template) pairs where the text holds so many of the template's words as a match needs."""
+def _enough(lib: Library, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """text * templates + template of the pairs where the text holds as many of the template's words as a match needs."""
     at = np.flatnonzero(ids >= 0)
     if not len(at):
-        return at, at
+        return at
     pair, n = np.unique(doc[at] * len(lib.keys) + ids[at], return_counts=True)
     of, word = pair // len(lib.keys), pair % len(lib.keys)
     texts, first = np.unique(of, return_index=True)
     both = np.add.reduceat(np.minimum(n[:, None], lib.times[word]), first, axis=0)
     text, template = np.nonzero(both >= lib.need)
-    return texts[text], template
+    return texts[text] * len(lib.names) + template
 
 
 def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match: id, license_id, template, matched, coverage, word and character spans.
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A text is a candidate
-    for the templates of which it holds COVERAGE percent of the words, in any order, which no
-    match lacks. Where so many are near one another they are aligned; every match of COVERAGE
+    for the templates of which it holds a winnowed fingerprint. Where the words about it are
+    enough they are aligned in a band around the fingerprint's diagonal; every match of COVERAGE
     percent of a template's words is reported, on overlapping words only the one with most
     matched words. Texts stay where they are read; the index is sent to the tasks and grows with
     the templates only. Null, empty and unlicensed texts have no rows; rows that repeat an id
-    have their own. char_start and char_end are code points.
+    have their own; other columns are ignored. char_start and char_end are code points.
     """
     lib = lib or library()
     schema = docs.select(id_col).schema.add("license_id", "string").add("template", "string").add("matched", "integer").add("coverage", "double").add("word_start", "long").add("word_end", "long").add("char_start", "long").add("char_end", "long")
@@ -165,11 +226,15 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
                 w, hashes = _split(buf, offsets)
                 ids = np.minimum(np.searchsorted(lib.keys, hashes), max(len(lib.keys) - 1, 0))
                 ids = np.where(lib.keys[ids] == hashes, ids, -1) if len(lib.keys) else np.full(len(hashes), -1)
-                owner, template = _candidates(lib, ids, w.doc)
+                at, template, place = hits(lib, hashes, w.doc)
+                good = np.isin(w.doc[at] * len(lib.names) + template, _enough(lib, ids, w.doc))
+                at, template, place = at[good], template[good], place[good]
                 bounds, rows = w.bounds, []
+                owner = w.doc[at]
                 for d in np.unique(owner):
                     base, stop = int(bounds[d]), int(bounds[d + 1])
-                    for k, matched, start, end in _matches(lib, hashes[base:stop], ids[base:stop], template[owner == d]):
+                    mine = slice(*np.searchsorted(owner, [d, d + 1]))
+                    for k, matched, start, end in _matches(lib, hashes[base:stop], ids[base:stop], at[mine] - base, template[mine], place[mine]):
                         head = bytes(buf[offsets[d] : w.starts[base + start]]).decode(errors="replace")
                         span = bytes(buf[w.starts[base + start] : w.ends[base + end - 1]]).decode(errors="replace")
                         rows.append((lo + int(d), *lib.names[k], matched, matched / len(lib.words[k]), start, end, len(head), len(head) + len(span)))
