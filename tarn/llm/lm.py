@@ -22,11 +22,13 @@ from tarn.llm.common import fold, lean, shared_dir, table
 LEAST = 5
 RARE = 0
 #: Up to so many words are one level, whose normalisers are a table of all pairs of contexts. More
-#: words have two: HEADS frequent ones and classes of words about as frequent, then a class's words.
-TABLE, HEADS, CLASS_WORDS = 2048, 512, 256
+#: words have three: HEADS frequent ones and classes of words about as frequent, a class's parts,
+#: and a part's words. Classes and parts have as many members, NODE at least, so that the work for
+#: a token grows with the cube root of the words.
+TABLE, HEADS, NODE = 2048, 128, 16
 #: Counts of words that differ by less than this power of 2 are one band; words are numbered by it.
 BAND = 1 / 8
-DIMS, NOISE, INNER_NOISE, BATCH, RATE = 24, 24, 6, 8192, 0.08
+DIMS, NOISE, INNER_NOISE, BATCH, RATE = 16, 16, 1, 8192, 0.08
 #: Rows of vectors in a file of the model, and contexts whose normalisers are computed at once.
 FILE_ROWS, CONTEXTS = 1 << 14, 2048
 FOLDS, HELD_FOLD = 7, 2
@@ -89,7 +91,8 @@ class Layout:
 
     ``first``: the number of each (band, shard)'s first word. ``edges``: that of each band's, from
     the most frequent band, and ``of`` these bands. Words up to ``heads`` are outcomes of the first
-    level; ``size`` words from there on are a class, an outcome of the first level as well.
+    level; ``size`` words from there on are a part, and ``size`` parts a class, an outcome of the
+    first level as well.
     """
 
     words: int
@@ -102,17 +105,21 @@ class Layout:
     ends: int
 
     @property
-    def classes(self) -> int:
+    def parts(self) -> int:
         return -(-(self.words - self.heads) // self.size)
 
+    @property
+    def classes(self) -> int:
+        return -(-self.parts // self.size)
+
     @property
     def outcomes(self) -> int:
         return self.heads + self.classes
 
     @property
     def rows(self) -> int:
-        """Rows of the model: words, classes, and one for the weights of the two places."""
-        return self.words + self.classes + 1
+        """Rows of the model: words, parts, classes, and one for the weights of the two places."""
+        return self.words + self.parts + self.classes + 1
 
     @cached_property
     def counts(self) -> np.ndarray:
@@ -122,14 +129,19 @@ class Layout:
         return np.concatenate([[self.rare + 1.0, self.ends + 1.0], 2 ** ((self.of[at] + 0.5) * BAND) if len(inner) else []])
 
     @cached_property
-    def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the outcomes of the first level, and of every later word in its class."""
+    def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the outcomes of the first level, of every part in its class and every word in its part."""
+
+        def within(members):
+            at = np.arange(0, len(members), self.size)
+            sums = np.add.reduceat(members, at) if len(members) else members
+            return sums, members / np.repeat(sums, np.diff([*at, len(members)])) if len(members) else members
+
         counts = self.counts
-        inner = counts[self.heads :]
-        at = np.arange(0, len(inner), self.size)
-        sums = np.add.reduceat(inner, at) if len(inner) else inner
-        outer = np.concatenate([counts[: self.heads], sums])
-        return outer / outer.sum(), inner / np.repeat(sums, np.diff([*at, len(inner)])) if len(inner) else inner
+        parts, words = within(counts[self.heads :])
+        classes, parts = within(parts)
+        outer = np.concatenate([counts[: self.heads], classes])
+        return outer / outer.sum(), parts, words
 
 
 def layout(by_shard_: dict[int, list[int]], rare: int, ends: int) -> Layout:
@@ -142,7 +154,7 @@ def layout(by_shard_: dict[int, list[int]], rare: int, ends: int) -> Layout:
     words = 2 + int(counts.sum())
     edges, of = first[:, 0] if len(shards) else np.zeros(0, np.int64), np.arange(width)[::-1]
     heads = words if words <= TABLE else max(2, int(edges[edges <= HEADS].max(initial=2)))
-    size = max(CLASS_WORDS, int(np.ceil(np.sqrt(words))))
+    size = max(NODE, int(np.ceil(np.cbrt(words))))
     return Layout(words, heads, size, edges, of, {k: first[::-1, i] for i, k in enumerate(shards)}, rare, ends)
 
 
@@ -239,9 +251,9 @@ class _Trainer:
         self.noise_log = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
         self.upto = np.cumsum(share)
 
-    def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray, inner: tuple[np.ndarray, ...] | None = None) -> None:
-        """``inner``: for the tokens of classes their place in the batch, their word, noise words
-        of its class, and the logarithms of the shares of the word and of the noise words."""
+    def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray, inner: tuple[tuple[np.ndarray, ...], ...] = ()) -> None:
+        """``inner``: for each later level the tokens' places in the batch, their outcomes, noise of
+        the same class or part, and the logarithms of the shares of the outcomes and of the noise."""
         context, target, bias, places = self.params
         noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE) * self.upto[-1]), len(self.share) - 1)
         rn, rf = context[near], context[far]
@@ -251,8 +263,9 @@ class _Trainer:
         down = -1 / (1 + np.exp(-(predicted @ target[noise].T + bias[noise] - self.noise_log[noise])))
         moved = up[:, None] * right + down @ target[noise]
         at, rows, slopes = [word, noise], [up[:, None] * predicted, down.T @ predicted], [up, down.sum(axis=0)]
-        if inner is not None and len(inner[0]):
-            which, one, others, one_log, others_log = inner
+        for which, one, others, one_log, others_log in inner:
+            if not len(which):
+                continue
             mine, right, wrong = predicted[which], target[one], target[others]
             up = 1 / (1 + np.exp((mine * right).sum(axis=1) + bias[one] - one_log - np.float32(np.log(INNER_NOISE))))
             down = -1 / (1 + np.exp(-(np.matmul(wrong, mine[:, :, None])[:, :, 0] + bias[others] - others_log - np.float32(np.log(INNER_NOISE)))))
@@ -278,8 +291,8 @@ def _start(plan: Layout, rows: np.ndarray) -> np.ndarray:
     """The first vectors (context, target, bias) of rows of the model: noise that the row decides."""
     seeds = tk.mix(np.asarray(rows, dtype=np.uint64)[:, None] * np.uint64(2 * DIMS) + np.arange(1, 2 * DIMS + 1, dtype=np.uint64))
     values = ((seeds >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) - np.float32(0.5)) * np.float32(0.1 * 12**0.5)
-    outer, inner = plan.shares
-    shares = np.concatenate([outer[: plan.heads], inner, outer[plan.heads :], [1.0]])
+    outer, parts, words = plan.shares
+    shares = np.concatenate([outer[: plan.heads], words, parts, outer[plan.heads :], [1.0]])
     made = np.hstack([values, np.log(shares[rows])[:, None].astype(np.float32)])
     made[np.asarray(rows) == plan.rows - 1] = 1
     return made
@@ -287,7 +300,7 @@ def _start(plan: Layout, rows: np.ndarray) -> np.ndarray:
 
 def _outer_rows(plan: Layout) -> np.ndarray:
     """The model's rows of the outcomes of the first level."""
-    return np.concatenate([np.arange(plan.heads), np.arange(plan.words, plan.words + plan.classes)])
+    return np.concatenate([np.arange(plan.heads), np.arange(plan.words + plan.parts, plan.rows - 1)])
 
 
 class _Copy:
@@ -301,8 +314,8 @@ class _Copy:
         self.seen = np.full(len(self.rows), 1e-3)
         self.trainer = _Trainer(Model(first[:, :DIMS], first[:, DIMS : 2 * DIMS], first[:, 2 * DIMS], np.ones((2, DIMS), np.float32), 1), plan.shares[0], seed)
 
-    def _add(self, words: np.ndarray) -> None:
-        new = np.unique(words)
+    def _add(self, rows: np.ndarray) -> None:
+        new = np.unique(rows)
         new = new[self.slots[new] < 0]
         if not len(new):
             return
@@ -316,29 +329,30 @@ class _Copy:
 
     def learn(self, words: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
         plan, trainer = self.plan, self.trainer
-        self._add(np.concatenate([words, near[:1], far[:1]]))
+        part = (words - plan.heads) // plan.size
+        later = words >= plan.heads
+        self._add(np.concatenate([words, near[:1], far[:1], plan.words + part[later]]))
         n, slot = len(words), self.slots[words].astype(np.int64)
         near, far = self.slots[near], self.slots[far]
-        of = (words - plan.heads) // plan.size
-        later = words >= plan.heads
-        outer = np.where(later, plan.heads + of, slot)
-        self.seen += np.bincount(slot, minlength=len(self.seen))
-        self.seen[plan.heads : plan.outcomes] += np.bincount(of[later], minlength=plan.classes)
-        # noise of a class are the words of its other tokens here, which have the class's own shares
+        outer = np.where(later, plan.heads + part // plan.size, slot)
+        # noise of a class or part are the outcomes of its other tokens here, which have its own shares
         tokens = np.flatnonzero(later)
-        tokens = tokens[np.argsort(of[tokens], kind="stable")]
-        low, high = (np.searchsorted(of[tokens], of[tokens], side=x) for x in ("left", "right"))
-        log = np.log(plan.shares[1]).astype(np.float32)
+        tokens = tokens[np.argsort(part[tokens], kind="stable")]
+        of = part[tokens]
+        levels = [(of // plan.size, self.slots[plan.words + of].astype(np.int64), np.log(plan.shares[1][of])), (of, slot[tokens], np.log(plan.shares[2][words[tokens] - plan.heads]))]
+        levels = [(*(np.searchsorted(node, node, side=x) for x in ("left", "right")), own, log.astype(np.float32)) for node, own, log in levels]
+        self.seen += np.bincount(slot, minlength=len(self.seen)) + np.bincount(outer[later], minlength=len(self.seen)) + np.bincount(levels[0][2], minlength=len(self.seen))
         place = np.zeros(n, dtype=np.int64)
         place[tokens] = np.arange(len(tokens))
         order = trainer.draw.permutation(n)
         for at in range(0, n, BATCH):
-            part = order[at : at + BATCH]
-            which = np.flatnonzero(later[part])
-            p = place[part[which]]
-            drawn = tokens[low[p, None] + (trainer.draw.random((len(p), INNER_NOISE)) * (high - low)[p, None]).astype(np.int64)] if len(p) else np.zeros((0, INNER_NOISE), np.int64)
-            one = part[which]
-            trainer.step(outer[part], near[part], far[part], (which, slot[one], slot[drawn], log[words[one] - plan.heads], log[words[drawn] - plan.heads]))
+            batch = order[at : at + BATCH]
+            which = np.flatnonzero(later[batch])
+            p, inner = place[batch[which]], []
+            for low, high, own, log in levels:
+                drawn = low[p, None] + (trainer.draw.random((len(p), INNER_NOISE)) * (high - low)[p, None]).astype(np.int64)
+                inner.append((which, own[p], own[drawn], log[p], log[drawn]))
+            trainer.step(outer[batch], near[batch], far[batch], tuple(inner))
 
 
 def _trained(texts: DataFrame, plan: Layout, seed: int) -> str:
@@ -425,6 +439,13 @@ class Vectors:
             out[mine] = self.files[k][at[mine] - k * FILE_ROWS]
         return out
 
+    def block(self, first: int, last: int) -> np.ndarray:
+        """Rows that follow one another."""
+        k = first // FILE_ROWS
+        if k in self.files and last <= (k + 1) * FILE_ROWS:
+            return self.files[k][first - k * FILE_ROWS : last - k * FILE_ROWS]
+        return self.rows(np.arange(first, last))
+
     def log_probabilities(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Natural log-probabilities of the tokens of texts; the normalisers are those of the texts' contexts."""
         if self.flat is not None:
@@ -436,26 +457,29 @@ class Vectors:
         words = np.concatenate(texts)
         kinds, back = np.unique(np.concatenate([near, far]), return_inverse=True)
         context = self.rows(kinds)[:, :DIMS]
-        of = np.where(words < plan.heads, -1, (words - plan.heads) // plan.size)
-        outer = np.where(of < 0, words, plan.heads + of)
+        part = np.where(words < plan.heads, -1, (words - plan.heads) // plan.size)
+        of = part // plan.size
+        outer = np.where(part < 0, words, plan.heads + of)
         out = np.empty(len(words))
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(part, kind="stable")
         for at in range(0, len(order), 64 * CONTEXTS):
             group = order[at : at + 64 * CONTEXTS]
             predicted = context[back[group]] * self.places[0] + context[back[len(words) + group]] * self.places[1]
             for lo in range(0, len(group), CONTEXTS):
-                part = group[lo : lo + CONTEXTS]
-                out[part] = _picked(predicted[lo : lo + CONTEXTS] @ self.target + self.bias, outer[part])
-            cut = np.flatnonzero(np.diff(of[group])) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
-                k = int(of[group[lo]])
-                if k < 0:
-                    continue
-                first = plan.heads + k * plan.size
-                inner = self.rows(np.arange(first, min(first + plan.size, plan.words)))
-                for a in range(lo, hi, CONTEXTS):
-                    part = group[a : min(a + CONTEXTS, hi)]
-                    out[part] += _picked(predicted[a : min(a + CONTEXTS, hi)] @ inner[:, DIMS : 2 * DIMS].T + inner[:, 2 * DIMS], words[part] - first)
+                some = group[lo : lo + CONTEXTS]
+                out[some] = _picked(predicted[lo : lo + CONTEXTS] @ self.target + self.bias, outer[some])
+            for node, first, end, mine in ((of, plan.words, plan.words + plan.parts, plan.words + part), (part, plan.heads, plan.words, words)):
+                cut = np.flatnonzero(np.diff(node[group])) + 1
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
+                    k = int(node[group[lo]])
+                    if k < 0:
+                        continue
+                    low = first + k * plan.size
+                    inner = self.block(low, min(low + plan.size, end))
+                    for a in range(lo, hi, CONTEXTS):
+                        b = min(a + CONTEXTS, hi)
+                        some = group[a:b]
+                        out[some] += _picked(predicted[a:b] @ inner[:, DIMS : 2 * DIMS].T + inner[:, 2 * DIMS], mine[some] - low)
         return np.split(out, np.cumsum([len(t) for t in texts])[:-1])
 
 
@@ -463,7 +487,7 @@ def _picked(scores_: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of a place of each row."""
     scores_ -= scores_.max(axis=1, keepdims=True)
     own = scores_[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(scores_, out=scores_).sum(axis=1, dtype=np.float64))
+    return own - np.log((np.exp(scores_, out=scores_) @ np.ones(scores_.shape[1], scores_.dtype)).astype(np.float64))
 
 
 _open: dict[str, Vectors] = {}
@@ -509,7 +533,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     null text is an empty one. Texts whose CRC-32 fold is HELD_FOLD teach nothing. base_score
     adds log10((c + 1) / (N + V + 1)) with the counts c of all training tokens N of V kinds.
     score is the model's log10 probability of the text: a token is predicted from the two tokens
-    before it, as a frequent word, or as a class of words about as frequent and a word of it.
+    before it, as a frequent word, or as a class of words about as frequent, a part of it and a word of that.
     Words seen less than LEAST times are the word RARE there, and have besides their share of the
     rare counts, each increased by one, with one more for all unseen ones.
 

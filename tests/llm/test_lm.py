@@ -83,7 +83,7 @@ def test_the_vocabulary_grows_and_frequent_words_are_not_its_bound(spark):
 
 def test_probabilities_over_classes_add_up_to_one(tmp_path):
     plan = lm.layout({-1: [0] * 24 + [2000, 0, 0, 100], -2: [0] * 24 + [1500, 20]}, 50, 10)
-    assert plan.classes > 1 and plan.words == 3622
+    assert plan.classes > 1 and plan.parts > plan.classes and plan.words == 3622
     draw = np.random.default_rng(2)
     np.save(tmp_path / "0.npy", draw.normal(size=(plan.rows, 2 * lm.DIMS + 1)).astype(np.float32))
     made = lm.Vectors(str(tmp_path), plan).log_probabilities([np.array([5, 3600, w]) for w in range(plan.words)])
