@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII punctuation, and a list of common English function words.
+# ASCII punctuation, and the English stop words of the NLTK corpora, cut at apostrophes.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
@@ -50,8 +50,7 @@ def without_punctuation(text: Column) -> Column:
 
 def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Tokens that are, in lower case, no stop word; their own case and their repeats stay."""
-    listed = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    return F.filter(tokens, lambda w: ~F.array_contains(listed, F.lower(w)))
+    return F.filter(tokens, lambda w: ~F.lower(w).isin(*stop_words)) if stop_words else tokens
 
 
 def tidy(text: Column) -> Column:

@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from tarn.functions import text as X
 from tarn.functions.stem import stem_arrays
 
+#: Parts of a label's words that are ranked on their own.
+PARTS = 64
+
 
 def word_frequencies(df: DataFrame, label: str, tokens: str, top: int = 200) -> DataFrame:
     """The ``top`` words of each label, with counts and their weight against the label's top word.
 
-    Ties go by the word. Counts are pre-aggregated; the window only orders each label's words.
+    Ties go by the word. Counts are pre-aggregated. A label's words are first ranked in PARTS parts,
+    of which ``top`` each can count at most; only these are put in one order.
     """
-    counts = df.where(F.col(label).isNotNull()).select(label, F.explode(tokens).alias("word")).groupBy(label, "word").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("n"), "word"))
+    # explode() would have Spark filter on the size of the tokens first, and so make them twice
+    found = df.where(F.col(label).isNotNull()).select(label, F.explode_outer(tokens).alias("word")).where("word is not null")
+    counts = found.groupBy(label, "word").agg(F.count("*").alias("n"))
+    by_rank = (F.desc("n"), "word")
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    few = counts.withColumn("place", F.row_number().over(Window.partitionBy(label, part).orderBy(*by_rank))).where(F.col("place") <= top)
     first = F.max("n").over(Window.partitionBy(label))
-    return counts.withColumn("place", place).where(F.col("place") <= top).withColumn("weight", F.col("n") / first)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(*by_rank))).withColumn("weight", F.col("n") / first).where(F.col("place") <= top)
 
 
 def stems(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -35,10 +43,11 @@ def stems(df: DataFrame, key: str, tokens: str) -> DataFrame:
 def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of lower-case terms of two characters or more.
 
-    Rows are dealt by the document alone, so that later sums by document need no other shuffle.
+    Texts are dealt by the document before they become terms: one row a document crosses the
+    network, counts and later sums by document need no other shuffle.
     """
-    found = df.select(key, F.explode(X.terms(F.col(text))).alias("term"))
-    return found.repartition(key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found = df.select(key, text).repartition(key).select(key, F.explode_outer(X.terms(F.col(text))).alias("term"))
+    return found.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(bag: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_ratio_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.passengers_per_flight(_months(spark, sf_dir))
+    return T.passengers_per_flight(_months(spark, sf_dir)).orderBy("year")
 
 
 def traffic_outer_join_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.passengers_per_flight_joined(_months(spark, sf_dir))
+    return T.passengers_per_flight_joined(_months(spark, sf_dir)).orderBy("year")
 
 
 def traffic_lollipop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def traffic_lollipop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_daily_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.daily_averages(_months(spark, sf_dir))
+    return T.daily_averages(_months(spark, sf_dir)).orderBy("year")
 
 
 def traffic_masked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,12 @@ def traffic_masked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_season_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.season_extremes(_months(spark, sf_dir))
+    return T.season_extremes(_months(spark, sf_dir)).orderBy("month_day")
 
 
 def traffic_season_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.season_band(_months(spark, sf_dir))
-    return made.select("k", F.round("x", 6).alias("x"), F.round("smooth_max", 6).alias("smooth_max"), F.round("smooth_min", 6).alias("smooth_min"))
+    return made.select("k", F.round("x", 6).alias("x"), F.round("smooth_max", 6).alias("smooth_max"), F.round("smooth_min", 6).alias("smooth_min")).orderBy("k")
 
 
 def traffic_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:

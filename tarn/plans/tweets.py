@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
+from tarn.functions.dates import part_of_day, wall_clock
 from tarn.operators import features, profile, share
-from tarn.sources import readers
+from tarn.plans import stem_sql
+from tarn.sources import readers, schemas
 
 ROW, FIRST, LENGTH = 3, 10, 12
 CODES = {"negative": 1, "neutral": 0, "positive": 0}
 
 
-def _tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.tweets(spark, sf_dir)
+_tweets = readers.tweets
 
 
 def _tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +23,12 @@ def _tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("tweet_id"), X.tidy(F.col("text")).alias("tidy_text"))
 
 
-def _length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tweets(spark, sf_dir).withColumn("length", F.length("text"))
+def _length(spark: SparkSession, sf_dir: str, *columns: str, labelled: bool = False) -> DataFrame:
+    return _tweets(spark, sf_dir, "text", *columns, labelled=labelled).withColumn("length", F.length("text"))
 
 
 def tweets_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.row_count(_tweets(spark, sf_dir))
+    return profile.row_count(_tweets(spark, sf_dir, "tweet_id"))
 
 
 def tweets_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def tweets_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_n_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.enumerated(_tweets(spark, sf_dir).select("tweet_id", "text"), "tweet_id", FIRST).select("ordinal", "text")
+    return profile.enumerated(_tweets(spark, sf_dir, "tweet_id", "text"), "tweet_id", FIRST).select("ordinal", "text")
 
 
 def row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def tweets_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets_mean_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = profile.means(_tweets(spark, sf_dir), "airline_sentiment", ("tweet_id",))
+    made = profile.means(_tweets(spark, sf_dir, "airline_sentiment", "airline_sentiment_confidence", "retweet_count", labelled=True), "airline_sentiment")
     return made.select("airline_sentiment", *(F.round(c, 6).alias(c) for c in made.columns[1:]))
 
 
@@ -58,13 +59,13 @@ def tweets_describe_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tweets_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first text of the greatest length."""
-    made = _length(spark, sf_dir).select("tweet_id", "text", "length")
+    made = _length(spark, sf_dir, "tweet_id").select("tweet_id", "text", "length")
     return made.orderBy(F.desc("length"), "tweet_id").limit(1)
 
 
 def tweets_of_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first text with a given number of characters."""
-    made = _length(spark, sf_dir).where(F.col("length") == LENGTH).select("tweet_id", "text", "length")
+    made = _length(spark, sf_dir, "tweet_id").where(F.col("length") == LENGTH).select("tweet_id", "text", "length")
     return profile.head(made, "tweet_id", 1)
 
 
@@ -74,24 +75,25 @@ def tweets_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweets_hist_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = profile.histogram(_length(spark, sf_dir), "length", "airline_sentiment")
+    made = profile.histogram(_length(spark, sf_dir, "airline_sentiment", labelled=True), "length", "airline_sentiment")
     return made.withColumns({c: F.round(c, 6) for c in ("lo", "hi")})
 
 
 def tweets_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.frequencies(_tweets(spark, sf_dir), "airline_sentiment")
+    return profile.frequencies(_tweets(spark, sf_dir, "airline_sentiment", labelled=True), "airline_sentiment")
 
 
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.frequencies(_tweets(spark, sf_dir), "negativereason")
+    return profile.frequencies(_tweets(spark, sf_dir, "negativereason", labelled=True), "negativereason")
 
 
 def tweets_part_of_day_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share.part_of_day_share(_tweets(spark, sf_dir), "tweet_created", "airline_sentiment")
+    made = share.part_of_day_share(_tweets(spark, sf_dir, "tweet_created", "airline_sentiment", labelled=True), "tweet_created", "airline_sentiment")
+    return made.orderBy("part_order", "airline_sentiment")
 
 
 def tweets_airline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share.share_of_label(_tweets(spark, sf_dir), "airline", "airline_sentiment")
+    return share.share_of_label(_tweets(spark, sf_dir, "airline", "airline_sentiment", labelled=True), "airline", "airline_sentiment")
 
 
 def text_strip_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _tweets(spark, sf_dir).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tokens(X.tidy(F.col("text"))).alias("tokens"))
+    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tokens(X.tidy(F.col("text"))).alias("tokens"))
     top = features.word_frequencies(made, "airline_sentiment", "tokens")
     return top.withColumn("weight", F.round("weight", 8))
 
@@ -152,8 +154,39 @@ def text_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("tfidf", F.round("tfidf", 6))
 
 
+def _stemmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stemmed texts and their bag of words: cleaned, tokens without stop words, stems, joined."""
+    made = _tidy(spark, sf_dir).select("tweet_id", X.tokens(F.col("tidy_text")).alias("tokens"))
+    docs = features.stems(made, "tweet_id", "tokens").select("tweet_id", "stemmed")
+    return docs, features.bag_of_words(docs, "tweet_id", "stemmed")
+
+
+def text_stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.vocabulary(_stemmed(spark, sf_dir)[1])
+
+
+def text_stem_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stemmed(spark, sf_dir)[1]
+
+
+def text_stem_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = features.tfidf(*_stemmed(spark, sf_dir), "tweet_id")
+    return made.withColumn("tfidf", F.round("tfidf", 6))
+
+
+def tweets_csv_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by hour and part of the day, from a CSV file whose times are texts with an offset."""
+    rows = readers.tweets(spark, sf_dir, *(f.name for f in schemas.TWEETS))
+    written = rows.withColumn("tweet_created", F.concat(F.date_format("tweet_created", "yyyy-MM-dd HH:mm:ss"), F.lit(" -0800")))
+    path = readers.scratch(spark)
+    written.write.csv(path, header=True, escape='"', quoteAll=True)
+    hours = readers.csv(spark, path, schemas.TWEETS).select(F.hour(wall_clock(F.col("tweet_created"))).alias("tweet_hour"), F.length("text").alias("length"))
+    made = hours.groupBy("tweet_hour").agg(F.count("*").alias("n"), F.sum("length").alias("characters"))
+    return made.withColumn("part_of_day", part_of_day(F.col("tweet_hour"))).orderBy("tweet_hour")
+
+
 def text_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _tweets(spark, sf_dir).select("tweet_id", "airline_sentiment")
+    made = _tweets(spark, sf_dir, "tweet_id", "airline_sentiment")
     return features.recoded(made, "airline_sentiment", CODES, "airline_sentiment_model")
 
 
@@ -167,7 +200,14 @@ _STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _TOKENS = f"list_filter(string_split(replace({{0}}, '#', ''), ' '), lambda w: length(w) > 0 AND NOT list_contains({_STOPS}, lower(w)))"
 _DOCS = f"d AS (SELECT doc_id AS tweet_id, {_SHORT} AS tidy_text FROM documents)"
 _BAG = rf"{_DOCS}, w AS (SELECT tweet_id, unnest(regexp_extract_all(lower(tidy_text), '[a-z]{{2,}}')) AS term FROM d), b AS (SELECT tweet_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
+_STEMS = f"""{_DOCS}, k AS (SELECT tweet_id, {_TOKENS.format('tidy_text')} AS tokens FROM d), x AS (SELECT tweet_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM k),
+{stem_sql.stems('SELECT DISTINCT token FROM x')},
+j AS (SELECT tweet_id, string_agg(stem, ' ' ORDER BY place) AS stemmed FROM x JOIN stems ON stems.token = x.token GROUP BY 1)"""
+_STEM_BAG = rf"{_STEMS}, w AS (SELECT tweet_id, unnest(regexp_extract_all(stemmed, '[a-z]{{2,}}')) AS term FROM j), b AS (SELECT tweet_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
 _VOCAB = "v AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM (SELECT DISTINCT term FROM b))"
+_TFIDF = """f AS (SELECT term, count(*) AS df FROM b GROUP BY 1),
+u AS (SELECT tweet_id, b.term, tf * (ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)) + 1) AS weight FROM b JOIN f ON f.term = b.term)
+SELECT tweet_id, term, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY tweet_id)), 6) AS tfidf FROM u"""
 _PARTS = "CASE WHEN hour(tweet_created) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(tweet_created) BETWEEN 12 AND 18 THEN 'afternoon' WHEN hour(tweet_created) BETWEEN 19 AND 24 THEN 'night' ELSE 'dawn' END"
 
 
@@ -194,6 +234,7 @@ QUERIES = {
         tweets_count, tweets_head, first_n_enumerated, row_lookup, tweets_null_counts, tweets_mean_by_label, tweets_describe_length, tweets_longest, tweets_of_length,
         tweets_hist, tweets_hist_by_label, tweets_label_counts, reason_counts, tweets_part_of_day_share, tweets_airline_share, text_strip_handles, text_charclass,
         text_short_words, text_tokens, text_word_freq, text_stems, text_vocab, text_vocab_size, text_bow, text_bow_one, text_matrix_shape, text_tfidf, text_label_model,
+        text_stem_vocab, text_stem_bow, text_stem_tfidf, tweets_csv_hours,
     )
 }
 SQL = {
@@ -225,8 +266,11 @@ SELECT * FROM p WHERE place <= 200""",
     "text_bow": f"WITH {_BAG} SELECT * FROM b",
     "text_bow_one": f"WITH {_BAG}, {_VOCAB} SELECT tweet_id, b.term, term_id, tf FROM b JOIN v ON v.term = b.term WHERE tweet_id = {ROW}",
     "text_matrix_shape": f"WITH {_BAG} SELECT (SELECT count(*) FROM documents) AS n_docs, count(DISTINCT term) AS n_terms, count(*) AS n_nonzero FROM b",
-    "text_tfidf": f"""WITH {_BAG}, f AS (SELECT term, count(*) AS df FROM b GROUP BY 1),
-x AS (SELECT tweet_id, b.term, tf * (ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)) + 1) AS w FROM b JOIN f ON f.term = b.term)
-SELECT tweet_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY tweet_id)), 6) AS tfidf FROM x""",
+    "text_tfidf": f"WITH {_BAG}, {_TFIDF}",
+    "text_stems": f"WITH {_STEMS} SELECT d.tweet_id, coalesce(stemmed, '') AS stemmed FROM d LEFT JOIN j ON j.tweet_id = d.tweet_id",
+    "text_stem_vocab": f"WITH {_STEM_BAG}, {_VOCAB} SELECT * FROM v",
+    "text_stem_bow": f"WITH {_STEM_BAG} SELECT * FROM b",
+    "text_stem_tfidf": f"WITH {_STEM_BAG}, {_TFIDF}",
+    "tweets_csv_hours": f"{_T}, h AS (SELECT CAST(hour(tweet_created) AS INTEGER) AS tweet_hour, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM t GROUP BY 1) SELECT *, {_PARTS.replace('hour(tweet_created)', 'tweet_hour')} AS part_of_day FROM h",
     "text_label_model": f"{_T} SELECT tweet_id, airline_sentiment, CAST(CASE airline_sentiment WHEN 'negative' THEN 1 WHEN 'neutral' THEN 0 WHEN 'positive' THEN 0 END AS INTEGER) AS airline_sentiment_model FROM t",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +15,31 @@ def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, which only a local master may lack."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tarn-scratch-")
+    return f"{root.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+
+
 def with_row_number(df: DataFrame, name: str = "row") -> DataFrame:
-    """Dense numbers from 0 in the order the rows are read; the one job counts partitions."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """Dense numbers from 0 in the order the rows are read.
+
+    A first job counts the rows of each partition; a row's number is its place in its partition
+    and what the partitions before hold. Counts are as many as partitions.
+    """
+    counts = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().orderBy("p").collect()
+    before, total = {}, 0
+    for r in counts:
+        before[r["p"]], total = total, total + r["count"]
+    if not before:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn(name, (F.element_at(offsets, F.spark_partition_id()) + place).cast("long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,21 +88,34 @@ FROM lineitem GROUP BY 1
 )
 
 
-def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document with a sentiment from its labels and a time from its event."""
-    docs, labels, events = (table(spark, sf_dir, n) for n in ("documents", "labels", "events"))
-    joined = docs.join(labels, "doc_id", "left").join(events.withColumnRenamed("event_id", "doc_id"), "doc_id", "left")
-    toxic = F.col("toxic") == 1
-    return joined.select(
-        F.col("doc_id").alias("tweet_id"),
-        "text",
-        F.col("source").alias("airline"),
-        F.when(toxic, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "neutral").alias("airline_sentiment"),
-        F.when(toxic, F.col("event_type")).alias("negativereason"),
-        F.col("value").alias("airline_sentiment_confidence"),
-        F.col("user_id").alias("retweet_count"),
-        F.col("ts").alias("tweet_created"),
-    )
+_TOXIC = "toxic = 1"
+#: The columns of ``tweets`` and the tables besides documents that each needs.
+TWEET_COLUMNS = {
+    "tweet_id": ("doc_id", ()),
+    "text": ("text", ()),
+    "airline": ("source", ()),
+    "airline_sentiment": (f"CASE WHEN {_TOXIC} THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'neutral' END", ("labels",)),
+    "negativereason": (f"CASE WHEN {_TOXIC} THEN event_type END", ("labels", "events")),
+    "airline_sentiment_confidence": ("value", ("events",)),
+    "retweet_count": ("user_id", ("events",)),
+    "tweet_created": ("ts", ("events",)),
+}
+
+
+def tweets(spark: SparkSession, sf_dir: str, *columns: str, labelled: bool = False) -> DataFrame:
+    """One row per document with a sentiment from its labels and a time from its event.
+
+    Only the tables that ``columns`` need are joined: ids of labels and events are unique, so a
+    left join that gives no column would change nothing. ``labelled``: documents with labels only.
+    """
+    columns = columns or tuple(TWEET_COLUMNS)
+    needed = {t for c in columns for t in TWEET_COLUMNS[c][1]}
+    joined = table(spark, sf_dir, "documents")
+    if "labels" in needed or labelled:
+        joined = joined.join(table(spark, sf_dir, "labels"), "doc_id", "inner" if labelled else "left")
+    if "events" in needed:
+        joined = joined.join(table(spark, sf_dir, "events").withColumnRenamed("event_id", "doc_id"), "doc_id", "left")
+    return joined.select(*(F.expr(TWEET_COLUMNS[c][0]).alias(c) for c in columns))
 
 
 TWEETS_SQL = """

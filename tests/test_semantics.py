@@ -142,6 +142,9 @@ def test_csv_with_quoted_lines(spark, tmp_path):
     assert [(r["tweet_id"], r["text"], r["negativereason"]) for r in rows.collect()] == [(1, 'a "b"\nc', None), (2, "d", None)]
     assert [r["row"] for r in readers.with_row_number(rows).orderBy("row").collect()] == [0, 1]
     assert [r["tweet_id"] for r in profile.enumerated(rows, "tweet_id", 1).collect()] == [1]
+    many = readers.with_row_number(spark.range(1000, numPartitions=7).where("id % 3 > 0"))
+    assert [(r["row"], r["id"]) for r in many.collect()] == list(enumerate(i for i in range(1000) if i % 3))
+    assert readers.with_row_number(rows.limit(0)).collect() == []
 
 
 def test_date_filter_and_columns_reach_the_scan(spark):
@@ -151,3 +154,35 @@ def test_date_filter_and_columns_reach_the_scan(spark):
     scan = df._jdf.queryExecution().toString().split("PushedFilters")[-1]
     assert "GreaterThanOrEqual(l_shipdate" in scan and "LessThan(l_shipdate" in scan
     assert "l_linestatus" in scan.split("ReadSchema")[-1] and "l_extendedprice" not in scan.split("ReadSchema")[-1]
+
+
+def test_views_of_tweets_join_what_they_use(spark):
+    from tarn.plans import tweets
+    from tests.conftest import DATA
+
+    def joins(name):
+        return tweets.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert {n: joins(n) for n in ("tweets_count", "tweets_longest", "tweets_hist", "tweets_label_counts", "tweets_head")} == {"tweets_count": 0, "tweets_longest": 0, "tweets_hist": 2, "tweets_label_counts": 1, "tweets_head": 2}
+    plan = tweets.text_word_freq(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "event_id" not in plan
+
+
+def test_ordered_results(spark):
+    from tarn.plans import traffic as plans
+    from tarn.plans import tweets
+    from tests.conftest import DATA
+
+    sf = f"{DATA}/sf0.001"
+    for name, key in (("traffic_ratio_by_year", "year"), ("traffic_daily_avg", "year"), ("traffic_season_minmax", "month_day"), ("traffic_season_spline", "k")):
+        keys = [r[key] for r in plans.QUERIES[name](spark, sf).collect()]
+        assert keys == sorted(keys) and len(keys) > 1
+    parts = [r["part_of_day"] for r in tweets.tweets_part_of_day_share(spark, sf).collect()]
+    assert list(dict.fromkeys(parts)) == [p for p in dates.PARTS if p in parts]
+
+
+def test_top_words_of_each_label_are_whole_when_parts_are_full(spark):
+    rows = [("p", [f"w{i:03d}"] * (1 + i % 9)) for i in range(900)]
+    made = features.word_frequencies(spark.createDataFrame(rows, "l string, t array<string>"), "l", "t", 150).orderBy("place").collect()
+    want = sorted(((-(1 + i % 9), f"w{i:03d}") for i in range(900)))[:150]
+    assert [(-r["n"], r["word"]) for r in made] == want
