@@ -24,6 +24,8 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _weight(values: Mapping[str, int], column: str) -> Column:
     """The node's weight in its level's table; 1 where it is not listed."""
+    if any(int(w) < 0 for w in values.values()):
+        raise ValueError(f"a weight of {column} is below 0")
     out = F.lit(1).cast("long")
     for value, weight in values.items():
         out = F.when(F.col(column) == value, F.lit(int(weight)).cast("long")).otherwise(out)
@@ -37,11 +39,13 @@ def share_out(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame:
     to its siblings in proportion to their weights, again and again, which is the level at which
     the siblings not full all have the same allotment per weight. Sorted by capacity per weight,
     the full ones come first, so window sums find that level at once. The last tokens are dealt
-    by name, so children add up to their parent's budget or their capacity. Weights and capacities
-    are integers whose product fits 63 bits.
+    by name, so children add up to their parent's budget or their capacity. A child of weight 0 is
+    full from the start and gets nothing. Weights and capacities are integers whose product fits
+    63 bits.
     """
+    nodes = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0))
     whole = Window.partitionBy(*parents)
-    by_fill = whole.orderBy(F.col("capacity") / F.col("weight"), name)
+    by_fill = whole.orderBy(F.coalesce(F.try_divide("capacity", "weight"), F.lit(-1.0)), name)
     earlier = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     filled = nodes.withColumn("used", F.coalesce(F.sum("capacity").over(earlier), F.lit(0))).withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
     filled = filled.withColumn("full", F.col("capacity") * F.col("open") <= (F.col("budget") - F.col("used")) * F.col("weight"))
@@ -57,9 +61,11 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
 
     The budget is ``percent`` of all tokens. It is dealt level by level from the root; a node's
     capacity is what its leaves hold in ``max_epochs`` epochs. So a shortage is met by siblings
-    first, and only what all of them cannot hold reaches the parent's siblings.
+    first, and only what all of them cannot hold reaches the parent's siblings. A leaf below a
+    node of weight 0 holds nothing.
     """
-    held = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    used = reduce(lambda a, b: a & b, (_weight(weights.get(level, {}), level) > 0 for level in levels))
+    held = leaves.withColumn("capacity", F.when(used, F.col("tokens") * max_epochs).otherwise(0))
     total = held.agg(F.sum("tokens")).first()[0] or 0
     above, parents = None, []
     for depth, level in enumerate(levels):
@@ -133,14 +139,23 @@ def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str,
 
 
 def mixed(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], percent: int, max_epochs: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of the mixture with all their columns, once for each epoch that takes them."""
+    """The documents of the mixture with all their columns, once for each epoch that takes them.
+
+    Null and empty texts have no tokens: such a document is taken as ``mixture`` says. Very long
+    texts count whole; a document that passes what is left of its leaf ends the prefix before it.
+    Null ids are ordered as empty ones; rows that repeat an id stand or fall together. No
+    documents give no rows. Columns of ``docs`` may have any names, those of ``levels`` too.
+    """
     _, leaves = plan(docs, levels, weights, percent, max_epochs, seed, id_col, text_col)
+    mark = "mix_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     names = list(levels)
-    right = leaves.select(*(F.col(n).alias(f"__leaf_{k}") for k, n in enumerate(names)), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    on = reduce(lambda a, b: a & b, (levels[n].cast("string").eqNullSafe(F.col(f"__leaf_{k}")) for k, n in enumerate(names)))
-    partial = F.coalesce(_order(seed, F.col("__epochs"), id_col) <= F.col("__cut"), F.lit(False)).cast("int")
-    taken = docs.join(_sized(right), on, "inner").withColumn("__copies", F.col("__epochs") + partial).where("__copies > 0")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(f"`{c}`" for c in docs.columns))
+    right = leaves.select(*(F.col(f"`{n}`").alias(f"{mark}{k}") for k, n in enumerate(names)), F.col("epochs").alias(f"{mark}epochs"), F.col("cut").alias(f"{mark}cut"))
+    on = reduce(lambda a, b: a & b, (levels[n].cast("string").eqNullSafe(F.col(f"{mark}{k}")) for k, n in enumerate(names)))
+    copies = F.col(f"{mark}epochs") + F.coalesce(_order(seed, F.col(f"{mark}epochs"), id_col) <= F.col(f"{mark}cut"), F.lit(False)).cast("int")
+    taken = docs.join(_sized(right), on, "inner").withColumn(f"{mark}copies", copies).where(F.col(f"{mark}copies") > 0)
+    return taken.withColumn(f"{mark}epoch", F.explode(F.sequence(F.lit(1), F.col(f"{mark}copies")))).select(*(f"`{c}`" for c in docs.columns))
 
 
 #: The mixture of the test tables: domains by source, and the weights of the nodes of each level.
