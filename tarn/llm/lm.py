@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import uuid
 from dataclasses import dataclass
@@ -10,6 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ TABLE, HEADS, NODE = 2048, 128, 16
 #: Counts of words that differ by less than this power of 2 are one band; words are numbered by it.
 BAND = 1 / 8
 DIMS, NOISE, INNER_NOISE, BATCH, RATE = 16, 16, 1, 8192, 0.08
+#: Tokens that a copy of the model learns from, about; fewer, down to LEAST_TOKENS, where cores would idle.
+COPY_TOKENS, LEAST_TOKENS = 8_000_000, 500_000
 #: Rows of vectors in a file of the model, and contexts whose normalisers are computed at once.
 FILE_ROWS, CONTEXTS = 1 << 14, 2048
 FOLDS, HELD_FOLD = 7, 2
@@ -234,19 +238,13 @@ def _contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-def _sums(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of ``at`` and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    keys, first = np.unique(at[order], return_index=True)
-    return keys, np.add.reduceat(rows[order], first, axis=0)
-
-
 class _Trainer:
     """Adagrad steps on the noise-contrastive objective; a batch's noise words serve all its tokens."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int):
         self.params = [model.context.copy(), model.target.copy(), model.bias.copy(), model.places.copy()]
-        self.grown = [np.ones_like(p) for p in self.params]
+        self.grown = [np.ones(len(p), dtype=np.float32) for p in self.params]
+        self.mark, self.place = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
         self.share, self.draw = share, np.random.Generator(np.random.PCG64(seed))
         self.noise_log = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
         self.upto = np.cumsum(share)
@@ -274,17 +272,31 @@ class _Trainer:
             rows += [up[:, None] * mine, (down[:, :, None] * mine[:, None, :]).reshape(-1, mine.shape[1])]
             slopes += [up, down.reshape(-1)]
         at, rows, slopes = (np.concatenate(x) for x in (at, rows, slopes))
-        keys, d = _sums(np.hstack([rows, slopes[:, None]]), at)
+        keys, d = self._sums(np.hstack([rows, slopes[:, None]]), at)
         self._move(1, keys, d[:, :-1])
         self._move(2, keys, d[:, -1])
         d_places = np.stack([(moved * rn).sum(axis=0), (moved * rf).sum(axis=0)])
-        self._move(0, *_sums(np.concatenate([moved * places[0], moved * places[1]]), np.concatenate([near, far])))
+        self._move(0, *self._sums(np.concatenate([moved * places[0], moved * places[1]]), np.concatenate([near, far])))
         self._move(3, np.arange(2), d_places)
 
+    def _sums(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``at`` and the sums of their rows."""
+        if len(self.mark) < len(self.params[1]):
+            self.mark, self.place = np.zeros(len(self.params[1]), dtype=bool), np.zeros(len(self.params[1]), dtype=np.int64)
+        self.mark[at] = True
+        keys, width = np.flatnonzero(self.mark), rows.shape[1]
+        self.mark[keys] = False
+        self.place[keys] = np.arange(len(keys))
+        out = np.zeros(len(keys) * width, dtype=np.float32)
+        np.add.at(out, (self.place[at][:, None] * width + np.arange(width)).reshape(-1), rows.astype(np.float32, copy=False).reshape(-1))
+        return keys, out.reshape(-1, width)
+
     def _move(self, k: int, at: np.ndarray, d: np.ndarray) -> None:
-        grown = self.grown[k][at] + d * d
+        """A step whose length follows the slopes that each row has had."""
+        grown = self.grown[k][at] + (d * d if d.ndim == 1 else np.einsum("ij,ij->i", d, d) / np.float32(d.shape[1]))
         self.grown[k][at] = grown
-        self.params[k][at] += np.float32(RATE) * d / np.sqrt(grown)
+        size = np.float32(RATE) / np.sqrt(grown)
+        self.params[k][at] += d * (size if d.ndim == 1 else size[:, None])
 
 
 def _start(plan: Layout, rows: np.ndarray) -> np.ndarray:
@@ -324,7 +336,7 @@ class _Copy:
         first = _start(self.plan, new)
         for k, part in enumerate((first[:, :DIMS], first[:, DIMS : 2 * DIMS], first[:, 2 * DIMS])):
             self.trainer.params[k] = np.concatenate([self.trainer.params[k], part])
-            self.trainer.grown[k] = np.concatenate([self.trainer.grown[k], np.ones_like(part)])
+            self.trainer.grown[k] = np.concatenate([self.trainer.grown[k], np.ones(len(part), dtype=np.float32)])
         self.seen = np.concatenate([self.seen, np.full(len(new), 1e-3)])
 
     def learn(self, words: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
@@ -355,21 +367,28 @@ class _Copy:
             trainer.step(outer[batch], near[batch], far[batch], tuple(inner))
 
 
-def _trained(texts: DataFrame, plan: Layout, seed: int) -> str:
+def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
     """The folder of the model after one pass over all training texts.
 
-    Each partition trains a copy of the rows that its texts need; copies are averaged by word. A
-    copy's row counts as often as its word or class occurs in the copy's texts. Rows meet by the
-    file of the model they are of, which one task writes, so the model never is in one place.
+    ``copies`` tasks or fewer train a copy of the rows that their texts need; copies are averaged
+    by word. A copy's row counts as often as its word or class occurs in the copy's texts. Rows
+    meet by the file of the model they are of, first in groups of about the square root of the
+    copies, then one task writes the file: no task has all copies of a row, and the model never
+    is in one place.
     """
     path = shared_dir(texts.sparkSession).removeprefix("file:")
-    width = 2 * DIMS + 1
+    width, groups = 2 * DIMS + 1, max(1, math.isqrt(copies))
+
+    def packed(k, group, rows, weight, values):
+        fields = (pack_numbers(rows), weight.astype("<f4").tobytes(), values.astype("<f2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([group], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], names=["file", "part", "rows", "weights", "values"])
 
     def run(batches):
         copy, held, size = _Copy(plan, seed), [], 0
+        group = TaskContext.get().partitionId() % groups
         for batch in batches:
-            for packed in batch.column(0):
-                words = unpack_numbers(packed.as_py()).astype(np.int64)
+            for text in batch.column(0):
+                words = unpack_numbers(text.as_py()).astype(np.int64)
                 held.append((words, *_contexts(words, 1)))
                 size += len(words)
                 if size >= 16 * BATCH:
@@ -386,35 +405,50 @@ def _trained(texts: DataFrame, plan: Layout, seed: int) -> str:
         weight = np.append(copy.seen, copy.seen.sum())
         order = np.argsort(rows, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(rows[order] // FILE_ROWS)) + 1):
-            yield pa.RecordBatch.from_arrays([pa.array([int(rows[part[0]]) // FILE_ROWS]), pa.array([pack_numbers(rows[part])], pa.binary()), pa.array([weight[part].astype("<f4").tobytes()], pa.binary()), pa.array([flat[part].astype("<f2").tobytes()], pa.binary())], names=["file", "rows", "weights", "values"])
+            yield packed(int(rows[part[0]]) // FILE_ROWS, group, rows[part], weight[part], flat[part])
 
-    def averaged(batches):
-        def out(k, total, weight):
-            rows = np.arange(k * FILE_ROWS, k * FILE_ROWS + len(total))
-            made = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-9)[:, None], _start(plan, rows)).astype(np.float32)
-            os.makedirs(path, exist_ok=True)
-            draft = f"{path}/.{uuid.uuid4().hex}.npy"
-            np.save(draft, made)
-            os.replace(draft, f"{path}/{k}.npy")
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["file"])
+    def means(batches, keys):
+        """(file, part, rows, weights, means) of the rows with equal ``keys``, the first columns."""
+
+        def out():
+            at = np.flatnonzero(weight)
+            return *now, at + now[0] * FILE_ROWS, weight[at], total[at] / weight[at, None]
 
         now = None
         for row in rows_of(batches):
-            if row["file"] != now:
+            here = (row["file"], row["part"]) if keys == 2 else (row["file"], 0)
+            if here != now:
                 if now is not None:
-                    yield out(now, total, weight)
-                now = row["file"]
-                n = min(FILE_ROWS, plan.rows - now * FILE_ROWS)
+                    yield out()
+                now = here
+                n = min(FILE_ROWS, plan.rows - now[0] * FILE_ROWS)
                 total, weight = np.zeros((n, width)), np.zeros(n)
-            at = unpack_numbers(row["rows"]).astype(np.int64) - now * FILE_ROWS
+            at = unpack_numbers(row["rows"]).astype(np.int64) - now[0] * FILE_ROWS
             w = np.frombuffer(row["weights"], dtype="<f4").astype(np.float64)
             total[at] += np.frombuffer(row["values"], dtype="<f2").astype(np.float64).reshape(-1, width) * w[:, None]
             weight[at] += w
         if now is not None:
-            yield out(now, total, weight)
+            yield out()
+
+    def grouped(batches):
+        for one in means(batches, 2):
+            yield packed(*one)
+
+    def written(batches):
+        for k, _, rows, _, values in means(batches, 1):
+            made = _start(plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, plan.rows)))
+            made[rows - k * FILE_ROWS] = values
+            os.makedirs(path, exist_ok=True)
+            draft = f"{path}/.{uuid.uuid4().hex}.npy"
+            np.save(draft, made.astype(np.float32))
+            os.replace(draft, f"{path}/{k}.npy")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["file"])
 
-    copies = texts.where("not held_out").select("words").mapInArrow(lean(run), "file long, rows binary, weights binary, values binary")
-    copies.repartition("file").sortWithinPartitions("file").mapInArrow(lean(averaged), "file long").count()
+    schema = "file long, part long, rows binary, weights binary, values binary"
+    rows = texts.where("not held_out").select("words").coalesce(max(1, copies)).mapInArrow(lean(run), schema)
+    if groups > 1:
+        rows = rows.repartition("file", "part").sortWithinPartitions("file", "part").mapInArrow(lean(grouped), schema)
+    rows.repartition("file").sortWithinPartitions("file").mapInArrow(lean(written), "file long").count()
     return path
 
 
@@ -485,9 +519,15 @@ class Vectors:
 
 def _picked(scores_: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of a place of each row."""
-    scores_ -= scores_.max(axis=1, keepdims=True)
     own = scores_[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log((np.exp(scores_, out=scores_) @ np.ones(scores_.shape[1], scores_.dtype)).astype(np.float64))
+    with np.errstate(over="ignore"):
+        total = (np.exp(scores_) @ np.ones(scores_.shape[1], scores_.dtype)).astype(np.float64)
+    far = np.flatnonzero((total < 1e-30) | (total > 1e30))  # out of the range of single precision
+    if len(far):
+        top = scores_[far].max(axis=1).astype(np.float64)
+        total[far] = 1
+        own[far] -= top + np.log(np.exp(scores_[far] - top[:, None]).sum(axis=1))
+    return own - np.log(total)
 
 
 _open: dict[str, Vectors] = {}
@@ -569,7 +609,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     texts = table(reassembled(blocks.where("key >= 0"), _returned(blocks, totals, plan), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
 
-    path = _trained(texts, plan, 0)
+    copies = max(-(-int(n) // COPY_TOKENS), min(docs.sparkSession.sparkContext.defaultParallelism, -(-int(n) // LEAST_TOKENS)))
+    path = _trained(texts, plan, 0, copies)
 
     def scored(batches):
         if path not in _open:
