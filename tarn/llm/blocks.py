@@ -2,14 +2,15 @@
 
 A block holds whole texts of one partition, about BLOCK_BYTES of them. Each text becomes the
 positions of its pieces in the block's dictionary of distinct pieces; the dictionary is split
-by a hash of the piece into SHARDS parts. So (piece, block, place) rows of a shard meet in one
-task, in packed rows: a piece crosses the network once per block and not once per occurrence,
-and frequent pieces cost one entry per block. Shards and blocks are bounded; nothing else is
-gathered.
+by a hash of the piece into shards. So (piece, block, place) rows of a shard meet in one task, in
+packed rows: a piece crosses the network once per block and not once per occurrence, and frequent
+pieces cost one entry per block. Blocks are bounded, and there are the more shards the more
+partitions of texts there are; nothing else is gathered.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,8 +25,15 @@ from pyspark.sql import types as T
 from tarn.llm.common import lean, release
 
 BLOCK_BYTES = 3 << 20
-#: Parts of every dictionary. At a billion distinct pieces a shard has a million.
-SHARDS = 512
+#: Shards for one partition of texts. Their number grows with the fourth root of the partitions: the
+#: pieces of a block are some ten thousands, and rows of a few pieces would cost more than they
+#: spread. 100 TB in partitions of 128 MB make 4,096 shards.
+SHARDS = 128
+
+
+def shards_of(df: DataFrame) -> int:
+    """The shards for the dictionaries of ``df``'s texts, a power of 2."""
+    return 1 << round(math.log2(SHARDS * max(1, df.rdd.getNumPartitions()) ** 0.25))
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -71,13 +79,15 @@ Cutter = Callable[[pa.Array, pa.RecordBatch], tuple[np.ndarray, np.ndarray, list
 def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFrame:
     """Rows of texts, rows of blocks and rows of dictionary shards, told apart by ``key``.
 
-    A text's row: key (its block), place (its row in the block), n, ``keep`` columns. A block's
+    A text's row: key (its block), place (its row in the block), n, and the ``keep`` columns as
+    keep0, keep1 and so on, so that they may have any names. A block's
     row: key, positions of all its texts. A shard's row: key (-1 - shard), block, pieces, places,
     counts. The number of a block comes from its partition and from its dictionary, so texts
     never meet the dictionary of other texts, even if a lost partition is read in another order.
     """
     own = T.StructType.fromDDL("key long, block long, place int, n long, positions binary, pieces binary, places binary, counts binary")
-    schema = T.StructType(own.fields + [df.schema[k] for k in keep])
+    schema = T.StructType(own.fields + [T.StructField(f"keep{i}", df.schema[k].dataType) for i, k in enumerate(keep)])
+    shards = shards_of(df)
 
     def run(batches):
         arrow = _Arrow(schema)
@@ -97,12 +107,12 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
         positions, bounds, pieces, counts = made
         block = xxhash.xxh64_intdigest(b"\0".join(pieces), serial & 0xFFFFFFFFFFFFFFFF) >> 1
         n = part.num_rows
-        yield arrow.batch(n, {"key": pa.array([block] * n), "place": pa.array(range(n)), "n": pa.array(np.diff(bounds))} | {k: part.column(i) for i, k in enumerate(keep)})
+        yield arrow.batch(n, {"key": pa.array([block] * n), "place": pa.array(range(n)), "n": pa.array(np.diff(bounds))} | {f"keep{i}": part.column(i) for i in range(len(keep))})
         yield arrow.batch(1, {"key": pa.array([block]), "positions": pa.array([pack_numbers(positions)], pa.binary())})
-        shard = np.fromiter((zlib.crc32(p) for p in pieces), dtype=np.uint32, count=len(pieces)) % SHARDS
+        shard = np.fromiter((zlib.crc32(p) for p in pieces), dtype=np.uint32, count=len(pieces)) % shards
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-        full = [(s, order[edges[s] : edges[s + 1]]) for s in range(SHARDS) if edges[s] < edges[s + 1]]
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        full = [(s, order[edges[s] : edges[s + 1]]) for s in range(shards) if edges[s] < edges[s + 1]]
         columns = {
             "key": pa.array([-1 - s for s, _ in full], pa.int64()),
             "block": pa.array([block] * len(full), pa.int64()),
@@ -113,7 +123,7 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
             columns["counts"] = pa.array([pack_numbers(counts[of]) for _, of in full], pa.binary())
         yield arrow.batch(len(full), columns)
 
-    return df.select(*keep, text).mapInArrow(lean(run), schema)
+    return df.select(*(f"`{k}`" for k in keep), f"`{text}`").mapInArrow(lean(run), schema)
 
 
 def _gathered(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
@@ -154,9 +164,12 @@ def reassembled(rows: DataFrame, parts: DataFrame, keep: list[str], fields: str,
     """``keep`` columns and ``fields`` of each text, from the rows of its block and its returned parts.
 
     ``made(part rows, position arrays)`` gives the values of ``fields`` for the block's texts.
-    Rows of shards among ``rows`` are left out.
+    Rows of shards among ``rows`` are left out. ``keep`` names none of ``fields``.
     """
-    schema = T.StructType([rows.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
+    made_here = T.StructType.fromDDL(fields).fields
+    if {k.lower() for k in keep} & {f.name.lower() for f in made_here}:
+        raise ValueError(f"columns to keep must not be named {', '.join(f.name for f in made_here)}")
+    schema = T.StructType([T.StructField(k, rows.schema[f"keep{i}"].dataType) for i, k in enumerate(keep)] + made_here)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
@@ -169,7 +182,7 @@ def reassembled(rows: DataFrame, parts: DataFrame, keep: list[str], fields: str,
             raise ValueError("a block lost its dictionary: the texts were read in another order")
         ends = np.cumsum(texts.column("n").to_numpy())
         values = made(right.to_pylist(), np.split(positions, ends[:-1]))
-        columns = [texts.column(k).combine_chunks() for k in keep] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in values]
+        columns = [texts.column(f"keep{i}").combine_chunks() for i in range(len(keep))] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in values]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow.fields, strict=True)], names=arrow.schema.names)
 
     return rows.groupBy("key").cogroup(parts.groupBy("block")).applyInArrow(run, schema)

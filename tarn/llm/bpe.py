@@ -26,10 +26,11 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
+def _encoding(path: str):
+    """An encoding of whole pieces: its own pattern takes any text as one piece."""
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -57,8 +58,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
     ``pattern`` splits a text into pieces with positions. The pieces of a block of texts are
     numbered; each distinct piece goes to the task of its hash, which encodes it once; the ids
     return to the blocks that hold the piece and texts are put together by position. ``path``
-    is a rank file that every executor can open; special tokens are ordinary text. Repeated rows
-    give repeated results; an empty table gives an empty one.
+    is a rank file that every executor can open; special tokens are ordinary text. Empty texts
+    have no ids, very long ones are a block of their own. Repeated rows give repeated results; an
+    empty table gives an empty one. ``keep`` may have any names but n_tokens and ids.
     """
 
     def cutter(texts: pa.Array, part: pa.RecordBatch):
@@ -75,7 +77,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
         return np.concatenate(positions), np.array(bounds), [p.encode() for p in index], None
 
     def encoded(batches):
-        encoding = _encoding(path, pattern)
+        encode_piece = _encoding(path).encode_ordinary
         shard, known = None, {}
         for row in rows_of(batches):
             if row["key"] >= 0:
@@ -85,7 +87,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col:
             ids = []
             for piece in unpack_pieces(row["pieces"]):
                 if piece not in known:
-                    known[piece] = encoding._encode_single_piece(piece)
+                    known[piece] = encode_piece(piece.decode())
                 ids.append(known[piece])
             lengths = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
             flat = np.fromiter((x for one in ids for x in one), dtype=np.uint32, count=int(lengths.sum()))

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` of the session decides; only where it is unset (tests) is a local
-    folder set for the session.
+    ``spark.checkpoint.dir`` of the session decides; only where it is unset and the master is this
+    process (tests) is a local folder set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tarn-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tarn-{uuid.uuid4().hex}"

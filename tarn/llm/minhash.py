@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
@@ -18,8 +18,9 @@ from tarn.llm.units import dealt, roots, runs, together
 #: differs in more than MAX_ERRORS of 60 slots about once in 3,000 times.
 SLOTS, CHUNKS, BITS, ERRORS = 60, 12, 16, 1
 MAX_ERRORS = CHUNKS * (ERRORS + 1) - 1
-#: Sets of a block that are compared with another's at once, and rows of a bucket in one unit.
-SET_BLOCK, BUCKET_BLOCK = 256, 1024
+#: Sets and shingles of a block that are compared with another's at once, about, and rows of a
+#: bucket in one unit. A block of longer texts has fewer; only a single text can pass the bound.
+SET_BLOCK, SHINGLE_BLOCK, BUCKET_BLOCK = 256, 200_000, 1024
 #: Bits of a slot that go into the bit planes that bound the distance from below.
 PLANES = 4
 
@@ -63,6 +64,11 @@ def _sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
     return tk.distinct(values, of, len(offsets) - 1)
 
 
+def _sums(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The size of each set and two sums of hashes of its members."""
+    return [np.diff(at), tk.per_text(sets, at).view(np.int64), tk.per_text(tk.mix(sets ^ np.uint64(0xA5A5)), at).view(np.int64)]
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """id, n_shingles, two sums that identify the shingle set, BITS-bit chunk keys and bit planes."""
 
@@ -71,8 +77,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         minima = _minima(sets, at)
         keys = _keys(minima)
         flat = np.arange(len(minima) + 1, dtype=np.int64) * SLOTS
-        total, other = tk.per_text(sets, at), tk.per_text(tk.mix(sets ^ np.uint64(0xA5A5)), at)
-        return [np.diff(at), total.view(np.int64), other.view(np.int64), tk.lists(keys.reshape(-1), flat), *_planes(minima)]
+        return [*_sums(sets, at), tk.lists(keys.reshape(-1), flat), *_planes(minima)]
 
     planes = "".join(f", p{p} long" for p in range(PLANES))
     out = tk.over_texts(docs, [id_col], text_col, f"n_shingles long, s1 long, s2 long, keys array<long>{planes}", made)
@@ -144,6 +149,30 @@ def _linked(percent: int):
     return run
 
 
+#: What identifies a shingle set: its size and two sums of 64-bit hashes of its members.
+SAME = ["n_shingles", "s1", "s2"]
+
+
+def _numbered(sets: DataFrame, filled: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``sets`` with rep, a number of its own, and the links (a, b) between sets that share an id.
+
+    The number is the set's smallest id. Where ids have several sets, only one of those with the
+    same smallest id keeps it; others get numbers above all ids, and the links lead back.
+    """
+    spread = [f(c).alias(f"{n}{k}") for k, c in enumerate(SAME) for n, f in (("low", F.min), ("high", F.max))]
+    several = " or ".join(f"low{k} < high{k}" for k in range(len(SAME)))
+    twins = cut(filled.groupBy("id").agg(*spread).where(several).select("id"))
+    if twins.isEmpty():
+        return sets.withColumn("rep", F.col("first")), None
+    top = filled.agg(F.max("id")).first()[0]
+    if top > 2**63 - 2**50:
+        raise ValueError("an id that has several texts needs numbers above all ids, and there are none")
+    place = F.row_number().over(Window.partitionBy("first").orderBy(*SAME))
+    numbered = table(sets.withColumn("place", place).withColumn("rep", F.when(F.col("place") == 1, F.col("first")).otherwise(F.lit(top + 1) + F.monotonically_increasing_id())).drop("place"))
+    held = cut(filled.join(sized(twins), "id").select("id", *SAME).distinct().join(numbered.select("rep", *SAME), SAME).select("id", "rep"))
+    return numbered, held.join(held.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id and kept.
 
@@ -151,51 +180,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``width`` words, a shorter text its whole word sequence. Texts are linked where
     100 * |intersection| >= ``percent`` * |union|; component_id is the smallest id that links reach.
 
-    Equal sets are one representative, so copies cost one row each. Representatives meet in
+    Sets of one size and equal 64-bit sums (SAME) are one representative, so copies cost one row
+    each; copies are told by these sums, all other links by the full sets. Representatives meet in
     buckets of equal chunk keys: the multi-index join, which holds every pair whose signatures
     differ in at most MAX_ERRORS slots. Members of related buckets are dealt to blocks of about
-    SET_BLOCK sets; two blocks are compared if a bucket holds a pair of their members whose bit
-    planes allow the distance. Comparing blocks takes the exact intersections of all their full
-    shingle sets, as products of 0-1 matrices, and returns a spanning forest of the links: no
-    group of near copies makes a row per pair, and no pair within the distance is left out.
+    SET_BLOCK sets or SHINGLE_BLOCK shingles; two blocks are compared if a bucket holds a pair of
+    their members whose bit planes allow the distance. Comparing blocks takes the exact
+    intersections of all their full shingle sets, as products of 0-1 matrices, and returns a
+    spanning forest of the links: no group of near copies makes a row per pair, and no pair within
+    the distance is left out.
 
     Null and word-less texts have no shingles and stand alone. Rows with a null id have a null
-    component and are kept; rows that repeat an id are one document. Other columns are ignored.
+    component and are kept; rows that repeat an id are one document, which has the links of all
+    its texts. An empty table gives an empty one. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    sigs = table(signatures(docs, id_col, text_col, width))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sigs = table(signatures(docs, "id", "text", width))
     planes = [f"p{p}" for p in range(PLANES)]
-    same = ["n_shingles", "s1", "s2"]
     filled = sigs.where("n_shingles > 0 and id is not null")
-    reps = filled.groupBy(same).agg(F.min("id").alias("rep"))
-    keyed = filled.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
+    sets = table(filled.groupBy(SAME).agg(F.min("id").alias("first"), F.min_by(F.struct("keys", *planes), "id").alias("sign")))
+    sets, twins = _numbered(sets, filled)
+    keyed = sets.select("rep", F.explode("sign.keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n")).where("hub < last")
     buckets = cut(keyed.join(hubs.select("key", "hub", "n"), "key"))
 
-    labels = buckets.groupBy("rep").agg(F.min("hub").alias("label"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / SET_BLOCK))
+    labels = buckets.groupBy("rep").agg(F.min("hub").alias("label")).join(sets.select("rep", "n_shingles"), "rep")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.greatest(F.col("members") / SET_BLOCK, F.col("shingles") / SHINGLE_BLOCK)))
     placed = cut(labels.join(sizes, "label").select("rep", F.xxhash64("label", part).alias("block")))
 
     members = buckets.join(placed, "rep")
     mixed = members.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
-    shown = placed.select("rep").join(sigs.select(F.col("id").alias("rep"), *planes).dropDuplicates(["rep"]), "rep")
+    shown = sets.select("rep", *(f"sign.{p}" for p in planes))
     units = dealt(members.join(mixed, "key", "left_semi").join(shown, "rep").select("key", "n", "rep", "block", *planes), ["key"], "rep", "n", BUCKET_BLOCK)
     near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"]).mapInArrow(lean(_near_blocks), "a long, b long")
     pairs = cut(near.unionByName(placed.select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct())
 
     def made(buf, offsets):
-        return [tk.lists(*_sets(buf, offsets, width))]
+        full, at = _sets(buf, offsets, width)
+        return [*_sums(full, at), tk.lists(full, at)]
 
-    chosen = sized(placed.select(F.col("rep").alias(id_col)))
-    texts = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    sets = tk.over_texts(texts, [id_col], text_col, "shingles array<long>", made).withColumnRenamed(id_col, "rep").join(placed, "rep")
+    chosen = sized(cut(placed.join(sets.select("rep", *SAME, F.col("first").alias("id")), "rep")))
+    texts = docs.join(chosen.select("id"), "id", "left_semi")
+    full = tk.over_texts(texts, ["id"], "text", "n_shingles long, s1 long, s2 long, shingles array<long>", made)
+    full = full.join(chosen, ["id", *SAME]).dropDuplicates(["id", *SAME]).select("rep", "block", "shingles")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
-    links = together(sides.join(sets, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(lean(_linked(percent)), "a long, b long")
-    whole = components(links)
+    links = together(sides.join(full, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(lean(_linked(percent)), "a long, b long")
+    whole = components(links if twins is None else links.unionByName(twins))
 
-    classes = reps.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("id", *same).join(classes, same, "left").select(
+    classes = sets.select("rep", *SAME).join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*SAME, F.coalesce("component", "rep").alias("component"))
+    out = sigs.select("id", *SAME).join(classes, SAME, "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
@@ -204,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document represents its group.
 
-    Rows that repeat an id stay together: they are the same document.
+    Rows that repeat an id stay together: they are the same document. Rows with null ids and
+    without words stay; an empty table gives an empty one. Columns may have any names.
     """
     dropped = cut(near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(id_col).distinct())
     return docs.join(sized(dropped), id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns))

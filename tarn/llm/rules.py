@@ -144,14 +144,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted and the statistics for every row of ``docs``."""
+    """doc_id, held_out, score, predicted and the statistics for every row of ``docs``.
+
+    Null and empty texts have statistics of 0 and the score of these; very long ones count whole.
+    Repeated rows each have a row, null ids count as held out; no documents give no rows. Labels
+    of good rows only give a constant high score, of poor ones only or none at all 0.5. Other
+    columns are ignored.
+    """
     held = statistics(docs.select("doc_id", F.col("text").cast("string").alias("text")), ["doc_id"], "text")
     scored = held.withColumn("score", fit(docs, labels).column())
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are predicted to be of quality."""
+    """The rows of ``docs``, with all their columns, that are predicted to be of quality.
+
+    Nulls, long texts and missing labels are as in ``quality``; repeated rows stand or fall
+    together. Columns of ``docs`` may have any names, those of the statistics too.
+    """
     prefix = "stat_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"

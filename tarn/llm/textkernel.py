@@ -155,7 +155,9 @@ def distinct(values: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of a value for each byte or word by text."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    upto = np.cumsum(values)
+    total = np.zeros(len(upto) + 1, dtype=upto.dtype)  # a plain 0 would turn unsigned sums into floats
+    total[1:] = upto
     return total[bounds[1:]] - total[bounds[:-1]]
 
 

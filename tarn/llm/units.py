@@ -25,8 +25,13 @@ def dealt(members: DataFrame, keys: list[str], member: str, size: str, block: in
 
 
 def together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of a unit next to each other in one task; ``keys`` become the first columns."""
-    return rows.select(*keys, *(c for c in rows.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys)
+    """The rows of a unit next to each other in one task; ``keys`` become the first columns.
+
+    A unit's work is far more than its bytes, so its partitions are not to be merged by their
+    size: as many are asked for as the session has for shuffles.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *(c for c in rows.columns if c not in keys)).repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -13,13 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, shared_dir
+from tarn.llm.common import cut, lean, shared_dir, sized, table
 
 #: A payload of fewer bytes is archived each time it occurs.
 REVISIT_BYTES = 1000
 #: Uncompressed bytes after which an archive file ends; a larger record has a file of its own.
 FILE_BYTES = 8 << 20
-DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 1 << 20
+#: The dictionary's bytes at most, the bytes it is trained on and those of one sample.
+DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES = 32 << 10, 1 << 20, 4 << 10
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,23 +80,30 @@ def parsed(raw: bytes) -> dict:
     }
 
 
-def packed(records: list[bytes]) -> bytes:
-    """A file: the dictionary in a skippable frame, and one frame per record.
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary built from a file's records.
 
-    The dictionary is trained on records spread over the whole file. Too few or too uniform
-    records train none; then the leading frame is empty and frames need no dictionary.
+    It is trained on pieces of PIECE_BYTES that are spread evenly over all bytes of the records,
+    about SAMPLE_BYTES in all. Where these are too few or too uniform to train on, the pieces
+    themselves are the dictionary.
     """
-    step, sample = max(1, sum(map(len, records)) // SAMPLE_BYTES), []
-    for r in records[::step]:
-        sample.append(r[: 64 << 10])
+    pieces = [(r, at) for r in records for at in range(0, len(r), PIECE_BYTES)]
+    step = max(1, -(-len(pieces) * PIECE_BYTES // SAMPLE_BYTES))
+    sample = [r[at : at + PIECE_BYTES] for r, at in pieces[::step]]
     try:
-        words = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8) if len(sample) >= 8 else None
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8)
     except zstandard.ZstdError:
-        words = None
-    raw = words.as_bytes() if words else b""
-    press = zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=True) if words else zstandard.ZstdCompressor(level=3)
-    out = [SKIPPABLE.to_bytes(4, "little"), len(raw).to_bytes(4, "little"), raw]
-    return b"".join(out + [press.compress(r) for r in records])
+        # the reader tells by the first bytes that this is content, not a trained dictionary
+        raw = b"".join(sample)[:DICTIONARY_BYTES]
+        return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def packed(records: list[bytes]) -> bytes:
+    """A file: the dictionary in a leading skippable frame, and one frame per record."""
+    words = dictionary(records)
+    raw = words.as_bytes()
+    press = zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=True)
+    return b"".join([SKIPPABLE.to_bytes(4, "little"), len(raw).to_bytes(4, "little"), raw, *map(press.compress, records)])
 
 
 def unpacked(data: bytes):
@@ -103,10 +111,10 @@ def unpacked(data: bytes):
     if int.from_bytes(data[:4], "little") != SKIPPABLE:
         raise ValueError("the leading dictionary frame is missing")
     at = 8 + int.from_bytes(data[4:8], "little")
-    words = zstandard.ZstdCompressionDict(data[8:at]) if at > 8 else None
+    words = zstandard.ZstdCompressionDict(data[8:at])
     view = memoryview(data)
     while at < len(data):
-        one = zstandard.ZstdDecompressor(dict_data=words).decompressobj() if words else zstandard.ZstdDecompressor().decompressobj()
+        one = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
         made, here = [], at
         while not one.eof:
             piece = view[here : here + (1 << 16)]
@@ -119,16 +127,18 @@ def unpacked(data: bytes):
 
 
 def _write(folder: str, name: str, data: bytes) -> None:
-    """The file whole or not at all; a repeated attempt puts the same file in its place."""
-    if "://" in folder or folder.startswith("file:"):
-        system, path = pafs.FileSystem.from_uri(folder)
+    """The file whole or not at all, by any of pyarrow's file systems; s3a and s3n are its s3."""
+    scheme, colon, rest = folder.partition(":")
+    if colon and not folder.startswith("/"):
+        scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        system, path = pafs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
     else:
         system, path = pafs.LocalFileSystem(), folder
-    attempt = f"{path}/_{name}.{uuid.uuid4().hex}"
+    draft = f"{path}/_{name}"
     system.create_dir(path, recursive=True)
-    with system.open_output_stream(attempt) as out:
+    with system.open_output_stream(draft, compression=None) as out:  # not by the name, which says zst
         out.write(data)
-    system.move(attempt, f"{path}/{name}")
+    system.move(draft, f"{path}/{name}")
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -143,29 +153,33 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Archives of ``pages`` (page_id, url, html) in ``folder``; a row per file: name, records, bytes.
+    """Archives of ``pages`` (page_id, url, html) in ``folder``; a row per file: name, attempt, records, bytes.
 
     Of equal payloads of REVISIT_BYTES or more the largest page_id is a response, the others are
     revisits of it; rows that repeat this id are responses too, and if all ids are null all are
-    responses. A null html is an empty payload, a null url about:blank. Other columns are ignored.
-    Files end at FILE_BYTES; their names come from the partition, so that a lost task's files
-    are written again in the same place.
+    responses. A null html is an empty payload, a null url about:blank. Very large payloads have a
+    file of their own. No pages give no files. Other columns are ignored.
+
+    Payloads stay where they are read while the digests of repeated ones are few enough to be
+    broadcast. Files end at FILE_BYTES; their names hold the attempt of the task that wrote them.
+    A repeated or speculative attempt writes beside the first, and the returned table, written by
+    Spark's own committer, lists the files of just one attempt of each task.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     marked = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    marked = marked.join(revisits(rows), ["payload_digest", "payload_bytes"], "left")
+    marked = marked.join(sized(cut(revisits(rows))), ["payload_digest", "payload_bytes"], "left")
     other = F.col("page_id").isNull() | (F.col("page_id") < F.col("kept_id"))
     marked = marked.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("kept_id")).alias("refers_to"))
 
     def run(batches):
-        part, serial = TaskContext.get().partitionId(), 0
+        attempt, serial = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
         held, size = [], 0
 
         def out():
-            name = f"part-{part:06d}-{serial:06d}.warc.zst"
+            name = f"part-{attempt}-{serial:06d}.warc.zst"
             data = packed(held)
             _write(folder, name, data)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["name", "records", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([attempt]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["name", "attempt", "records", "bytes"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -179,22 +193,35 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield out()
 
-    return cut(marked.mapInArrow(lean(run), "name string, records long, bytes long"))
+    return table(marked.mapInArrow(lean(run), "name string, attempt string, records long, bytes long"))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of all archives in ``folder``: ids, url, payload and what write() made of it."""
+def read(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+    """A row per record of the archives that ``written`` lists: ids, url, payload and what write() made of it.
+
+    ``written`` must not be empty, ``folder`` may hold other files too: what attempts left that
+    did not count is not read. A file that is missing, or holds other records than it should,
+    fails the job. Revisits have a null payload.
+    """
+    name = F.substring_index("path", "/", -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).withColumn("name", name)
+    listed = sized(written.select("name", "records"))
+    found = files.select("name").join(listed, "name").count()
+    if found != written.count():
+        raise ValueError(f"{folder} has {found} of {written.count()} archives")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                held, size = [], 0
+                held, size, n = [], 0, 0
                 for raw in unpacked(batch.column(0)[i].as_py()):
                     held.append(parsed(raw))
-                    size += len(raw)
+                    size, n = size + len(raw), n + 1
                     if size > 1 << 21:
                         yield out(held)
                         held, size = [], 0
+                if n != batch.column(1)[i].as_py():
+                    raise ValueError(f"an archive has {n} records instead of {batch.column(1)[i].as_py()}")
                 yield out(held)
 
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -202,18 +229,21 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def out(held):
         return pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], t) for n, t in fields], names=[n for n, _ in fields])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.join(listed, "name").select("content", "records").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """``pages`` written to archives in the shared folder and read back, without payloads."""
+    """``pages`` written to archives in the shared folder and read back, without payloads.
+
+    Nulls, empty and very large payloads, ties and repeated rows are as in ``write``: each row of
+    ``pages`` has one row here. No pages give no rows.
+    """
     spark = pages.sparkSession
     folder = shared_dir(spark)
     written = write(pages, folder)
-    if written.agg(F.sum("records")).first()[0] is None:
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, folder, written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = f"""

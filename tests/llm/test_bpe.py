@@ -58,3 +58,19 @@ def test_packing_round_trips(pieces, numbers):
     assert unpack_pieces(pack_pieces(pieces)) == pieces
     assert unpack_numbers(pack_numbers(numbers)).tolist() == numbers
     assert unpack_longs(pack_longs(numbers)).tolist() == numbers
+
+
+def test_any_columns_are_kept(spark, library):
+    names = ["key", "n", "place", "block", "positions", "pieces", "places", "counts", "keep0", "text", "a b"]
+    df = spark.createDataFrame([tuple(f"{c} {k}" for c in names) for k in range(5)], ", ".join(f"`{c}` string" for c in names))
+    got = bpe.encode(df, RANKS, public_tokenizers.PATTERN, names).collect()
+    assert len(got) == 5 and all(list(r["ids"]) == library.encode_ordinary(r["text"]) and r["a b"] == r["text"].replace("text", "a b") for r in got)
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode(df.withColumn("ids", df["n"]), RANKS, public_tokenizers.PATTERN, ["ids"])
+
+
+def test_shards_grow_with_the_partitions(spark):
+    from tarn.llm.blocks import shards_of
+
+    sizes = [shards_of(spark.range(1000, numPartitions=n)) for n in (1, 16, 256, 4096)]
+    assert sizes == [128, 256, 512, 1024]

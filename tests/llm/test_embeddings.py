@@ -53,3 +53,9 @@ def test_empty_and_null_ids(spark):
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [2.0, 0.0])]
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False)]
+
+
+def test_extra_columns_with_the_names_of_its_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, *["clash"] * 6) for r in rows], f"{SCHEMA}, id string, v string, rep string, `key` string, n_links string, kept string")
+    assert result(near_duplicates(df)) == expected(rows)

@@ -88,3 +88,27 @@ def test_probabilities_over_classes_add_up_to_one(tmp_path):
     np.save(tmp_path / "0.npy", draw.normal(size=(plan.rows, 2 * lm.DIMS + 1)).astype(np.float32))
     made = lm.Vectors(str(tmp_path), plan).log_probabilities([np.array([5, 3600, w]) for w in range(plan.words)])
     assert math.isclose(sum(math.exp(x[2]) for x in made), 1, rel_tol=1e-4)
+
+
+def test_rare_words_are_told_apart_by_their_counts_and_long_texts_have_an_end(spark):
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:8]
+    held = [i for i in range(60, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    # the end is rarer than any known word, and far rarer than most
+    rows = [(i, " ".join(f"w{(k * (i + 1)) % 97}" for k in range(4000)) + (" once" if i == taught[0] else "") + " thrice" * (i in taught[1:4])) for i in taught]
+    rows += list(zip(held, ["once", "thrice", "never", "w3"], strict=True))
+    got = {r["doc_id"]: r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    check(got.values(), expected(rows)[0])
+    once, thrice, never = (got[i]["score"] for i in held[:3])
+    assert math.isclose(once - never, math.log10(2), rel_tol=1e-6) and math.isclose(thrice - never, math.log10(4), rel_tol=1e-6)
+
+
+def test_copies_are_averaged_by_what_they_have_seen(spark, monkeypatch):
+    """Many small copies in groups: the model still learns what follows a word."""
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 3000)
+    monkeypatch.setattr(lm, "COPY_TOKENS", 3000)
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"a{k} b{k}" for k in draw.integers(0, 30, 250)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(25)
+    docs = docs.union(spark.createDataFrame([(1000 + k, f"a{k} b{k}") for k in range(30)] + [(2000 + k, f"a{k} b{(k + 1) % 30}") for k in range(30)], "doc_id long, text string"))
+    rows = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
+    assert np.mean([rows[1000 + k] - rows[2000 + k] for k in range(30)]) > 0.3

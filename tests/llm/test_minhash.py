@@ -81,3 +81,40 @@ def test_words_split_at_text_ends():
     for s, e, d in zip(w.starts, w.ends, w.doc, strict=True):
         got[d].append(bytes(buf[s:e]).decode())
     assert (lo, hi) == (0, 7) and got == [brute.WORD.findall(t or "") for t in texts]
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    rng = random.Random(8)
+    a, b, c, d = ([f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(4))
+    near = lambda t, k: " ".join([*t[:k], "other", *t[k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 30)), (3, near(b, 20)), (9, near(c, 5)), (9, near(d, 6)), (8, " ".join(c)), (7, " ".join(d)), (6, "alone here"), (5, None), (5, " ".join(a))]
+    for _ in range(3):
+        rng.shuffle(rows)
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), width=2).collect()
+        assert sorted({(r["doc_id"], r["component_id"], r["kept"]) for r in got if r["n_shingles"]}) == [(1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (6, 6, True), (7, 7, True), (8, 7, False), (9, 7, False)]
+        assert len(got) == len(rows)
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    """Pairs of sets with a similarity of 0.8 exactly and just below, of many sizes."""
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(400):
+        n = 5 * (4 + k % 40)  # a union of n pairs of words: 0.8 n in common
+        base = [f"{k}x{i}" for i in range(n + 1)]
+        cut_off = n // 5 + (k % 4 == 3)  # with one more left out it is below
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n + 1 - cut_off]))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k + (k % 4 == 3)
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 2 and all(i % 2 and got[i] == i for i in wrong)
+
+
+def test_blocks_of_long_texts_are_small(spark, monkeypatch):
+    from tarn.llm import minhash
+
+    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 50)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(200)}" for _ in range(80)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(60)]
+    assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2)) == expected(rows, 2)

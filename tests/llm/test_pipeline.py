@@ -7,9 +7,10 @@ from pathlib import Path
 
 import __spark_entry__
 import corpus_pipeline
-from tarn.llm import bpe, toxicity
+from tarn.llm import bpe, mixing, rules, toxicity
 from tests.conftest import DATA
 from tests.llm import brute
+from tests.llm.test_mixing import expected as mixture_of
 
 SF = f"{DATA}/sf0.001"
 
@@ -30,11 +31,15 @@ def test_stages_follow_one_another(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rejected = {r["doc_id"] for r in toxicity.toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels).where("predicted = 1").collect()}
     assert set(seen[0][0]) - seen[0][1] == rejected
+    passed = spark.read.parquet(str(tmp_path / "0"))
+    assert seen[1][1] == {r["doc_id"] for r in rules.quality(passed, labels).where("predicted = 1").collect()}
     before, after = seen[2]
     want = {i for i, (_, root) in brute.near_duplicates(list(before.items()), 5).items() if root == i}
     assert after == want
-    words = {i: len(brute.WORD.findall(t)) for i, t in seen[3][0].items()}
-    assert sum(words[i] for i in seen[3][1]) <= corpus_pipeline.MIX_PERCENT * sum(words.values()) / 100
+    table = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    domain = lambda source: "crawl" if source == "src0" else "reference" if len(source) == 4 else "community"
+    rows = [(i, t, domain(table[i]["source"]), table[i]["lang"], table[i]["source"]) for i, t in seen[3][0].items()]
+    assert {(i, 0) for i in seen[3][1]} == mixture_of(rows, mixing.WEIGHTS, corpus_pipeline.MIX_PERCENT, 1)[0]
     for r in docs.collect():
         assert r["decoded_sha256"] == hashlib.sha256(seen[4][0][r["doc_id"]].encode()).hexdigest()
     run = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 import zstandard
 
 from tarn.llm import warc
@@ -44,8 +45,9 @@ def test_edge_rows_and_payloads_come_back(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], f"{SCHEMA}, payload string").repartition(3)
     assert result(warc.archived(df)) == sorted(expected(rows), key=key)
     folder = shared_dir(spark)
-    assert warc.write(df, folder).agg({"records": "sum"}).first()[0] == len(rows)
-    back = {(r["page_id"], r["payload_digest"]): bytes(r["payload"]).decode() for r in warc.read(spark, folder).where("record_type = 'response'").collect()}
+    written = warc.write(df, folder)
+    assert written.agg({"records": "sum"}).first()[0] == len(rows)
+    back = {(r["page_id"], r["payload_digest"]): bytes(r["payload"]).decode() for r in warc.read(spark, folder, written).where("record_type = 'response'").collect()}
     assert back[2, hashlib.sha1(big.encode()).hexdigest()] == big and len(back[8, hashlib.sha1(b"y" * 20_000_000).hexdigest()]) == 20_000_000
     assert warc.archived(df.limit(0)).collect() == []
 
@@ -57,4 +59,34 @@ def test_files_have_the_dictionary_in_front_and_a_frame_per_record():
     size = int.from_bytes(data[4:8], "little")
     assert size > 0 and zstandard.get_frame_parameters(data[8 + size :]).dict_id == zstandard.ZstdCompressionDict(data[8 : 8 + size]).dict_id()
     assert list(warc.unpacked(data)) == records
-    assert list(warc.unpacked(warc.packed(records[:1]))) == records[:1]
+    for some in (records[:1], records[:3], [b"x"], [bytes(3_000_000)], [r * 200 for r in records[:5]]):
+        data = warc.packed(some)
+        assert list(warc.unpacked(data)) == some and int.from_bytes(data[4:8], "little") > 0
+
+
+def test_what_other_attempts_left_is_not_read(spark):
+    from pathlib import Path
+
+    rows = [(i, f"http://h/{i}", f"page {i} " * 300) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    folder = shared_dir(spark)
+    first, second = warc.write(df, folder), warc.write(df.limit(30), folder)
+    path = Path(folder.removeprefix("file:"))
+    (path / "part-000009-left-000000.warc.zst").write_bytes(b"cut off")
+    assert warc.read(spark, folder, first).count() == 50 and warc.read(spark, folder, second).count() == 30
+    name = first.first()["name"]
+    kept = (path / name).read_bytes()
+    (path / name).write_bytes(warc.packed(list(warc.unpacked(kept))[:-1]))
+    with pytest.raises(Exception, match="an archive has"):
+        warc.read(spark, folder, first).collect()
+    (path / name).unlink()
+    with pytest.raises(ValueError, match="of .* archives"):
+        warc.read(spark, folder, first)
+
+
+def test_more_repeated_payloads_than_are_broadcast(spark, monkeypatch):
+    from tarn.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", f"page {i % 7} " * 300) for i in range(60)]
+    assert result(warc.archived(spark.createDataFrame(rows, SCHEMA).repartition(4))) == sorted(expected(rows), key=key)
