@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
-from tarn.llm.common import fold, lean
+from tarn.llm.common import fold, lean, table
 from tarn.llm.labelled import ROWS_PER_CLASS, sample, texts_of
 
 #: What is taken off each count and given to the backoff.
@@ -53,7 +53,7 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray,
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """(history, word, n0, n1) over the sample's texts, pre-aggregated per slice."""
+    """(history, word, pair, n0, n1) over the sample's texts, pre-aggregated per slice; pair is a hash of both words."""
 
     def run(batches):
         for batch in batches:
@@ -64,19 +64,23 @@ def _counts(texts: DataFrame) -> DataFrame:
                 keys, first, back = np.unique(tk.pair_hash(before, word), return_index=True, return_inverse=True)
                 n1 = np.bincount(back[toxic], minlength=len(keys))
                 n0 = np.bincount(back, minlength=len(keys)) - n1
-                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["history", "word", "n0", "n1"])
+                columns = (before[first].view(np.int64), word[first].view(np.int64), keys.view(np.int64), n0.astype(np.int64), n1.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["history", "word", "pair", "n0", "n1"])
 
-    parts = texts.select("label", "text").mapInArrow(lean(run), "history long, word long, n0 long, n1 long")
-    return parts.groupBy("history", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    parts = texts.select("label", "text").mapInArrow(lean(run), "history long, word long, pair long, n0 long, n1 long")
+    return parts.groupBy("history", "word", "pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _by(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of both classes' columns by key."""
-    return np.stack([np.bincount(key, values[:, c], minlength=n) for c in (0, 1)], axis=1)
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (long) in the order of their unsigned values, and their gains, in single precision."""
+    held = rows.select(rows.columns[0], F.col("gain").cast("float")).toArrow()
+    key, gain = held.column(0).to_numpy().view(np.uint64), held.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], gain[order]
 
 
-def estimate(history: np.ndarray, word: np.ndarray, n: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney of both classes from the counts ``n`` (pairs, 2) of pairs of words.
+def estimate(counts: DataFrame) -> Model:
+    """Interpolated Kneser-Ney of both classes from the counts of pairs of words.
 
     With D the discount and c a class, a word w after h has
     p(w | h, c) = max(n(c, h, w) - D, 0) / n(c, h) + D * kinds(c, h) / n(c, h) * p(w | c), and
@@ -86,34 +90,31 @@ def estimate(history: np.ndarray, word: np.ndarray, n: np.ndarray) -> Model:
     no class has. So what one class has often and the other never is told apart clearly, and an
     expression that is rare in both is mostly its shared backoff, which cancels out.
     """
-    if not len(n) or not n.sum(axis=0).all():
+    counts, d = table(counts), F.lit(DISCOUNT)
+    both = {c: F.col(f"n{c}") for c in (0, 1)}
+    words = counts.groupBy("word").agg(*(F.count_if(n > 0).alias(f"after{c}") for c, n in both.items()))
+    whole = words.agg(*(f(f"after{c}").alias(f"{name}{c}") for c in both for name, f in (("total", F.sum), ("kinds", lambda x: F.count_if(F.col(x) > 0))))).first()
+    if not whole["total0"] or not whole["total1"]:
         none, zero = np.zeros(0, np.uint64), np.zeros(0)
         return Model(none, zero, none, zero, none, zero)
-    held = (n > 0).astype(float)
-    words, w = np.unique(word, return_inverse=True)
-    histories, h = np.unique(history, return_inverse=True)
-    after = _by(w, held, len(words))
-    shared = (after > 0).sum(axis=1) - DISCOUNT
-    shared = shared / (shared + DISCOUNT).sum()
-    left = DISCOUNT * (after > 0).sum(axis=0) / after.sum(axis=0)
-    by_word = np.maximum(after - DISCOUNT, 0) / after.sum(axis=0) + left * shared[:, None]
-    total, kinds = _by(h, n, len(histories)), _by(h, held, len(histories))
-    kept = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-    by_pair = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[h] + kept[h] * by_word[w]
-    pairs = tk.pair_hash(history, word)
-    order = np.argsort(pairs)
-
-    def gain(p):
-        return np.log(p[..., 1] / p[..., 0])
-
-    return Model(pairs[order], gain(by_pair)[order], words, gain(by_word), histories, gain(kept), float(gain(left)))
+    left = {c: DISCOUNT * whole[f"kinds{c}"] / whole[f"total{c}"] for c in both}
+    shared = ((F.col("after0") > 0).cast("int") + (F.col("after1") > 0).cast("int") - d) / (whole["kinds0"] + whole["kinds1"])
+    by_word = {c: F.greatest(F.col(f"after{c}") - d, F.lit(0.0)) / whole[f"total{c}"] + left[c] * shared for c in both}
+    words = words.select("word", *(p.alias(f"p{c}") for c, p in by_word.items()), F.ln(by_word[1] / by_word[0]).alias("gain"))
+    histories = counts.groupBy("history").agg(*(f.alias(f"{name}{c}") for c, n in both.items() for name, f in (("total", F.sum(n)), ("kinds", F.count_if(n > 0)))))
+    kept = {c: F.when(F.col(f"total{c}") > 0, d * F.col(f"kinds{c}") / F.col(f"total{c}")).otherwise(1.0) for c in both}
+    histories = histories.select("history", "total0", "total1", *(k.alias(f"kept{c}") for c, k in kept.items()), F.ln(kept[1] / kept[0]).alias("gain"))
+    joined = counts.join(words.drop("gain"), "word").join(histories.drop("gain"), "history")
+    by_pair = {c: F.greatest(n - d, F.lit(0.0)) / F.greatest(F.col(f"total{c}"), F.lit(1)) + F.col(f"kept{c}") * F.col(f"p{c}") for c, n in both.items()}
+    pairs = joined.select("pair", F.ln(by_pair[1] / by_pair[0]).alias("gain"))
+    return Model(*_sorted(pairs), *_sorted(words.select("word", "gain")), *_sorted(histories.select("history", "gain")), float(np.log(left[1] / left[0])))
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
     if not len(keys):
         return np.broadcast_to(missing, wanted.shape).astype(float)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+    return np.where(keys[at] == wanted, values[at].astype(float), missing)
 
 
 def gains(model: Model, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,13 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     Folds 1 to 3 give the counts and fold 4 the weights of the length-normalised differences, so
     weights are not fitted to texts that the counts hold. At most ``rows`` ids of each class, each
-    with one text, so the counts that reach the driver are those of 2 * ``rows`` texts at most.
+    with one text, so what reaches the driver, a number for each pair, is of 2 * ``rows`` texts at most.
     Without labels of both classes every score is 0.
     """
     chosen = sample(labels, label, fold(id_col, 5) != 0, id_col, rows)
     texts = texts_of(docs, chosen, id_col, text_col)
-    counts = _counts(texts.where(fold(id_col, 5) != 4)).toPandas()
-    model = estimate(counts["history"].to_numpy().view(np.uint64), counts["word"].to_numpy().view(np.uint64), counts[["n0", "n1"]].to_numpy().astype(float))
+    model = estimate(_counts(texts.where(fold(id_col, 5) != 4)))
 
     def made(buf, offsets):
         return list(differences(model, buf, offsets))

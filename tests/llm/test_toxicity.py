@@ -56,18 +56,12 @@ def batch(texts):
     return buf, offsets
 
 
-def model_of(texts):
-    counts = Counter()
-    for c, text in texts:
-        _, word, before = toxicity._tokens(*batch([text])) if text else (None, [], [])
-        counts.update((int(h), int(w), c) for h, w in zip(before, word))
-    keys = sorted({k[:2] for k in counts})
-    pairs = np.array(keys, dtype=np.uint64).reshape(-1, 2)
-    return toxicity.estimate(pairs[:, 0], pairs[:, 1], np.array([[counts[*k, c] for c in (0, 1)] for k in keys], dtype=float))
-
-
-def test_log_likelihoods_equal_a_plain_version():
-    plain, model = Plain(TEXTS), model_of(TEXTS)
+def model_of(spark, texts):
+    return toxicity.estimate(toxicity._counts(spark.createDataFrame(texts, "label int, text string")))
+
+
+def test_log_likelihoods_equal_a_plain_version(spark):
+    plain, model = Plain(TEXTS), model_of(spark, TEXTS)
     asked = [t for _, t in TEXTS if t] + ["idiot the unknown words and a cat", "new idiot", "sea mat you"]
     for text in asked:
         ws = words(text)
@@ -79,7 +73,7 @@ def test_log_likelihoods_equal_a_plain_version():
     for k, text in enumerate(asked):
         ws = words(text)
         ratios = [plain.after_word(1, h, w) / plain.after_word(0, h, w) for h, w in zip([None, *ws], ws)]
-        assert n[k] == len(ws) and math.isclose(p[k], sum(math.log(1 + toxicity.TOXIC_SHARE * (r - 1)) for r in ratios), abs_tol=1e-9)
+        assert n[k] == len(ws) and math.isclose(p[k], sum(math.log(1 + toxicity.TOXIC_SHARE * (r - 1)) for r in ratios), rel_tol=1e-4, abs_tol=1e-7)
 
 
 def test_distributions_of_both_classes_add_up_to_one():
