@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,10 +87,27 @@ def release() -> None:
         pass
 
 
+@cache
+def one_thread() -> None:
+    """Matrix products of this worker on one core, as a task has one: more threads would wait for one another."""
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:  # not this system
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with unused memory released after each task and about every second."""
+    """``run`` for mapInArrow on one core, with unused memory released after each task and about every second."""
 
     def leaving(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         last = time.monotonic()
         try:
             for made in run(batches):

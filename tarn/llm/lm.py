@@ -257,7 +257,7 @@ class _Trainer:
         rn, rf = context[near], context[far]
         predicted = rn * places[0] + rf * places[1]
         right = target[word]
-        up = 1 / (1 + np.exp((predicted * right).sum(axis=1) + bias[word] - self.noise_log[word]))
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", predicted, right) + bias[word] - self.noise_log[word]))
         down = -1 / (1 + np.exp(-(predicted @ target[noise].T + bias[noise] - self.noise_log[noise])))
         moved = up[:, None] * right + down @ target[noise]
         at, rows, slopes = [word, noise], [up[:, None] * predicted, down.T @ predicted], [up, down.sum(axis=0)]
@@ -265,9 +265,9 @@ class _Trainer:
             if not len(which):
                 continue
             mine, right, wrong = predicted[which], target[one], target[others]
-            up = 1 / (1 + np.exp((mine * right).sum(axis=1) + bias[one] - one_log - np.float32(np.log(INNER_NOISE))))
-            down = -1 / (1 + np.exp(-(np.matmul(wrong, mine[:, :, None])[:, :, 0] + bias[others] - others_log - np.float32(np.log(INNER_NOISE)))))
-            moved[which] += up[:, None] * right + np.matmul(down[:, None, :], wrong)[:, 0]
+            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", mine, right) + bias[one] - one_log - np.float32(np.log(INNER_NOISE))))
+            down = -1 / (1 + np.exp(-(np.einsum("ikj,ij->ik", wrong, mine) + bias[others] - others_log - np.float32(np.log(INNER_NOISE)))))
+            moved[which] += up[:, None] * right + np.einsum("ik,ikj->ij", down, wrong)
             at += [one, others.reshape(-1)]
             rows += [up[:, None] * mine, (down[:, :, None] * mine[:, None, :]).reshape(-1, mine.shape[1])]
             slopes += [up, down.reshape(-1)]
