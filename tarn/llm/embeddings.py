@@ -91,7 +91,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bucket. A unit returns a row per linked member (its links, and the smallest member it is
     connected with there), so large groups never become pairs.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # vectors travel in the precision they are stored in; cosines are taken in double precision
+    stored = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(stored).alias("v"))
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
     reps = cut(rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.size("v").alias("dims")).where("dims > 0"))
 

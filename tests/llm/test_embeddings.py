@@ -59,3 +59,10 @@ def test_extra_columns_with_the_names_of_its_own(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, *["clash"] * 6) for r in rows], f"{SCHEMA}, id string, v string, rep string, `key` string, n_links string, kept string")
     assert result(near_duplicates(df)) == expected(rows)
+
+
+def test_integers_and_doubles_are_vectors_too(spark):
+    rows = [(1, [3, 4]), (2, [30, 40]), (3, [4, -3]), (4, None)]
+    for kind in ("int", "double"):
+        df = spark.createDataFrame([(i, v and [float(x) if kind == "double" else x for x in v]) for i, v in rows], f"vec_id long, embedding array<{kind}>")
+        assert result(near_duplicates(df)) == expected(rows)
