@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """One of pyarrow's file systems and the path in it, for tasks; s3a and s3n are its s3."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or folder.startswith("/"):
+        return pafs.LocalFileSystem(), folder
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return pafs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
+
+
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """A file in the shared folder, whole or not at all; of two attempts the last stays."""
+    system, path = file_system(folder)
+    draft = f"{path}/_{name}.{uuid.uuid4().hex}"
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(draft, compression=None) as out:
+        out.write(data)
+    system.move(draft, f"{path}/{name}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import math
-import os
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import textkernel as tk
 from tarn.llm.blocks import blocked, by_shard, dictionary_rows, pack_longs, pack_numbers, pack_pieces, reassembled, rows_of, unpack_longs, unpack_numbers, unpack_pieces
-from tarn.llm.common import fold, lean, shared_dir, table
+from tarn.llm.common import file_system, fold, lean, shared_dir, table, write_file
 
 #: Every word that the training texts hold so often has vectors of its own. All others share the
 #: vector RARE and are told apart by their counts.
@@ -376,7 +376,7 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
     copies, then one task writes the file: no task has all copies of a row, and the model never
     is in one place.
     """
-    path = shared_dir(texts.sparkSession).removeprefix("file:")
+    path = shared_dir(texts.sparkSession)
     width, groups = 2 * DIMS + 1, max(1, math.isqrt(copies))
 
     def packed(k, group, rows, weight, values):
@@ -438,10 +438,9 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
         for k, _, rows, _, values in means(batches, 1):
             made = _start(plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, plan.rows)))
             made[rows - k * FILE_ROWS] = values
-            os.makedirs(path, exist_ok=True)
-            draft = f"{path}/.{uuid.uuid4().hex}.npy"
-            np.save(draft, made.astype(np.float32))
-            os.replace(draft, f"{path}/{k}.npy")
+            data = io.BytesIO()
+            np.save(data, made.astype(np.float32))
+            write_file(path, f"{k}.npy", data.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["file"])
 
     schema = "file long, part long, rows binary, weights binary, values binary"
@@ -453,22 +452,32 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
 
 
 class Vectors:
-    """Rows of a model's files, mapped into memory where they are read."""
+    """Rows of a model's files, mapped into memory where the shared folder is mounted, else read into it."""
 
     def __init__(self, path: str, plan: Layout):
-        self.path, self.plan, self.files = path, plan, {}
+        self.plan, self.files = plan, {}
+        self.system, self.folder = file_system(path)
         self.places = self.rows(np.array([plan.rows - 1]))[0, : 2 * DIMS].reshape(2, DIMS)
         outer = self.rows(_outer_rows(plan))
         self.target, self.bias = outer[:, DIMS : 2 * DIMS].T.copy(), outer[:, 2 * DIMS].copy()
         self.flat = _tables(Model(outer[:, :DIMS], outer[:, DIMS : 2 * DIMS], self.bias, self.places, 1)) if not plan.classes else None
 
+    def _file(self, k: int) -> np.ndarray:
+        """A file's rows; one that was not written has no word that any text taught."""
+        name = f"{self.folder}/{k}.npy"
+        if self.system.get_file_info(name).type != pafs.FileType.File:
+            return _start(self.plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, self.plan.rows)))
+        if isinstance(self.system, pafs.LocalFileSystem):
+            return np.load(name, mmap_mode="r")
+        with self.system.open_input_stream(name, compression=None) as data:
+            return np.load(io.BytesIO(data.read()))
+
     def rows(self, at: np.ndarray) -> np.ndarray:
         out = np.empty((len(at), 2 * DIMS + 1), dtype=np.float32)
         of = at // FILE_ROWS
         for k in np.unique(of).tolist():
             if k not in self.files:
-                name = f"{self.path}/{k}.npy"
-                self.files[k] = np.load(name, mmap_mode="r") if os.path.exists(name) else _start(self.plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, self.plan.rows)))
+                self.files[k] = self._file(k)
             mine = of == k
             out[mine] = self.files[k][at[mine] - k * FILE_ROWS]
         return out

@@ -7,13 +7,12 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, shared_dir, sized, table
+from tarn.llm.common import cut, lean, shared_dir, sized, table, write_file
 
 #: A payload of fewer bytes is archived each time it occurs.
 REVISIT_BYTES = 1000
@@ -126,21 +125,6 @@ def unpacked(data: bytes):
         yield b"".join(made)
 
 
-def _write(folder: str, name: str, data: bytes) -> None:
-    """The file whole or not at all, by any of pyarrow's file systems; s3a and s3n are its s3."""
-    scheme, colon, rest = folder.partition(":")
-    if colon and not folder.startswith("/"):
-        scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-        system, path = pafs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
-    else:
-        system, path = pafs.LocalFileSystem(), folder
-    draft = f"{path}/_{name}"
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(draft, compression=None) as out:  # not by the name, which says zst
-        out.write(data)
-    system.move(draft, f"{path}/{name}")
-
-
 def revisits(pages: DataFrame) -> DataFrame:
     """(digest, bytes, kept_id): payloads of REVISIT_BYTES or more that several rows have.
 
@@ -178,7 +162,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         def out():
             name = f"part-{attempt}-{serial:06d}.warc.zst"
             data = packed(held)
-            _write(folder, name, data)
+            write_file(folder, name, data)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([attempt]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["name", "attempt", "records", "bytes"])
 
         for batch in batches:
