@@ -33,8 +33,9 @@ BAND = 1 / 8
 DIMS, NOISE, INNER_NOISE, BATCH, RATE = 16, 16, 1, 8192, 0.08
 #: Tokens that a copy of the model learns from, about; fewer, down to LEAST_TOKENS, where cores would idle.
 COPY_TOKENS, LEAST_TOKENS = 8_000_000, 500_000
-#: Rows of vectors in a file of the model, and contexts whose normalisers are computed at once.
-FILE_ROWS, CONTEXTS = 1 << 14, 2048
+#: Rows of vectors in a file of the model, contexts whose normalisers are one product, and tokens
+#: whose contexts are held at once.
+FILE_ROWS, CONTEXTS, GROUP = 1 << 14, 2048, 1 << 17
 FOLDS, HELD_FOLD = 7, 2
 #: The end of a text, a token that no word can equal.
 END = b""
@@ -459,8 +460,8 @@ class Vectors:
         self.system, self.folder = file_system(path)
         self.places = self.rows(np.array([plan.rows - 1]))[0, : 2 * DIMS].reshape(2, DIMS)
         outer = self.rows(_outer_rows(plan))
-        self.target, self.bias = outer[:, DIMS : 2 * DIMS].T.copy(), outer[:, 2 * DIMS].copy()
-        self.flat = _tables(Model(outer[:, :DIMS], outer[:, DIMS : 2 * DIMS], self.bias, self.places, 1)) if not plan.classes else None
+        self.outer = outer[:, DIMS:].T.copy()
+        self.flat = _tables(Model(outer[:, :DIMS], outer[:, DIMS : 2 * DIMS], outer[:, 2 * DIMS], self.places, 1)) if not plan.classes else None
 
     def _file(self, k: int) -> np.ndarray:
         """A file's rows; one that was not written has no word that any text taught."""
@@ -505,12 +506,13 @@ class Vectors:
         outer = np.where(part < 0, words, plan.heads + of)
         out = np.empty(len(words))
         order = np.argsort(part, kind="stable")
-        for at in range(0, len(order), 64 * CONTEXTS):
-            group = order[at : at + 64 * CONTEXTS]
-            predicted = context[back[group]] * self.places[0] + context[back[len(words) + group]] * self.places[1]
+        for at in range(0, len(order), GROUP):
+            group = order[at : at + GROUP]
+            predicted = np.ones((len(group), DIMS + 1), dtype=np.float32)  # the last one takes the bias
+            predicted[:, :DIMS] = context[back[group]] * self.places[0] + context[back[len(words) + group]] * self.places[1]
             for lo in range(0, len(group), CONTEXTS):
                 some = group[lo : lo + CONTEXTS]
-                out[some] = _picked(predicted[lo : lo + CONTEXTS] @ self.target + self.bias, outer[some])
+                out[some] = _picked(predicted[lo : lo + CONTEXTS] @ self.outer, outer[some])
             for node, first, end, mine in ((of, plan.words, plan.words + plan.parts, plan.words + part), (part, plan.heads, plan.words, words)):
                 cut = np.flatnonzero(np.diff(node[group])) + 1
                 for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
@@ -522,7 +524,7 @@ class Vectors:
                     for a in range(lo, hi, CONTEXTS):
                         b = min(a + CONTEXTS, hi)
                         some = group[a:b]
-                        out[some] += _picked(predicted[a:b] @ inner[:, DIMS : 2 * DIMS].T + inner[:, 2 * DIMS], mine[some] - low)
+                        out[some] += _picked(predicted[a:b] @ inner[:, DIMS:].T, mine[some] - low)
         return np.split(out, np.cumsum([len(t) for t in texts])[:-1])
 
 
