@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, embeddings, isolation, licenses, lm, minhash, mixing, rules, toxicity, warc
+from tarn.llm import bpe, embeddings, isolation, licenses, lm, merkle, minhash, mixing, rules, toxicity, warc
 from tarn.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_embedding_near_dedup,
         op10_quality_rules,
+        op11_merkle_manifest,
     )
 }
 SQL: dict[str, str] = {
@@ -75,4 +80,5 @@ SQL: dict[str, str] = {
     "op9_embedding_near_dedup": embeddings.SQL,
     "op6_source_mixing": mixing.oracle(mixing.WEIGHTS, MIX_PERCENT, MIX_EPOCHS),
     "op7_warc": warc.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
