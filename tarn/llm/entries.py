@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, embeddings, isolation, licenses, lm, merkle, minhash, mixing, rules, toxicity, warc
+from tarn.llm import bpe, embeddings, isolation, licenses, lm, merkle, minhash, mixing, prefixes, rules, toxicity, warc
 from tarn.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MIX_PERCENT, MIX_EPOCHS = 60, 4
 
 
@@ -59,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(read(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.token_counts(read(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_embedding_near_dedup,
         op10_quality_rules,
         op11_merkle_manifest,
+        op12_token_counts,
     )
 }
 SQL: dict[str, str] = {
