@@ -134,7 +134,7 @@ def counted(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
             made = [pa.array(x, pa.int64()) for x in (sizes, lengths, tokens)] + [pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *made], names=schema.names)
 
-    return docs.select(*(f"`{k}`" for k in keep), f"`{text_col}`").mapInArrow(lean(run), schema)
+    return docs.select(*(F.col(f"`{k}`").alias(f"keep{i}") for i, k in enumerate(keep)), F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _answered(table: DataFrame, asked: Column, name: str, answer) -> DataFrame:
@@ -151,7 +151,7 @@ def _answered(table: DataFrame, asked: Column, name: str, answer) -> DataFrame:
                 made.append(None if want is None else answer(np.concatenate([[0], np.cumsum(np.frombuffer(expand(packed[i].as_py()), dtype=np.int8), dtype=np.int64)]), want))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(made, pa.int64())], names=schema.names)
 
-    return table.select(*(f"`{f.name}`" for f in kept), "prefixes", asked.cast("long").alias("asked")).mapInArrow(lean(run), schema)
+    return table.select(*(F.col(f"`{f.name}`").alias(f"keep{i}") for i, f in enumerate(kept)), "prefixes", asked.cast("long").alias("asked")).mapInArrow(lean(run), schema)
 
 
 def truncated(table: DataFrame, limit: Column, name: str = "chars_in_limit") -> DataFrame:
