@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, embeddings, isolation, licenses, lm, merkle, minhash, mixing, prefixes, rules, toxicity, warc
+from tarn.llm import bpe, embeddings, isolation, licenses, lm, merkle, minhash, mixing, prefixes, rules, spelling, toxicity, warc
 from tarn.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,6 +64,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.token_counts(read(spark, sf_dir, "documents"), PIECES)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
         op11_merkle_manifest,
         op12_token_counts,
+        op13_spelling_variants,
     )
 }
 SQL: dict[str, str] = {
@@ -87,4 +92,5 @@ SQL: dict[str, str] = {
     "op6_source_mixing": mixing.oracle(mixing.WEIGHTS, MIX_PERCENT, MIX_EPOCHS),
     "op7_warc": warc.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op9_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op10_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op13_spelling_variants": "word string, n bigint, n_near bigint, form string, form_n bigint, root string",
     "op12_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, chars_in_limit bigint",
     "op11_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
