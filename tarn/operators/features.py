@@ -23,6 +23,11 @@ def word_frequencies(df: DataFrame, label: str, tokens: str, top: int = 200) ->
     # explode() would have Spark filter on the size of the tokens first, and so make them twice
     found = df.where(F.col(label).isNotNull()).select(label, F.explode_outer(tokens).alias("word")).where("word is not null")
     counts = found.groupBy(label, "word").agg(F.count("*").alias("n"))
+    return ranked(counts, label, top)
+
+
+def ranked(counts: DataFrame, label: str, top: int) -> DataFrame:
+    """The ``top`` rows of each label by n, ties by the word, with place and weight against the label's largest n."""
     by_rank = (F.desc("n"), "word")
     part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
     few = counts.withColumn("place", F.row_number().over(Window.partitionBy(label, part).orderBy(*by_rank))).where(F.col("place") <= top)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.functions.dates import part_of_day, wall_clock
-from tarn.operators import features, profile, share
+from tarn.operators import collocations, features, profile, share
 from tarn.plans import stem_sql
 from tarn.sources import readers, schemas
 
@@ -118,6 +118,13 @@ def text_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("weight", F.round("weight", 8))
 
 
+def text_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words and pairs of words of a cloud, for each of two labels."""
+    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tokens(X.tidy(F.col("text"))).alias("tokens"))
+    terms = collocations.cloud_words(made, "airline_sentiment", "tokens")
+    return terms.withColumns({"weight": F.round("weight", 8), "score": F.round("score", 6)})
+
+
 def text_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _tidy(spark, sf_dir).select("tweet_id", X.tokens(F.col("tidy_text")).alias("tokens"))
     return features.stems(made, "tweet_id", "tokens").select("tweet_id", "stemmed")
@@ -227,6 +234,37 @@ SELECT {f'g.{by}, ' if by else ''}g.bin, round(a + (g.bin - 1) * (z - a) / 20, 6
 FROM g LEFT JOIN k ON g.bin = k.bin {f'AND g.{by} = k.{by}' if by else ''}"""
 
 
+def _folded_sql(name: str, counts: str) -> str:
+    """``name``: counts of words (s, word, n) with cases and plurals folded, as (s, stem, word, n)."""
+    return f"""{name}0 AS (SELECT s, word, n, CASE WHEN ends_with(lower(word), 's') AND NOT ends_with(lower(word), 'ss') THEN left(lower(word), length(word) - 1) ELSE lower(word) END AS stem FROM ({counts})),
+{name}1 AS (SELECT *, bool_or(lower(word) = stem) OVER (PARTITION BY s, stem) AS has FROM {name}0),
+{name}2 AS (SELECT s, stem, CASE WHEN has AND lower(word) <> stem THEN left(word, length(word) - 1) ELSE word END AS form, sum(n) AS n FROM {name}1 GROUP BY ALL),
+{name} AS (SELECT s, stem, first(form ORDER BY n DESC, form) AS word, CAST(sum(n) AS BIGINT) AS n FROM {name}2 GROUP BY s, stem)"""
+
+
+def _collocations_sql() -> str:
+    stops = "[" + ", ".join(f"'{w}'" for w in collocations.CLOUD_STOP_WORDS) + "]"
+    stem = "CASE WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END"
+
+    def odds(k: str, n: str, p: str) -> str:
+        return f"(({k}) * ln(greatest({p}, 1e-10)) + (({n}) - ({k})) * ln(greatest(1 - ({p}), 1e-10)))"
+
+    overall, after, elsewhere = "b / m", "k / a", "(b - k) / (m - a)"
+    score = f"2 * ({odds('k', 'a', after)} + {odds('b - k', 'm - a', elsewhere)} - {odds('k', 'a', overall)} - {odds('b - k', 'm - a', overall)})"
+    return f"""{_T}, x AS (SELECT airline_sentiment AS s, {_TOKENS.format(_SHORT)} AS tokens FROM t WHERE airline_sentiment IN ('positive', 'negative')),
+e AS (SELECT s, unnest(tokens) AS word, unnest(list_append(tokens[2:], NULL)) AS follower FROM x),
+p AS (SELECT s, word, CASE WHEN NOT list_contains({stops}, lower(follower)) THEN follower END AS follower, count(*) AS n FROM e WHERE NOT list_contains({stops}, lower(word)) GROUP BY ALL),
+{_folded_sql('w', 'SELECT s, word, sum(n) AS n FROM p GROUP BY ALL')},
+{_folded_sql('z', "SELECT s, word || ' ' || follower AS word, sum(n) AS n FROM p WHERE follower IS NOT NULL GROUP BY ALL")},
+y AS (SELECT s, word, n, {stem.replace('x', "lower(split_part(word, ' ', 1))")} AS one, {stem.replace('x', "lower(split_part(word, ' ', 2))")} AS two FROM z),
+k AS (SELECT y.s, y.word, y.n, one, two, CAST(y.n AS DOUBLE) AS k, CAST(f.n AS DOUBLE) AS a, CAST(g.n AS DOUBLE) AS b, CAST((SELECT sum(n) FROM w WHERE w.s = y.s) AS DOUBLE) AS m FROM y JOIN w f ON f.s = y.s AND f.stem = one JOIN w g ON g.s = y.s AND g.stem = two),
+q AS (SELECT * FROM (SELECT s, word, n, one, two, {score} AS score FROM k) WHERE score > {collocations.THRESHOLD}),
+r AS (SELECT s, stem, sum(n) AS taken FROM (SELECT s, one AS stem, n FROM q UNION ALL SELECT s, two, n FROM q) GROUP BY ALL),
+u AS (SELECT w.s, w.word, CAST(w.n - coalesce(taken, 0) AS BIGINT) AS n, NULL::DOUBLE AS score FROM w LEFT JOIN r ON r.s = w.s AND r.stem = w.stem UNION ALL SELECT s, word, n, score FROM q),
+v AS (SELECT *, CAST(row_number() OVER (PARTITION BY s ORDER BY n DESC, word) AS INTEGER) AS place, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY s), 8) AS weight FROM u WHERE n > 0)
+SELECT s AS airline_sentiment, word, n, round(score, 6) AS score, place, weight FROM v WHERE place <= 200"""
+
+
 _COLUMNS = ["tweet_id", "text", "airline", "airline_sentiment", "negativereason", "airline_sentiment_confidence", "retweet_count", "tweet_created"]
 QUERIES = {
     f.__name__: f
@@ -234,7 +272,7 @@ QUERIES = {
         tweets_count, tweets_head, first_n_enumerated, row_lookup, tweets_null_counts, tweets_mean_by_label, tweets_describe_length, tweets_longest, tweets_of_length,
         tweets_hist, tweets_hist_by_label, tweets_label_counts, reason_counts, tweets_part_of_day_share, tweets_airline_share, text_strip_handles, text_charclass,
         text_short_words, text_tokens, text_word_freq, text_stems, text_vocab, text_vocab_size, text_bow, text_bow_one, text_matrix_shape, text_tfidf, text_label_model,
-        text_stem_vocab, text_stem_bow, text_stem_tfidf, tweets_csv_hours,
+        text_stem_vocab, text_stem_bow, text_stem_tfidf, tweets_csv_hours, text_collocations,
     )
 }
 SQL = {
@@ -261,6 +299,7 @@ SQL = {
 c AS (SELECT airline_sentiment, word, count(*) AS n FROM x GROUP BY 1, 2),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY airline_sentiment ORDER BY n DESC, word) AS INTEGER) AS place, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY airline_sentiment), 8) AS weight FROM c)
 SELECT * FROM p WHERE place <= 200""",
+    "text_collocations": _collocations_sql(),
     "text_vocab": f"WITH {_BAG}, {_VOCAB} SELECT * FROM v",
     "text_vocab_size": f"WITH {_BAG} SELECT count(DISTINCT term) AS n_terms FROM b",
     "text_bow": f"WITH {_BAG} SELECT * FROM b",

@@ -25,6 +25,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as Parquet to the shared folder and read back."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_row_number(df: DataFrame, name: str = "row") -> DataFrame:
     """Dense numbers from 0 in the order the rows are read.
 
