@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.functions.stem import stem_arrays
+from tarn.sources.ordinals import in_order
+from tarn.sources.readers import kept
 
 #: Parts of a label's words that are ranked on their own.
 PARTS = 64
@@ -56,15 +58,8 @@ def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(bag: DataFrame) -> DataFrame:
-    """(term, term_id): ids from 0 in alphabetical order.
-
-    Ids come from the number of terms in earlier ranges, so that no task orders all terms.
-    """
-    known = bag.select("term").distinct().withColumn("head", F.substring("term", 1, 2))
-    heads = known.groupBy("head").agg(F.count("*").alias("n"))
-    before = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("head").orderBy("term")) - 1
-    return known.withColumn("place", place).join(before, "head").select("term", (F.col("before") + F.col("place")).cast("long").alias("term_id"))
+    """(term, term_id): ids from 0 in alphabetical order; ranges of terms are numbered, no task orders all of them."""
+    return in_order(bag.select("term").distinct(), ["term"], "term_id")
 
 
 def transform(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
@@ -79,15 +74,21 @@ def matrix_shape(df: DataFrame, bag: DataFrame, key: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(cells))
 
 
+def smooth_idf(n: Column, df: Column) -> Column:
+    """ln((1 + n) / (1 + df)) + 1 of a term in ``df`` of ``n`` documents."""
+    return F.log((1 + n) / (1 + df)) + 1
+
+
 def tfidf(df: DataFrame, bag: DataFrame, key: str) -> DataFrame:
-    """(key, term, tfidf): tf * (ln((1 + n) / (1 + df)) + 1), each document's row scaled to length 1.
+    """(key, term, tfidf): tf * idf, each document's row scaled to length 1.
 
     n counts documents without terms too. Document frequencies come from the bag's rows, which
-    are one per document and term.
+    are one per document and term; the bag is counted once and written.
     """
+    bag = kept(bag)
     n = df.agg(F.countDistinct(key).alias("n_docs"))
     frequency = bag.groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = frequency.crossJoin(F.broadcast(n)).select("term", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
     weighed = bag.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("w") / length).alias("tfidf"))

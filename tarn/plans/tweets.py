@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.functions.dates import part_of_day, wall_clock
-from tarn.operators import collocations, features, profile, share
+from tarn.operators import collocations, features, profile, share, textmodel
 from tarn.plans import stem_sql
-from tarn.sources import readers, schemas
+from tarn.sources import ordinals, readers, schemas
 
 ROW, FIRST, LENGTH = 3, 10, 12
 CODES = {"negative": 1, "neutral": 0, "positive": 0}
@@ -161,6 +161,41 @@ def text_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("tfidf", F.round("tfidf", 6))
 
 
+def text_sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts as one sparse row over the vocabulary of all documents."""
+    docs = _tidy(spark, sf_dir)
+    bag = readers.kept(features.bag_of_words(docs, "tweet_id", "tidy_text"))
+    vocab = readers.kept(features.vocabulary(bag))
+    return textmodel.sparse_rows(docs, bag.join(vocab, "term"), "tweet_id", vocab.count())
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tidy texts of documents with a sentiment, and of those without one."""
+    tidy = _tweets(spark, sf_dir, "tweet_id", "text", "airline_sentiment").select("tweet_id", "airline_sentiment", X.tidy(F.col("text")).alias("tidy_text"))
+    return tidy.where("airline_sentiment is not null"), tidy.where("airline_sentiment is null")
+
+
+def _fitted(spark: SparkSession, docs: DataFrame) -> textmodel.TextModel:
+    path = readers.scratch(spark)
+    textmodel.fit(docs, "tweet_id", "tidy_text").save(path)
+    return textmodel.load(spark, path)
+
+
+def text_model_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF of documents without a sentiment by the stored model of those that have one."""
+    known, new = _folds(spark, sf_dir)
+    made = textmodel.weigh(_fitted(spark, known), new, "tweet_id", "tidy_text")
+    return made.withColumn("tfidf", F.round("tfidf", 6))
+
+
+def text_model_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as sparse rows; documents without known terms have empty ones."""
+    known, new = _folds(spark, sf_dir)
+    model = _fitted(spark, known)
+    made = textmodel.sparse_rows(new, textmodel.weigh(model, new, "tweet_id", "tidy_text"), "tweet_id", model.n_terms, "tfidf")
+    return made.withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
+
+
 def _stemmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stemmed texts and their bag of words: cleaned, tokens without stop words, stems, joined."""
     made = _tidy(spark, sf_dir).select("tweet_id", X.tokens(F.col("tidy_text")).alias("tokens"))
@@ -192,6 +227,30 @@ def tweets_csv_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("part_of_day", part_of_day(F.col("tweet_hour"))).orderBy("tweet_hour")
 
 
+def _csv_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tweets as CSV files, written by id, and read with the number of each row in the files."""
+    rows = readers.tweets(spark, sf_dir, *(f.name for f in schemas.TWEETS)).repartitionByRange("tweet_id").sortWithinPartitions("tweet_id")
+    path = readers.scratch(spark)
+    rows.withColumn("tweet_created", F.date_format("tweet_created", "yyyy-MM-dd HH:mm:ss")).write.csv(path, header=True, escape='"', quoteAll=True)
+    return ordinals.in_file_order(readers.csv(spark, path, schemas.TWEETS))
+
+
+def csv_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five rows of the files."""
+    return profile.head(_csv_in_order(spark, sf_dir), "row")
+
+
+def csv_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten texts of the files and their ordinals."""
+    made = _csv_in_order(spark, sf_dir).where(F.col("row") < FIRST)
+    return made.select(F.col("row").alias("ordinal"), "text").orderBy("ordinal")
+
+
+def csv_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of a given label, its place in the files."""
+    return profile.row_at(_csv_in_order(spark, sf_dir), "row", ROW)
+
+
 def text_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _tweets(spark, sf_dir, "tweet_id", "airline_sentiment")
     return features.recoded(made, "airline_sentiment", CODES, "airline_sentiment_model")
@@ -212,6 +271,14 @@ _STEMS = f"""{_DOCS}, k AS (SELECT tweet_id, {_TOKENS.format('tidy_text')} AS to
 j AS (SELECT tweet_id, string_agg(stem, ' ' ORDER BY place) AS stemmed FROM x JOIN stems ON stems.token = x.token GROUP BY 1)"""
 _STEM_BAG = rf"{_STEMS}, w AS (SELECT tweet_id, unnest(regexp_extract_all(stemmed, '[a-z]{{2,}}')) AS term FROM j), b AS (SELECT tweet_id, term, count(*) AS tf FROM w GROUP BY 1, 2)"
 _VOCAB = "v AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM (SELECT DISTINCT term FROM b))"
+_MODEL = f"""{_T}, a AS (SELECT tweet_id, airline_sentiment IS NOT NULL AS known, {_SHORT} AS tidy_text FROM t),
+w AS (SELECT tweet_id, known, unnest(regexp_extract_all(lower(tidy_text), '[a-z]{{2,}}')) AS term FROM a),
+b AS (SELECT tweet_id, known, term, count(*) AS tf FROM w GROUP BY ALL),
+f AS (SELECT term, count(*) AS df, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM b WHERE known GROUP BY term),
+u AS (SELECT tweet_id, b.term, term_id, tf, tf * (ln(CAST(1 + (SELECT count(*) FROM a WHERE known) AS DOUBLE) / (1 + df)) + 1) AS weight FROM b JOIN f ON f.term = b.term WHERE NOT known),
+m AS (SELECT tweet_id, term, term_id, tf, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY tweet_id)), 6) AS tfidf FROM u)"""
+_ROWS = "SELECT d.tweet_id, (SELECT count(*) FROM {vocab}) AS size, coalesce(c.indices, []) AS indices, coalesce(c.values, []) AS values FROM {docs} d LEFT JOIN (SELECT tweet_id, list(term_id ORDER BY term_id) AS indices, list({value} ORDER BY term_id) AS values FROM {cells} GROUP BY 1) c ON c.tweet_id = d.tweet_id"
+_CSV = f"{_T}, o AS (SELECT tweet_id, text, airline, airline_sentiment, airline_sentiment_confidence, negativereason, retweet_count, strftime(tweet_created, '%Y-%m-%d %H:%M:%S') AS tweet_created, row_number() OVER (ORDER BY tweet_id) - 1 AS row FROM t)"
 _TFIDF = """f AS (SELECT term, count(*) AS df FROM b GROUP BY 1),
 u AS (SELECT tweet_id, b.term, tf * (ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)) + 1) AS weight FROM b JOIN f ON f.term = b.term)
 SELECT tweet_id, term, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY tweet_id)), 6) AS tfidf FROM u"""
@@ -272,7 +339,8 @@ QUERIES = {
         tweets_count, tweets_head, first_n_enumerated, row_lookup, tweets_null_counts, tweets_mean_by_label, tweets_describe_length, tweets_longest, tweets_of_length,
         tweets_hist, tweets_hist_by_label, tweets_label_counts, reason_counts, tweets_part_of_day_share, tweets_airline_share, text_strip_handles, text_charclass,
         text_short_words, text_tokens, text_word_freq, text_stems, text_vocab, text_vocab_size, text_bow, text_bow_one, text_matrix_shape, text_tfidf, text_label_model,
-        text_stem_vocab, text_stem_bow, text_stem_tfidf, tweets_csv_hours, text_collocations,
+        text_stem_vocab, text_stem_bow, text_stem_tfidf, tweets_csv_hours, text_collocations, text_sparse_rows,
+        text_model_applied, text_model_sparse, csv_head, csv_enumerated, csv_row,
     )
 }
 SQL = {
@@ -300,6 +368,12 @@ c AS (SELECT airline_sentiment, word, count(*) AS n FROM x GROUP BY 1, 2),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY airline_sentiment ORDER BY n DESC, word) AS INTEGER) AS place, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY airline_sentiment), 8) AS weight FROM c)
 SELECT * FROM p WHERE place <= 200""",
     "text_collocations": _collocations_sql(),
+    "text_sparse_rows": f"WITH {_BAG}, {_VOCAB}, c AS (SELECT tweet_id, term_id, tf FROM b JOIN v ON v.term = b.term) " + _ROWS.format(vocab="v", docs="d", value="tf", cells="c"),
+    "text_model_applied": f"{_MODEL} SELECT * FROM m",
+    "text_model_sparse": f"{_MODEL}, d AS (SELECT tweet_id FROM a WHERE NOT known) " + _ROWS.format(vocab="f", docs="d", value="tfidf", cells="m"),
+    "csv_head": f"{_CSV} SELECT * FROM o ORDER BY row LIMIT 5",
+    "csv_enumerated": f"{_CSV} SELECT row AS ordinal, text FROM o WHERE row < {FIRST}",
+    "csv_row": f"{_CSV} SELECT * FROM o WHERE row = {ROW}",
     "text_vocab": f"WITH {_BAG}, {_VOCAB} SELECT * FROM v",
     "text_vocab_size": f"WITH {_BAG} SELECT count(DISTINCT term) AS n_terms FROM b",
     "text_bow": f"WITH {_BAG} SELECT * FROM b",

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file with a header, quoted line ends and doubled quotes; no inference pass."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+def csv(spark: SparkSession, path: str, schema: T.StructType, line_ends: bool = True) -> DataFrame:
+    """A CSV file with a header and doubled quotes; no inference pass.
+
+    ``line_ends``: quoted values may hold line ends, so a file cannot be split and is one task.
+    Without them large files are read in splits.
+    """
+    return spark.read.schema(schema).csv(path, header=True, multiLine=line_ends, escape='"')
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,21 +37,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def offsets(rows: DataFrame, piece: Sequence[Column], at: Column) -> DataFrame:
+    """(p0, p1, ..., shift) for each piece: what turns ``at`` into a number over all pieces in their order.
+
+    One row a piece (a range, or a split of a file) is summed up in one window: their number is
+    that of tasks, not of rows.
+    """
+    names = [f"p{k}" for k in range(len(piece))]
+    sizes = rows.select(*(c.alias(n) for c, n in zip(piece, names, strict=True)), at.alias("at")).groupBy(*names).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    return sizes.select(*names, (F.sum("n").over(Window.orderBy(*names)) - F.col("n") - F.col("first")).alias("shift"))
+
+
 def with_row_number(df: DataFrame, name: str = "row") -> DataFrame:
     """Dense numbers from 0 in the order the rows are read.
 
-    A first job counts the rows of each partition; a row's number is its place in its partition
-    and what the partitions before hold. Counts are as many as partitions.
+    The rows of each partition are counted first; a row's number is its place in its partition
+    and what the partitions before hold, a table of one row a partition.
     """
-    counts = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().orderBy("p").collect()
-    before, total = {}, 0
-    for r in counts:
-        before[r["p"]], total = total, total + r["count"]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, (F.element_at(offsets, F.spark_partition_id()) + place).cast("long"))
+    piece, at = F.shiftright("__at", 33), F.col("__at")
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    return placed.join(F.broadcast(offsets(placed, [piece], at)), piece == F.col("p0")).select(*(F.col(f"`{c}`") for c in df.columns if c != name), (at + F.col("shift")).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
