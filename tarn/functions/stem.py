@@ -1,13 +1,13 @@
-"""The Porter stemmer of 1980, applied to the distinct tokens of Arrow batches."""
+"""The Porter stemmer of 1980, as a function of one word and as Spark expressions."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import lru_cache
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # The published suffix tables of steps 2 to 4.
 STEP_2 = {
@@ -80,12 +80,102 @@ def stem(word: str | None) -> str | None:
     return word
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_arrays(tokens: pd.Series) -> pd.Series:
-    """Arrays of stems; each distinct token of a batch is stemmed once."""
-    known: dict[str | None, str | None] = {}
-    for words in tokens:
-        for w in words if words is not None else ():
-            if w not in known:
-                known[w] = stem(w)
-    return tokens.map(lambda words: None if words is None else [known[w] for w in words])
+# The same rules as Spark expressions. In a marked word Y stands for a y that is a consonant: at the
+# start and after a vowel.
+_VOWEL, _CONSONANT = "[aeiouy]", "[^aeiouy]"
+
+
+def _some(stem: Column) -> Column:
+    """The measure of the stem of a marked word is above 0."""
+    return stem.rlike(_VOWEL + _CONSONANT)
+
+
+def _more(stem: Column) -> Column:
+    """Its measure is above 1."""
+    return stem.rlike(f"{_VOWEL}{_CONSONANT}+{_VOWEL}+{_CONSONANT}")
+
+
+def _ends_short(stem: Column) -> Column:
+    return stem.rlike(f"{_CONSONANT}{_VOWEL}[^aeiouywxY]\\z")
+
+
+def _without(word: Column, n: int) -> Column:
+    return F.left(word, F.length(word) - n)
+
+
+def _first(word: Column, rules: Sequence[tuple[Column, Column]]) -> Column:
+    """The result of the first rule whose condition holds, else the word."""
+    made = F
+    for condition, result in rules:
+        made = made.when(condition, result)
+    return made.otherwise(word)
+
+
+def _by_suffix(word: Column, suffixes: Iterable[str], made: Callable[[str, Column], Column]) -> Column:
+    """``made(suffix, stem)`` of the longest of ``suffixes`` that the word has."""
+    return _first(word, [(word.endswith(s), made(s, _without(word, len(s)))) for s in sorted(suffixes, key=len, reverse=True)])
+
+
+def _plural(w: Column) -> Column:
+    return _first(w, [(w.endswith("sses") | w.endswith("ies"), _without(w, 2)), (w.endswith("s") & ~w.endswith("ss"), _without(w, 1))])
+
+
+def _past(w: Column) -> Column:
+    """Without ed or ing after a vowel, and what is left mended; eed becomes ee."""
+    eed = F.when(_some(_without(w, 3)), _without(w, 1)).otherwise(w)
+    return _first(w, [(w.endswith("eed"), eed), *((w.endswith(s) & _without(w, len(s)).rlike(_VOWEL), F.get(F.transform(F.array(_without(w, len(s))), _mended), F.lit(0))) for s in ("ed", "ing"))])
+
+
+def _mended(c: Column) -> Column:
+    double = c.rlike(f"(({_CONSONANT})\\2|yY)\\z") & ~F.right(c, F.lit(1)).isin("l", "s", "z")
+    short = _some(c) & ~_more(c) & _ends_short(c)
+    return _first(c, [(c.rlike("(at|bl|iz)\\z"), F.concat(c, F.lit("e"))), (double, _without(c, 1)), (short, F.concat(c, F.lit("e")))])
+
+
+def _last_y(w: Column) -> Column:
+    return _first(w, [(w.rlike(f"(?s){_VOWEL}.*[yY]\\z"), F.concat(_without(w, 1), F.lit("i")))])
+
+
+def _table(table: Mapping[str, str]) -> Callable[[Column], Column]:
+    return lambda w: _by_suffix(w, table, lambda s, stem: F.when(_some(stem), F.concat(stem, F.lit(table[s]))).otherwise(w))
+
+
+def _removed(w: Column) -> Column:
+    def rule(s: str, stem: Column) -> Column:
+        fits = _more(stem) & stem.rlike("[st]\\z") if s == "ion" else _more(stem)
+        return F.when(fits, stem).otherwise(w)
+
+    return _by_suffix(w, STEP_4, rule)
+
+
+def _last_e(w: Column) -> Column:
+    stem = _without(w, 1)
+    return _first(w, [(w.endswith("e") & (_more(stem) | (_some(stem) & ~_ends_short(stem))), stem)])
+
+
+def _last_l(w: Column) -> Column:
+    return _first(w, [(w.endswith("ll") & _more(w), _without(w, 1))])
+
+
+def _marked(w: Column) -> Column:
+    return F.when(F.contains(w, F.lit("y")), F.regexp_replace(F.regexp_replace(w, "(^|[aeiou])y", "$1Y"), "yy", "yY")).otherwise(w)
+
+
+STEPS = (_marked, _plural, _past, _last_y, _table(STEP_2), _table(STEP_3), _removed, _last_e, _last_l)
+
+
+def stemmed(words: Column) -> Column:
+    """The stems of an array of words, in their places; nulls stay null.
+
+    All steps are expressions, so words stay in the JVM and in their rows.
+    """
+    made = F.transform(words, F.lower)
+    return F.transform(made, lambda w: F.when(F.length(w) > 2, F.lower(_in_turn(w))).otherwise(w))
+
+
+def _in_turn(word: Column) -> Column:
+    """All steps one after another, each on the value of the one before: an array of one word binds it."""
+    held = F.array(word)
+    for step in STEPS:
+        held = F.transform(held, step)
+    return F.get(held, F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
-from tarn.functions.stem import stem_arrays
+from tarn.functions.stem import stemmed
 from tarn.sources.ordinals import in_order
 from tarn.sources.readers import kept
 
@@ -41,9 +41,9 @@ def stems(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``key``, stems (array) and stemmed (joined by spaces); no tokens give no stems.
 
     Tokens stay in their rows: a shuffle of all tokens to stem each once in the whole table
-    would cost more than stemming it once per batch.
+    would cost more than the expressions that stem it wherever it stands.
     """
-    made = df.select(key, stem_arrays(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("stems"))
+    made = df.select(key, stemmed(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("stems"))
     return made.withColumn("stemmed", F.array_join("stems", " "))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.dates import month_day, within
 from tarn.functions.numeric import half_even, percent_change, ratio, total
-from tarn.functions.spline import grid, weights
+from tarn.functions.spline import curve_through, grid
 
 SIDES = ("domestic", "international")
 DAYS = 365
@@ -68,24 +70,48 @@ def masked_segments(df: DataFrame, at: int = 6) -> DataFrame:
     return placed.withColumns(late | early).select("position", *late, *early)
 
 
-def season_extremes(df: DataFrame) -> DataFrame:
-    """The largest and smallest monthly passengers by month and day, in one aggregate."""
-    made = with_totals(df, "passengers").select(month_day(F.col("dt")).alias("month_day"), "total_passengers")
-    return made.where("month_day is not null").groupBy("month_day").agg(F.max("total_passengers").alias("max_passengers"), F.min("total_passengers").alias("min_passengers"))
+def season_extremes(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The largest and smallest monthly passengers by (``by`` and) month and day, in one aggregate."""
+    keys = [by] if by else []
+    made = with_totals(df, "passengers").select(*keys, month_day(F.col("dt")).alias("month_day"), "total_passengers")
+    return made.where("month_day is not null").groupBy(*keys, "month_day").agg(F.max("total_passengers").alias("max_passengers"), F.min("total_passengers").alias("min_passengers"))
+
 
+def season_band(df: DataFrame, by: str | None = None, points: Sequence[float] = tuple(grid().tolist())) -> DataFrame:
+    """The extremes in millions, smoothed by a spline over the months: (by,) k, x, smooth_max, smooth_min.
 
-def spline_weights(spark: SparkSession) -> DataFrame:
-    """(k, x, month, w): a fixed table of 300 points by 12 months."""
-    rows = [(k, float(x), m + 1, float(w)) for k, (x, line) in enumerate(zip(grid(), weights(), strict=True)) for m, w in enumerate(line)]
-    return spark.createDataFrame(rows, "k int, x double, month int, w double")
+    A curve for each value of ``by``, and one row for each of ``points``. The knots are the months
+    that have passengers: others are interpolated over, and before the first and after the last one
+    the curve is null. Several days of a month are one knot, by their largest and smallest value.
+    """
+    keys = [by] if by else []
+    months = season_extremes(df, by).withColumn("month", F.substring("month_day", 1, 2).cast("double"))
+    ends = {"max": F.max("max_passengers"), "min": F.min("min_passengers")}
+    knots = months.groupBy(*keys, "month").agg(*(made.alias(end) for end, made in ends.items())).where("max is not null")
+    curves = knots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", *ends))).alias("knots"))  # twelve at most
+    through = curve_through(tuple(map(float, points)))
+    curves = curves.where(F.size("knots") > 0).select(*keys, *(through("knots.month", F.transform(f"knots.{end}", lambda v: v / 1e6)).alias(end) for end in ends))
+    each = curves.select(*keys, F.posexplode(F.arrays_zip(*ends)).alias("k", "at"))
+    x = F.get(F.lit([float(p) for p in points]), F.col("k"))
+    return each.select(*keys, "k", x.alias("x"), *(F.col(f"at.{end}").alias(f"smooth_{end}") for end in ends))
+
+
+def filled_changes(df: DataFrame, order: str, *columns: str, by: str | None = None) -> DataFrame:
+    """``filled_<column>`` and ``pct_change_<column>`` of rows in the order of ``order`` (within ``by``).
+
+    A null takes the last value before it, and the change is that of the filled values: 1, null, 2
+    changes by null, 0, 1. Nulls before the first value stay. Rows with a null ``by`` are a group.
+    """
+    window = Window.partitionBy(by).orderBy(order) if by else Window.orderBy(order)
+    filled = df.withColumns({f"filled_{c}": F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in columns})
+    return filled.withColumns({f"pct_change_{c}": percent_change(F.col(f"filled_{c}"), F.lag(f"filled_{c}").over(window)) for c in columns})
 
 
-def season_band(df: DataFrame) -> DataFrame:
-    """The extremes in millions, smoothed by the spline: k, x, smooth_max, smooth_min."""
-    months = season_extremes(df).withColumn("month", F.substring("month_day", 1, 2).cast("int"))
-    met = months.join(F.broadcast(spline_weights(df.sparkSession)), "month")
-    smooth = [F.sum(F.col("w") * F.col(f"{end}_passengers") / 1e6).alias(f"smooth_{end}") for end in ("max", "min")]
-    return met.groupBy("k", "x").agg(*smooth)
+def with_gaps(df: DataFrame, by: str, year: str) -> DataFrame:
+    """``df`` and a row of nulls for each year that a value of ``by`` lacks between the first and the last of all years."""
+    span = df.agg(F.min(year).alias("low"), F.max(year).alias("high"))
+    years = df.select(by).distinct().crossJoin(F.broadcast(span)).select(by, F.explode(F.sequence("low", "high")).alias(year))
+    return years.join(df, [by, year], "left")
 
 
 def yearly_changes(df: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tarn.functions.dates import month_label
 from tarn.functions.numeric import percent_label, thousands
-from tarn.functions.spline import grid, weights
+from tarn.functions.spline import grid, knot_weights, weights
 from tarn.operators import traffic as T
 from tarn.sources import readers
 
+#: Points of the curves by year, four a month; their SQL knows years of so many first months at least.
+QUARTER_MONTHS, MONTHS_LEAST = tuple(grid(points=45).tolist()), 10
 AFTER, FIRST, BEFORE, SPLIT = "1994-12-31", "1995-01-01", "2001-01-01", 3
 
 
@@ -47,6 +49,21 @@ def traffic_season_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("k", F.round("x", 6).alias("x"), F.round("smooth_max", 6).alias("smooth_max"), F.round("smooth_min", 6).alias("smooth_min")).orderBy("k")
 
 
+def traffic_season_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seasonal curve a year, the last year with the months that it has."""
+    months = T.whole_years(readers.traffic(spark, sf_dir, FIRST), AFTER, "2100-01-01")
+    made = T.season_band(months, "year", QUARTER_MONTHS)
+    return made.withColumns({c: F.round(c, 6) for c in ("smooth_max", "smooth_min")}).orderBy("year", "k")
+
+
+def traffic_yoy_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's order value by year and its change, over years without orders."""
+    orders = readers.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("year"), F.round(F.col("o_totalprice") * 100, 0).cast("long").alias("cents"))
+    sums = orders.groupBy("customer", "year").agg(F.sum("cents").alias("cents"))
+    made = T.filled_changes(T.with_gaps(sums, "customer", "year"), "year", "cents", by="customer")
+    return made.withColumn("pct_change_cents", F.round("pct_change_cents", 8))
+
+
 def traffic_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.yearly_changes(_months(spark, sf_dir))
     return made.withColumns({c: F.round(c, 8) for c in ("pct_change_asm", "pct_change_rpm")})
@@ -85,7 +102,20 @@ def _spline_sql() -> str:
     return f"{_SEASON}, g(k, x, w) AS (VALUES {lines}) SELECT k, round(x, 6) AS x, {sums} FROM g, s GROUP BY k, x"
 
 
-QUERIES = {f.__name__: f for f in (traffic_ratio_by_year, traffic_outer_join_by_year, traffic_lollipop, traffic_daily_avg, traffic_masked_segments, traffic_season_minmax, traffic_season_spline, traffic_yoy, traffic_axis_labels)}
+def _by_year_sql() -> str:
+    """The curves of years whose months are the first ones, four at least."""
+    lines = ", ".join(
+        f"({n}, {k}, {p!r}::DOUBLE, [{', '.join('NULL::DOUBLE' if w != w else f'{float(w)!r}::DOUBLE' for w in line)}])"
+        for n in range(MONTHS_LEAST, 13)
+        for k, (p, line) in enumerate(zip(QUARTER_MONTHS, knot_weights(tuple(map(float, range(1, n + 1))), QUARTER_MONTHS), strict=True))
+    )
+    months = f"m AS ({readers.TRAFFIC_SQL}), t AS (SELECT CAST(year(dt) AS INTEGER) AS year, CAST(month(dt) AS INTEGER) AS month, passengers_domestic + passengers_international AS p FROM m)"
+    each = "s AS (SELECT year, month, max(p) AS hi, min(p) AS lo FROM t GROUP BY 1, 2), c AS (SELECT year, CAST(count(*) AS INTEGER) AS n FROM s GROUP BY 1)"
+    sums = ", ".join(f"round(sum(w[month] * {v} / 1e6), 6) AS smooth_{e}" for e, v in (("max", "hi"), ("min", "lo")))
+    return f"WITH {months}, {each}, g(n, k, x, w) AS (VALUES {lines}) SELECT s.year, k, x, {sums} FROM s JOIN c ON c.year = s.year JOIN g ON g.n = c.n GROUP BY s.year, k, x"
+
+
+QUERIES = {f.__name__: f for f in (traffic_ratio_by_year, traffic_outer_join_by_year, traffic_lollipop, traffic_daily_avg, traffic_masked_segments, traffic_season_minmax, traffic_season_spline, traffic_season_by_year, traffic_yoy, traffic_yoy_filled, traffic_axis_labels)}
 SQL = {
     "traffic_ratio_by_year": _RATIO,
     "traffic_outer_join_by_year": f"""WITH {_MONTHS},
@@ -99,6 +129,12 @@ SELECT *, {_AVERAGES} FROM a FULL OUTER JOIN b USING (year)""",
     + " FROM p",
     "traffic_season_minmax": f"{_SEASON} SELECT * FROM s",
     "traffic_season_spline": _spline_sql(),
+    "traffic_season_by_year": _by_year_sql(),
+    "traffic_yoy_filled": """WITH s AS (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(round(o_totalprice * 100, 0) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1, 2),
+y AS (SELECT CAST(unnest(range((SELECT min(year) FROM s), (SELECT max(year) FROM s) + 1)) AS INTEGER) AS year),
+g AS (SELECT c.customer, y.year, s.cents FROM (SELECT DISTINCT customer FROM s) c CROSS JOIN y LEFT JOIN s ON s.customer = c.customer AND s.year = y.year),
+f AS (SELECT *, last_value(cents IGNORE NULLS) OVER (PARTITION BY customer ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_cents FROM g)
+SELECT *, round(CAST(filled_cents AS DOUBLE) / lag(filled_cents) OVER (PARTITION BY customer ORDER BY year) - 1, 8) AS pct_change_cents FROM f""",
     "traffic_yoy": f"{_YEARLY} SELECT year, total_asm, total_rpm, round(pa, 8) AS pct_change_asm, round(pr, 8) AS pct_change_rpm, position, position + CAST(0.3 AS DOUBLE) AS position_right FROM c WHERE position >= 0",
     "traffic_axis_labels": f"{_YEARLY} SELECT position, format('{{:,}}', total_asm) AS asm_label, printf('%.0f%%', round_even(pa * 100, 0)) AS change_label, strftime(make_date(2001, position + 1, 1), '%b') AS month_label FROM c WHERE position >= 0",
 }
