@@ -26,8 +26,9 @@ from tarn.llm.common import lean
 SPACE = "▁"
 #: Texts fall apart before each run of spaces, as no piece has a space after another character.
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Segments and pairs of pieces that a worker remembers; both are forgotten when there are as many.
-KNOWN, SHORT = 1 << 18, 64
+#: Segments, and pairs of pieces, that a worker remembers. Beyond them all pairs are forgotten, and of
+#: segments those that were not met since the last time.
+SEGMENTS, PAIRS, SHORT = 1 << 18, 1 << 20, 64
 
 
 class Vocabulary:
@@ -37,59 +38,92 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        kinds = [(model.is_control(k) or model.is_unknown(k) or model.is_byte(k), model.is_unused(k)) for k in range(model.vocab_size())]
-        self.score = {model.id_to_piece(k): model.get_score(k) for k, (special, _) in enumerate(kinds) if not special}
-        self.longest = max(map(len, self.score))
+        self.size = size = model.vocab_size()
+        own = {model.id_to_piece(k): k for k in range(size) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
         probe = " é ﬁ  A\t"
         fits = model.normalize(probe) == SPACE + probe.replace(" ", SPACE) and model.encode("\U000f0000") == [model.piece_to_id(x) for x in (SPACE, *(f"<0x{b:02X}>" for b in "\U000f0000".encode()))]
-        if not fits or any(unused for _, unused in kinds) or any(SPACE in p.lstrip(SPACE) for p in self.score):
+        if not fits or any(map(model.is_unused, own.values())) or any(SPACE in p.lstrip(SPACE) or not set(p) <= own.keys() for p in own):
             raise ValueError("a model of merged pieces with byte fallback, texts as they are and a space before them is needed")
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        #: Of each piece its letters and its place among the scores, the best first, equals alike.
+        self.letters = {k: [own[c] for c in p] for p, k in own.items()}
+        place = {s: r for r, s in enumerate(sorted({model.get_score(k) for k in own.values()}, reverse=True))}
+        #: What two pieces become, by first * size + second: (place of its score, piece).
+        self.merges = {own[p[:i]] * size + own[p[i:]]: (place[model.get_score(k)], k) for p, k in own.items() for i in range(1, len(p)) if p[:i] in own and p[i:] in own}
+        #: Pieces by their letters from the last to the first: {letter: [piece that starts with it or -1, the letters before]}.
+        self.ends: dict = {}
+        for p, k in own.items():
+            node: list = [-1, self.ends]
+            for c in reversed(p):
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = k
+        self.pairs: dict[int, bool] = {}
         self.segments: dict[str, bytes] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text: of all neighbours the pair of the best score is merged, the first of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            made = [(-self.score[a + b], k) for k, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in self.score]
-            if not made:
+        self.older: dict[str, bytes] = {}
+
+    def follows(self, before: int, piece: int) -> bool:
+        """Whether both pieces stay as they are if their letters are merged (before = size: nothing, or what never merges).
+
+        Of all neighbours the pair of the best score is merged, the first of equals.
+        """
+        parts = [*self.letters.get(before, ()), *self.letters[piece]]
+        border = len(parts) - len(self.letters[piece])
+        while True:
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                found = self.merges.get(parts[k] * self.size + parts[k + 1])
+                if found and (best is None or found[0] < best[0]):
+                    best, at = found, k
+            if best is None:
                 break
-            k = min(made)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def follows(self, before: str | None, piece: str) -> bool:
-        """Whether ``piece`` stays as it is after ``before``, and before too (None: at the start)."""
-        key = before, piece
-        if key not in self.pairs:
-            if len(self.pairs) >= KNOWN:
-                self.pairs.clear()
-            self.pairs[key] = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
-        return self.pairs[key]
+            if at == border - 1:
+                return False
+            border -= at < border
+            parts[at : at + 2] = [best[1]]
+        return parts == ([before, piece] if before < self.size else [piece])
 
     def changes(self, segment: str) -> bytes:
         """For each code point of ``segment`` by how many tokens (a signed byte) it changes the count."""
         made = self.segments.get(segment)
         if made is not None:
             return made
-        last: list[str | None] = [None]
-        counts = [0]
-        for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = segment[start:end]
-                if (piece in self.score or start == end - 1) and self.follows(last[start], piece):
-                    last.append(piece)
-                    counts.append(counts[start] + (1 if piece in self.score else len(piece.encode())))
-                    break
-            else:
-                raise ValueError(f"no piece ends {segment[:end]!r}")
-        made = np.diff(counts).astype(np.int8).tobytes()
+        made = self.older.get(segment) or self._counted(segment)
         if len(segment) <= SHORT:
-            if len(self.segments) >= KNOWN:
-                self.segments.clear()
+            if len(self.segments) >= SEGMENTS:
+                self.segments, self.older = {}, self.segments
             self.segments[segment] = made
         return made
 
+    def _counted(self, segment: str) -> bytes:
+        n, size, pairs, ends = len(segment), self.size, self.pairs, self.ends
+        last, counts = [size], [0]
+        for end in range(1, n + 1):
+            start, before, found = end, ends, []
+            while start:  # the pieces that end here, the longest last
+                node = before.get(segment[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                piece, before = node
+                if piece >= 0:
+                    found.append((start, piece))
+            for start, piece in reversed(found):
+                key = last[start] * size + piece
+                stays = pairs.get(key)
+                if stays is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    stays = pairs[key] = self.follows(last[start], piece)
+                if stays:
+                    last.append(piece)
+                    counts.append(counts[start] + 1)
+                    break
+            else:
+                if found:
+                    raise ValueError(f"no piece ends {segment[:end]!r}")
+                last.append(size)  # a letter of no piece is its bytes
+                counts.append(counts[-1] + len(segment[end - 1].encode()))
+        return np.diff(counts).astype(np.int8).tobytes() if n > SHORT else bytes([(b - a) & 255 for a, b in zip(counts[:-1], counts[1:], strict=True)])
+
     def prefixes(self, text: str) -> np.ndarray:
         """The changes of the count by each code point of a text."""
         if not text:
