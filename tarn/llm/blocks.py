@@ -92,7 +92,7 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
     def run(batches):
         arrow = _Arrow(schema)
         serial = TaskContext.get().partitionId() << 24
-        for batch in _gathered(batches, len(keep)):
+        for batch in gathered(batches, len(keep)):
             texts = batch.column(len(keep))
             texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
             at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -126,7 +126,7 @@ def blocked(df: DataFrame, keep: list[str], text: str, cutter: Cutter) -> DataFr
     return df.select(*(f"`{k}`" for k in keep), f"`{text}`").mapInArrow(lean(run), schema)
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Batches joined until they hold BLOCK_BYTES of texts."""
     held, size = [], 0
     for batch in batches:

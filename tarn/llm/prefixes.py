@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.blocks import expand, squeeze
+from tarn.llm.blocks import expand, gathered, squeeze
 from tarn.llm.common import lean
 
 SPACE = "▁"
@@ -81,56 +81,73 @@ class Vocabulary:
             parts[at : at + 2] = [best[1]]
         return parts == ([before, piece] if before < self.size else [piece])
 
-    def changes(self, segment: str) -> bytes:
-        """For each code point of ``segment`` by how many tokens (a signed byte) it changes the count."""
-        made = self.segments.get(segment)
-        if made is not None:
-            return made
-        made = self.older.get(segment) or self._counted(segment)
-        if len(segment) <= SHORT:
-            if len(self.segments) >= SEGMENTS:
-                self.segments, self.older = {}, self.segments
-            self.segments[segment] = made
-        return made
+    def _learn(self, segments: list[str]) -> None:
+        """``segments`` into the known ones: for each code point by how many tokens (a signed byte) it changes the count.
 
-    def _counted(self, segment: str) -> bytes:
-        n, size, pairs, ends = len(segment), self.size, self.pairs, self.ends
-        last, counts = [size], [0]
-        for end in range(1, n + 1):
-            start, before, found = end, ends, []
-            while start:  # the pieces that end here, the longest last
-                node = before.get(segment[start - 1])
-                if node is None:
-                    break
-                start -= 1
-                piece, before = node
-                if piece >= 0:
-                    found.append((start, piece))
-            for start, piece in reversed(found):
-                key = last[start] * size + piece
-                stays = pairs.get(key)
-                if stays is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    stays = pairs[key] = self.follows(last[start], piece)
-                if stays:
-                    last.append(piece)
-                    counts.append(counts[start] + 1)
+        In their order neighbours begin alike, and what is known of a beginning stays.
+        """
+        size, pairs, ends = self.size, self.pairs, self.ends
+        last, counts, before_it = [size], [0], ""
+        for segment in sorted(segments):
+            same = 0
+            for a, b in zip(segment, before_it, strict=False):
+                if a != b:
                     break
-            else:
-                if found:
-                    raise ValueError(f"no piece ends {segment[:end]!r}")
-                last.append(size)  # a letter of no piece is its bytes
-                counts.append(counts[-1] + len(segment[end - 1].encode()))
-        return np.diff(counts).astype(np.int8).tobytes() if n > SHORT else bytes([(b - a) & 255 for a, b in zip(counts[:-1], counts[1:], strict=True)])
-
-    def prefixes(self, text: str) -> np.ndarray:
-        """The changes of the count by each code point of a text."""
-        if not text:
-            return np.zeros(0, np.int8)
-        flat = np.frombuffer(b"".join(map(self.changes, SEGMENT.findall(SPACE + text.replace(" ", SPACE)))), dtype=np.int8)
-        made = flat[1:].copy()
-        made[0] += flat[0]
+                same += 1
+            del last[same + 1 :], counts[same + 1 :]
+            before_it = segment
+            for end in range(same + 1, len(segment) + 1):
+                start, before, found = end, ends, []
+                while start:  # the pieces that end here, the longest last
+                    node = before.get(segment[start - 1])
+                    if node is None:
+                        break
+                    start -= 1
+                    piece, before = node
+                    if piece >= 0:
+                        found.append((start, piece))
+                for start, piece in reversed(found):
+                    key = last[start] * size + piece
+                    stays = pairs.get(key)
+                    if stays is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        stays = pairs[key] = self.follows(last[start], piece)
+                    if stays:
+                        last.append(piece)
+                        counts.append(counts[start] + 1)
+                        break
+                else:
+                    if found:
+                        raise ValueError(f"no piece ends {segment[:end]!r}")
+                    last.append(size)  # a letter of no piece is its bytes
+                    counts.append(counts[-1] + len(segment[end - 1].encode()))
+            self.segments[segment] = np.diff(counts).astype(np.int8).tobytes() if len(segment) > SHORT else bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
+
+    def prefixes(self, texts: list[str]) -> list[np.ndarray]:
+        """The changes of the count by each code point of the texts."""
+        if len(self.segments) >= SEGMENTS:
+            self.segments, self.older = {}, self.segments
+        split = [SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        new = []
+        for segment in set().union(*split):
+            if segment not in self.segments:
+                known = self.older.get(segment)
+                if known is None:
+                    new.append(segment)
+                else:
+                    self.segments[segment] = known
+        self._learn(new)
+        made = []
+        for parts in split:
+            flat = np.frombuffer(b"".join(map(self.segments.__getitem__, parts)), dtype=np.int8)
+            one = flat[1:].copy()
+            if len(flat):
+                one[0] += flat[0]  # the space before the text
+            made.append(one)
+        for segment in new:
+            if len(segment) > SHORT:
+                del self.segments[segment]
         return made
 
 
@@ -155,12 +172,10 @@ def counted(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
 
     def run(batches):
         of = vocabulary(path).prefixes
-        for batch in batches:
-            texts = batch.column(len(keep))
+        for batch in gathered(batches, len(keep)):
+            texts = [text or "" for text in batch.column(len(keep)).to_pylist()]
             sizes, lengths, tokens, packed = [], [], [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                changes = of(text)
+            for text, changes in zip(texts, of(texts), strict=True):
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
                 lengths.append(len(text))
                 tokens.append(int(changes.sum(dtype=np.int64)))

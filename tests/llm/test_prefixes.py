@@ -21,7 +21,7 @@ def test_every_prefix_of_mixed_texts(model):
     vocabulary, draw = prefixes.vocabulary(PIECES), random.Random(7)
     for _ in range(400):
         text = "".join(draw.choice(PARTS) for _ in range(draw.randint(1, 40)))
-        counts = vocabulary.prefixes(text).cumsum(dtype=int).tolist()
+        counts = vocabulary.prefixes([text])[0].cumsum(dtype=int).tolist()
         assert counts == [len(model.encode(text[:k])) for k in range(1, len(text) + 1)], text
 
 
