@@ -112,8 +112,11 @@ def _first(word: Column, rules: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def _by_suffix(word: Column, suffixes: Iterable[str], made: Callable[[str, Column], Column]) -> Column:
-    """``made(suffix, stem)`` of the longest of ``suffixes`` that the word has."""
-    return _first(word, [(word.endswith(s), made(s, _without(word, len(s)))) for s in sorted(suffixes, key=len, reverse=True)])
+    """``made(suffix, stem)`` of the longest of ``suffixes`` that the word has; the last letter tells which come into question."""
+    by_letter: dict[str, list[str]] = {}
+    for s in sorted(suffixes, key=len, reverse=True):
+        by_letter.setdefault(s[-1], []).append(s)
+    return _first(word, [(word.endswith(letter), _first(word, [(word.endswith(s), made(s, _without(word, len(s)))) for s in of])) for letter, of in by_letter.items()])
 
 
 def _plural(w: Column) -> Column:
@@ -133,7 +136,7 @@ def _mended(c: Column) -> Column:
 
 
 def _last_y(w: Column) -> Column:
-    return _first(w, [(w.rlike(f"(?s){_VOWEL}.*[yY]\\z"), F.concat(_without(w, 1), F.lit("i")))])
+    return _first(w, [((w.endswith("y") | w.endswith("Y")) & _without(w, 1).rlike(_VOWEL), F.concat(_without(w, 1), F.lit("i")))])
 
 
 def _table(table: Mapping[str, str]) -> Callable[[Column], Column]:
@@ -148,20 +151,17 @@ def _removed(w: Column) -> Column:
     return _by_suffix(w, STEP_4, rule)
 
 
-def _last_e(w: Column) -> Column:
+def _last_e_and_l(w: Column) -> Column:
     stem = _without(w, 1)
-    return _first(w, [(w.endswith("e") & (_more(stem) | (_some(stem) & ~_ends_short(stem))), stem)])
-
-
-def _last_l(w: Column) -> Column:
-    return _first(w, [(w.endswith("ll") & _more(w), _without(w, 1))])
+    no_e = w.endswith("e") & (_more(stem) | (_some(stem) & ~_ends_short(stem)))
+    return _first(w, [(no_e, F.when(w.endswith("lle") & _more(stem), _without(w, 2)).otherwise(stem)), (w.endswith("ll") & _more(w), stem)])
 
 
 def _marked(w: Column) -> Column:
     return F.when(F.contains(w, F.lit("y")), F.regexp_replace(F.regexp_replace(w, "(^|[aeiou])y", "$1Y"), "yy", "yY")).otherwise(w)
 
 
-STEPS = (_marked, _plural, _past, _last_y, _table(STEP_2), _table(STEP_3), _removed, _last_e, _last_l)
+STEPS = (lambda w: _marked(_plural(w)), _past, _last_y, _table(STEP_2), _table(STEP_3), _removed, _last_e_and_l)
 
 
 def stemmed(words: Column) -> Column:
