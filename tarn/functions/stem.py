@@ -169,8 +169,7 @@ def stemmed(words: Column) -> Column:
 
     All steps are expressions, so words stay in the JVM and in their rows.
     """
-    made = F.transform(words, F.lower)
-    return F.transform(made, lambda w: F.when(F.length(w) > 2, F.lower(_in_turn(w))).otherwise(w))
+    return F.transform(words, lambda w: F.when(F.length(F.lower(w)) > 2, F.lower(_in_turn(F.lower(w)))).otherwise(F.lower(w)))
 
 
 def _in_turn(word: Column) -> Column:

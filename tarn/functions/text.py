@@ -53,9 +53,17 @@ def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -
     return F.filter(tokens, lambda w: ~F.lower(w).isin(*stop_words)) if stop_words else tokens
 
 
+def tidy_words(text: Column, longer_than: int = 3) -> Column:
+    """The words that are left of a text without handles, other characters and short words.
+
+    What is no letter and no # parts words, so they come from one split.
+    """
+    return F.filter(F.split(without_handles(text), "[^a-zA-Z#]+"), lambda w: F.length(w) > longer_than)
+
+
 def tidy(text: Column) -> Column:
     """Handles, other characters and short words removed."""
-    return long_words(letters_only(without_handles(text)))
+    return F.array_join(tidy_words(text), " ")
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -63,6 +71,13 @@ def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return without_stop_words(words(without_punctuation(text)), stop_words)
 
 
+def tidy_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """The tokens of the tidy text of ``text``, without joining and splitting it again."""
+    bare = F.transform(tidy_words(text), without_punctuation)
+    kept = (lambda w: (w != "") & ~F.lower(w).isin(*stop_words)) if stop_words else (lambda w: w != "")
+    return F.filter(bare, kept)
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of two or more word characters, as a count vectorizer splits them."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"((?U)\b\w\w+\b)"), F.lit(1))

@@ -23,6 +23,11 @@ def _tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("tweet_id"), X.tidy(F.col("text")).alias("tidy_text"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = readers.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("tweet_id"), X.tidy_tokens(F.col("text")).alias("tokens"))
+
+
 def _length(spark: SparkSession, sf_dir: str, *columns: str, labelled: bool = False) -> DataFrame:
     return _tweets(spark, sf_dir, "text", *columns, labelled=labelled).withColumn("length", F.length("text"))
 
@@ -109,24 +114,24 @@ def text_short_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tidy(spark, sf_dir).select("tweet_id", F.array_join(X.tokens(F.col("tidy_text")), " ").alias("tokens"))
+    return _tokens(spark, sf_dir).select("tweet_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def text_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tokens(X.tidy(F.col("text"))).alias("tokens"))
+    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tidy_tokens(F.col("text")).alias("tokens"))
     top = features.word_frequencies(made, "airline_sentiment", "tokens")
     return top.withColumn("weight", F.round("weight", 8))
 
 
 def text_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words and pairs of words of a cloud, for each of two labels."""
-    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tokens(X.tidy(F.col("text"))).alias("tokens"))
+    made = _tweets(spark, sf_dir, "text", "airline_sentiment", labelled=True).where("airline_sentiment in ('positive', 'negative')").select("airline_sentiment", X.tidy_tokens(F.col("text")).alias("tokens"))
     terms = collocations.cloud_words(made, "airline_sentiment", "tokens")
     return terms.withColumns({"weight": F.round("weight", 8), "score": F.round("score", 6)})
 
 
 def text_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _tidy(spark, sf_dir).select("tweet_id", X.tokens(F.col("tidy_text")).alias("tokens"))
+    made = _tokens(spark, sf_dir)
     return features.stems(made, "tweet_id", "tokens").select("tweet_id", "stemmed")
 
 
@@ -198,7 +203,7 @@ def text_model_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stemmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Stemmed texts and their bag of words: cleaned, tokens without stop words, stems, joined."""
-    made = _tidy(spark, sf_dir).select("tweet_id", X.tokens(F.col("tidy_text")).alias("tokens"))
+    made = _tokens(spark, sf_dir)
     docs = features.stems(made, "tweet_id", "tokens").select("tweet_id", "stemmed")
     return docs, features.bag_of_words(docs, "tweet_id", "stemmed")
 

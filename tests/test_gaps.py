@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import spline, stem
+from tarn.functions import text as X
 from tarn.operators import profile, traffic
 
 
@@ -113,6 +114,16 @@ def test_summary_has_no_buffer_of_values(spark):
     assert profile.summary(df.limit(1), "x").first()["std"] is None
 
 
+def test_words_and_tokens_in_one_split(spark):
+    draw = random.Random(8)
+    parts = [*"abcDEF##  @@é🙂\n\t1.,_", "the ", "With ", "flight ", "####", "#The", " @united ", "@a"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 60))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None, " ", "#### ab", "x" * 50_000]], "t string")
+    tidy = X.long_words(X.letters_only(X.without_handles(F.col("t"))))
+    made = df.select(X.tidy(F.col("t")).alias("a"), tidy.alias("b"), X.tidy_tokens(F.col("t")).alias("c"), X.tokens(tidy).alias("d"), X.tidy_tokens(F.col("t"), []).alias("e"), X.tokens(tidy, []).alias("f")).collect()
+    assert all((r.a, r.c, r.e) == (r.b, r.d, r.f) for r in made)
+
+
 def test_stems_as_expressions_equal_the_function(spark):
     draw = random.Random(3)
     ends = [*stem.STEP_2, *stem.STEP_3, *stem.STEP_4, "s", "ies", "sses", "ed", "ing", "eed", "y", "e", "ll", "yyed", "ying", ""]
