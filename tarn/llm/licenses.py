@@ -206,6 +206,11 @@ def _enough(lib: Library, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return texts[text] * len(lib.names) + template
 
 
+def _points(buf: np.ndarray) -> np.ndarray:
+    """The code points before each byte of UTF-8 texts, and of all: bytes that start one, summed up once."""
+    return np.concatenate([[0], np.cumsum((np.asarray(buf) & 0xC0) != 0x80)])
+
+
 def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match: id, license_id, template, matched, coverage, word and character spans.
 
@@ -231,13 +236,13 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
                 at, template, place = at[good], template[good], place[good]
                 bounds, rows = w.bounds, []
                 owner = w.doc[at]
+                points = _points(buf) if len(at) else None
                 for d in np.unique(owner):
                     base, stop = int(bounds[d]), int(bounds[d + 1])
                     mine = slice(*np.searchsorted(owner, [d, d + 1]))
                     for k, matched, start, end in _matches(lib, hashes[base:stop], ids[base:stop], at[mine] - base, template[mine], place[mine]):
-                        head = bytes(buf[offsets[d] : w.starts[base + start]]).decode(errors="replace")
-                        span = bytes(buf[w.starts[base + start] : w.ends[base + end - 1]]).decode(errors="replace")
-                        rows.append((lo + int(d), *lib.names[k], matched, matched / len(lib.words[k]), start, end, len(head), len(head) + len(span)))
+                        first, last = (int(points[byte] - points[offsets[d]]) for byte in (w.starts[base + start], w.ends[base + end - 1]))
+                        rows.append((lo + int(d), *lib.names[k], matched, matched / len(lib.words[k]), start, end, first, last))
                 kept = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 types = (pa.string(), pa.string(), pa.int32(), pa.float64(), *(pa.int64(),) * 4)
                 yield pa.RecordBatch.from_arrays([kept] + [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)], names=schema.names)

@@ -150,3 +150,20 @@ def test_time_is_linear_in_a_text():
         assert len(licenses._matches(lib, hashes, ids, *licenses.hits(lib, hashes, w.doc))) == lines
         took.append(time.time() - began)
     assert took[1] < 24 * took[0]
+
+
+def test_spans_are_code_points_and_take_linear_time(spark):
+    import time
+
+    line = "é中😀 Licensed under CC BY-NC 4.0. The end.\n"
+    took = []
+    for lines in (2000, 16_000):
+        docs = spark.createDataFrame([(1, line * lines)], "doc_id long, text string")
+        began = time.time()
+        rows = licenses.scan(docs).select("char_start", "char_end").collect()
+        took.append(time.time() - began)
+        assert len(rows) == lines
+        spans = {(r.char_start % len(line), r.char_end % len(line)) for r in rows}
+        assert len(spans) == 1 and line[slice(*spans.pop())].startswith("Licensed under")
+        assert sorted(r.char_start // len(line) for r in rows) == list(range(lines))
+    assert took[1] < 24 * took[0]
