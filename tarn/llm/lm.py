@@ -31,8 +31,9 @@ TABLE, HEADS, NODE = 2048, 128, 16
 #: Counts of words that differ by less than this power of 2 are one band; words are numbered by it.
 BAND = 1 / 8
 DIMS, NOISE, INNER_NOISE, BATCH, RATE = 16, 16, 1, 8192, 0.08
-#: Tokens that a copy of the model learns from, about; fewer, down to LEAST_TOKENS, where cores would idle.
-COPY_TOKENS, LEAST_TOKENS = 8_000_000, 500_000
+#: Tokens that a copy of the model learns from, about. Copies follow from the tokens alone: more of them,
+#: for idle cores, would each learn less, and scores would depend on the cluster.
+COPY_TOKENS = 8_000_000
 #: Rows of vectors in a file of the model, contexts whose normalisers are one product, and tokens
 #: whose contexts are held at once.
 FILE_ROWS, CONTEXTS, GROUP = 1 << 14, 2048, 1 << 17
@@ -385,8 +386,9 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([group], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], names=["file", "part", "rows", "weights", "values"])
 
     def run(batches):
-        copy, held, size = _Copy(plan, seed), [], 0
-        group = TaskContext.get().partitionId() % groups
+        own = TaskContext.get().partitionId()
+        copy, held, size = _Copy(plan, seed + own), [], 0
+        group = own % groups
         for batch in batches:
             for text in batch.column(0):
                 words = unpack_numbers(text.as_py()).astype(np.int64)
@@ -589,8 +591,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rare counts, each increased by one, with one more for all unseen ones.
 
     Every word is counted: words meet by a hash in shards and return their counts to the blocks
-    of texts that hold them. Every training text is learned from, in one pass. Repeated rows are
-    scored and learned from as rows; without training texts scores are uniform.
+    of texts that hold them. Every training text is learned from, in one pass, by one copy of the
+    model for each COPY_TOKENS tokens. Repeated rows are scored and learned from as rows; without
+    training texts scores are uniform. Very long texts are scored and learned from whole, a block of
+    their own. An empty table gives an empty one. Extra columns do not matter, whatever their names.
     """
     rows = docs.select(F.col(id_col), (fold(id_col, FOLDS) == HELD_FOLD).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     keep = [id_col, "held_out"]
@@ -620,8 +624,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     texts = table(reassembled(blocks.where("key >= 0"), _returned(blocks, totals, plan), keep, "n_tokens long, n_known long, base_score double, rare_score double, words binary", joined))
 
-    copies = max(-(-int(n) // COPY_TOKENS), min(docs.sparkSession.sparkContext.defaultParallelism, -(-int(n) // LEAST_TOKENS)))
-    path = _trained(texts, plan, 0, copies)
+    path = _trained(texts, plan, 0, max(1, -(-int(n) // COPY_TOKENS)))
 
     def scored(batches):
         if path not in _open:

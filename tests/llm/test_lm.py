@@ -104,7 +104,6 @@ def test_rare_words_are_told_apart_by_their_counts_and_long_texts_have_an_end(sp
 
 def test_copies_are_averaged_by_what_they_have_seen(spark, monkeypatch):
     """Many small copies in groups: the model still learns what follows a word."""
-    monkeypatch.setattr(lm, "LEAST_TOKENS", 3000)
     monkeypatch.setattr(lm, "COPY_TOKENS", 3000)
     draw = np.random.default_rng(4)
     texts = [" ".join(f"a{k} b{k}" for k in draw.integers(0, 30, 250)) for _ in range(200)]
@@ -112,3 +111,12 @@ def test_copies_are_averaged_by_what_they_have_seen(spark, monkeypatch):
     docs = docs.union(spark.createDataFrame([(1000 + k, f"a{k} b{k}") for k in range(30)] + [(2000 + k, f"a{k} b{(k + 1) % 30}") for k in range(30)], "doc_id long, text string"))
     rows = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
     assert np.mean([rows[1000 + k] - rows[2000 + k] for k in range(30)]) > 0.3
+
+
+def test_scores_do_not_depend_on_how_the_work_is_split(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    made = []
+    for parts in (1, 9):
+        rows = [r for r in lm.scores(docs.repartition(parts, "doc_id")).collect() if r["held_out"]]
+        made.append(sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+    assert abs(made[0] - made[1]) < 0.01
