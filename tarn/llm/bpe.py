@@ -116,7 +116,9 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids", digests: bool = Fals
     """All columns and decoded (binary): the bytes of the tokens of ``ids_col`` in their order.
 
     Ids are joined to the rank file's token-byte table, which each task holds (its size is the
-    vocabulary's). A null list has a null result; an id that the table lacks fails the job.
+    vocabulary's). A null list has a null result, an empty one decodes to nothing; an id that the
+    table lacks fails the job. Very long lists are decoded in parts of PART ids. Repeated rows give
+    repeated results, an empty table an empty one. A given column with a new one's name gives way.
     ``digests``: instead of both columns, ids_sha256 (of the ids as little-endian 32-bit
     integers) and decoded_sha256 in hex; with ``keep_ids`` the ids stay beside them.
     """

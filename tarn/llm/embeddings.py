@@ -83,7 +83,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     table puts both in one bucket. n_links counts the other rows linked directly, component_id is
     the smallest id that links reach. Vectors that are null, empty, zero or hold null or
     non-finite numbers, and vectors of different lengths, are linked with nothing; a row with a
-    null id has no links, a null component and is kept; rows that repeat an id count as rows.
+    null id has no links, a null component and is kept; rows that repeat an id count as rows. An
+    empty table gives an empty one; other columns are ignored, whatever their names.
 
     Equal vectors are one representative with a number of copies. The members of a bucket are
     dealt to blocks of about BLOCK rows; every pair of blocks is a unit of work whose cosines are

@@ -219,8 +219,9 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
     enough they are aligned in a band around the fingerprint's diagonal; every match of COVERAGE
     percent of a template's words is reported, on overlapping words only the one with most
     matched words. Texts stay where they are read; the index is sent to the tasks and grows with
-    the templates only. Null, empty and unlicensed texts have no rows; rows that repeat an id
-    have their own; other columns are ignored. char_start and char_end are code points.
+    the templates only. Null, empty and unlicensed texts have no rows, an empty table none; very
+    long texts are scanned whole, in time that grows with their words and matches. Rows that repeat
+    an id have their own; other columns are ignored. char_start and char_end are code points.
     """
     lib = lib or library()
     schema = docs.select(id_col).schema.add("license_id", "string").add("template", "string").add("matched", "integer").add("coverage", "double").add("word_start", "long").add("word_end", "long").add("char_start", "long").add("char_end", "long")

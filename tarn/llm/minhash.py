@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and word-less texts have no shingles and stand alone. Rows with a null id have a null
     component and are kept; rows that repeat an id are one document, which has the links of all
-    its texts. An empty table gives an empty one. Other columns are ignored.
+    its texts. Very long texts count with all their shingles; a block of one such text may hold more
+    than SHINGLE_BLOCK. An empty table gives an empty one. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = table(signatures(docs, "id", "text", width))

@@ -74,3 +74,11 @@ def test_shards_grow_with_the_partitions(spark):
 
     sizes = [shards_of(spark.range(1000, numPartitions=n)) for n in (1, 16, 256, 4096)]
     assert sizes == [128, 256, 512, 1024]
+
+
+def test_decode_takes_the_place_of_columns_with_its_names(spark):
+    df = spark.createDataFrame([(1, [72, 105], "mine"), (2, [], "mine"), (3, None, "mine"), (1, [72, 105], "mine")], "k long, ids array<int>, ids_sha256 string")
+    made = {r.k: r for r in bpe.decode(df, RANKS, digests=True, keep_ids=True).collect()}
+    assert made[1].ids_sha256 == hashlib.sha256(struct.pack("<2I", 72, 105)).hexdigest() and made[3].ids_sha256 is None
+    assert made[2].decoded_sha256 == hashlib.sha256(b"").hexdigest() and made[1].ids == [72, 105]
+    assert len(bpe.decode(df, RANKS, digests=True).collect()) == 4
