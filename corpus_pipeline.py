@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of documents.
+
+What holds for every stage: null texts are empty texts, nulls in other columns are values like any
+other, texts of any length count whole, rows that repeat one another meet the same fate, columns
+besides those of documents pass through the first four stages whatever their names, and no documents
+give no rows.
 """
 
 from __future__ import annotations
@@ -18,28 +23,49 @@ MIX_PERCENT = 80
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject."""
+    """Documents that the toxicity models do not reject.
+
+    Null and empty texts have no words that speak against them and stay. Without labels of both
+    classes nothing is rejected. A score at the threshold itself is rejected.
+    """
     return toxicity.keep_ordinary(docs, read(spark, sf_dir, "labels"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are judged by the statistics of a text without words. Without labels of
+    both classes all have one score above the threshold and stay, as does a score at the threshold.
+    """
     return rules.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    """One document of each group of near-duplicates: five words, a similarity of 0.8.
+
+    The smallest id of a group stays, with all rows that repeat it. Null and empty texts and rows
+    with a null id are like nothing and stay.
+    """
     small_batches(spark)
     return minhash.deduplicate(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of domains, languages and sources by their target weights."""
+    """The mixture of domains, languages and sources by their target weights.
+
+    Null languages and sources are nodes of their own. Null and empty texts have no tokens and
+    cost their leaf nothing. The seeded order is a digest of the id, a null one being empty there,
+    so only rows that repeat an id tie, and they stand or fall together.
+    """
     return mixing.mixed(docs, mixing.document_levels(), mixing.WEIGHTS, MIX_PERCENT, max_epochs=1)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of the texts, and the digests of the ids and of what they decode to."""
+    """doc_id, n_tokens and ids of the texts, and the digests of the ids and of what they decode to.
+
+    A null or empty text has no ids and the digests of nothing; a null id stays null; columns
+    besides doc_id and text are left out.
+    """
     small_batches(spark)
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"])
     return bpe.decode(ids, RANKS, digests=True, keep_ids=True)
@@ -57,7 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    """All stages over ``documents``, each written to the shared folder and read by the next.
+
+    The folders stay there until the shared folder is cleaned. A lost executor costs the tasks it
+    ran of the stage at hand, as earlier stages are written.
+    """
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = shared_dir(spark)
