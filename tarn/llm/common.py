@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -39,16 +40,23 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
 
 
-def write_file(folder: str, name: str, data: bytes) -> None:
-    """A file in the shared folder, whole or not at all; of two attempts the last stays."""
+@contextmanager
+def new_file(folder: str, name: str) -> Iterator[pa.NativeFile]:
+    """A stream to a file in the shared folder, there whole or not at all; of two attempts the last stays."""
     system, path = file_system(folder)
     draft = f"{path}/_{name}.{uuid.uuid4().hex}"
     system.create_dir(path, recursive=True)
     with system.open_output_stream(draft, compression=None) as out:
-        out.write(data)
+        yield out
     system.move(draft, f"{path}/{name}")
 
 
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """A file of ``data`` by ``new_file``."""
+    with new_file(folder, name) as out:
+        out.write(data)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import math
 import uuid
+from collections.abc import Iterator
+from itertools import chain
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, lean, shared_dir, sized, table, write_file
+from tarn.llm.common import file_system, lean, new_file, shared_dir, sized, table
 
 #: A payload of fewer bytes is archived each time it occurs.
 REVISIT_BYTES = 1000
-#: Uncompressed bytes after which an archive file ends; a larger record has a file of its own.
-FILE_BYTES = 8 << 20
+#: Compressed bytes after which an archive file ends, and payload bytes of a task, about.
+FILE_BYTES, TASK_BYTES = 1 << 30, 4 << 30
+#: Records are held until they have WINDOW_BYTES: the dictionary leads the file, so it is built
+#: before the first record is compressed. It decides how small a file gets and nothing else.
+WINDOW_BYTES = 8 << 20
 #: The dictionary's bytes at most, the bytes it is trained on and those of one sample.
 DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES = 32 << 10, 1 << 20, 4 << 10
+#: Bytes of an archive that are read at once.
+READ_BYTES = 1 << 16
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,43 +108,69 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def packed(records: list[bytes]) -> bytes:
-    """A file: the dictionary in a leading skippable frame, and one frame per record."""
-    words = dictionary(records)
+def pack(records: Iterator[bytes], out: BinaryIO, limit: float = FILE_BYTES) -> tuple[int, int]:
+    """Writes a file of the next records: the dictionary in a leading skippable frame, and one frame per record.
+
+    Ends with the record at which the file reaches ``limit`` bytes, or WINDOW_BYTES of records if
+    that is later. Returns the records and bytes written.
+    """
+    held, size = [], 0
+    while size < WINDOW_BYTES and (one := next(records, None)) is not None:
+        held.append(one)
+        size += len(one)
+    words = dictionary(held)
     raw = words.as_bytes()
-    press = zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=True)
-    return b"".join([SKIPPABLE.to_bytes(4, "little"), len(raw).to_bytes(4, "little"), raw, *map(press.compress, records)])
+    words.precompute_compress(level=3)
+    press = zstandard.ZstdCompressor(dict_data=words, write_content_size=True)
+    head = SKIPPABLE.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw
+    out.write(head)
+    n, size = len(held), len(head)
+    for frame in map(press.compress, held):
+        out.write(frame)
+        size += len(frame)
+    held.clear()
+    while size < limit and (one := next(records, None)) is not None:
+        frame = press.compress(one)
+        out.write(frame)
+        n, size = n + 1, size + len(frame)
+    return n, size
 
 
-def unpacked(data: bytes):
-    """The records of a file one by one."""
-    if int.from_bytes(data[:4], "little") != SKIPPABLE:
+def packed(records: list[bytes]) -> bytes:
+    """A file of all ``records``."""
+    out = io.BytesIO()
+    pack(iter(records), out, math.inf)
+    return out.getvalue()
+
+
+def unpacked(data: bytes | BinaryIO) -> Iterator[bytes]:
+    """The records of a file one by one; no more of the file than READ_BYTES is held."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    head = source.read(8)
+    if int.from_bytes(head[:4], "little") != SKIPPABLE:
         raise ValueError("the leading dictionary frame is missing")
-    at = 8 + int.from_bytes(data[4:8], "little")
-    words = zstandard.ZstdCompressionDict(data[8:at])
-    view = memoryview(data)
-    while at < len(data):
-        one = zstandard.ZstdDecompressor(dict_data=words).decompressobj()
-        made, here = [], at
+    words = zstandard.ZstdCompressionDict(source.read(int.from_bytes(head[4:], "little")))
+    open_frames = zstandard.ZstdDecompressor(dict_data=words)
+    piece = source.read(READ_BYTES)
+    while piece:
+        one, made = open_frames.decompressobj(), []
         while not one.eof:
-            piece = view[here : here + (1 << 16)]
-            if not len(piece):
+            if not piece:
                 raise ValueError("a record's frame is cut off")
             made.append(one.decompress(piece))
-            here += len(piece)
-        at = here - len(one.unused_data)
+            piece = one.unused_data if one.eof else source.read(READ_BYTES)
         yield b"".join(made)
+        piece = piece or source.read(READ_BYTES)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(digest, bytes, kept_id): payloads of REVISIT_BYTES or more that several rows have.
+def payloads(pages: DataFrame) -> DataFrame:
+    """(digest, bytes, kept_id, n): a row for each distinct payload, its largest page_id and its rows.
 
     Digests are pre-aggregated before the shuffle, so a payload of a third of all rows is a row
     per task.
     """
     made = pages.select("page_id", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    groups = made.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n"))
-    return groups.where("n > 1").select("payload_digest", "payload_bytes", "kept_id")
+    return made.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n"))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -141,79 +178,79 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     Of equal payloads of REVISIT_BYTES or more the largest page_id is a response, the others are
     revisits of it; rows that repeat this id are responses too, and if all ids are null all are
-    responses. A null html is an empty payload, a null url about:blank. Very large payloads have a
-    file of their own. No pages give no files. Other columns are ignored.
+    responses. A null html is an empty payload, a null url about:blank. Very large payloads are one
+    record like any other. No pages give no files. Other columns are ignored.
 
     Payloads stay where they are read while the digests of repeated ones are few enough to be
-    broadcast. Files end at FILE_BYTES; their names hold the attempt of the task that wrote them.
+    broadcast. Neighbouring partitions of the pages are one task, about TASK_BYTES, if there are
+    more of them than that takes and than there are cores. Records go to the file as they are
+    compressed; files end at FILE_BYTES, and their names hold the attempt of the task that wrote them.
     A repeated or speculative attempt writes beside the first, and the returned table, written by
     Spark's own committer, lists the files of just one attempt of each task.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     marked = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    marked = marked.join(sized(cut(revisits(rows))), ["payload_digest", "payload_bytes"], "left")
+    kinds = table(payloads(rows))
+    total = kinds.agg(F.sum(F.col("payload_bytes") * F.col("n"))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    again = kinds.where((F.col("n") > 1) & (F.col("payload_bytes") >= REVISIT_BYTES)).drop("n")
+    marked = marked.join(sized(again), ["payload_digest", "payload_bytes"], "left")
     other = F.col("page_id").isNull() | (F.col("page_id") < F.col("kept_id"))
     marked = marked.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("kept_id")).alias("refers_to"))
 
     def run(batches):
         attempt, serial = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
-        held, size = [], 0
-
-        def out():
+        records = (record(*(batch.column(k)[i].as_py() for k in range(5))) for batch in batches for i in range(batch.num_rows))
+        for first in records:
             name = f"part-{attempt}-{serial:06d}.warc.zst"
-            data = packed(held)
-            write_file(folder, name, data)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([attempt]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["name", "attempt", "records", "bytes"])
+            with new_file(folder, name) as out:
+                n, size = pack(chain([first], records), out)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([attempt]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["name", "attempt", "records", "bytes"])
+            serial += 1
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers = (batch.column(k)[i].as_py() for k in range(5))
-                one = record(page_id, url, payload, digest, refers)
-                if held and size + len(one) > FILE_BYTES:
-                    yield out()
-                    held, size, serial = [], 0, serial + 1
-                held.append(one)
-                size += len(one)
-        if held:
-            yield out()
-
-    return table(marked.mapInArrow(lean(run), "name string, attempt string, records long, bytes long"))
+    return table(marked.coalesce(tasks).mapInArrow(lean(run), "name string, attempt string, records long, bytes long"))
 
 
 def read(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
     """A row per record of the archives that ``written`` lists: ids, url, payload and what write() made of it.
 
     ``written`` must not be empty, ``folder`` may hold other files too: what attempts left that
-    did not count is not read. A file that is missing, or holds other records than it should,
+    did not count is not read. The tasks open the files by their names, so nobody lists the folder,
+    and read them record by record. A file that is missing, or holds other records than it should,
     fails the job. Revisits have a null payload.
     """
-    name = F.substring_index("path", "/", -1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).withColumn("name", name)
-    listed = sized(written.select("name", "records"))
-    found = files.select("name").join(listed, "name").count()
-    if found != written.count():
-        raise ValueError(f"{folder} has {found} of {written.count()} archives")
+    listed = written.select("name", "records")
+    system, path = file_system(folder)
 
-    def run(batches):
+    def there(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                held, size, n = [], 0, 0
-                for raw in unpacked(batch.column(0)[i].as_py()):
+            held = [system.get_file_info(f"{path}/{name}").type == pafs.FileType.File for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_())], names=["there"])
+
+    found = listed.select("name").mapInArrow(there, "there boolean").agg(F.count("*").alias("n"), F.count_if("there").alias("there")).first()
+    if found["there"] != found["n"]:
+        raise ValueError(f"{folder} has {found['there']} of {found['n']} archives")
+
+    def run(batches):
+        for name, records in ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for batch in batches for i in range(batch.num_rows)):
+            held, size, n = [], 0, 0
+            with system.open_input_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as source:
+                for raw in unpacked(source):
                     held.append(parsed(raw))
                     size, n = size + len(raw), n + 1
                     if size > 1 << 21:
                         yield out(held)
                         held, size = [], 0
-                if n != batch.column(1)[i].as_py():
-                    raise ValueError(f"an archive has {n} records instead of {batch.column(1)[i].as_py()}")
-                yield out(held)
+            if n != records:
+                raise ValueError(f"an archive has {n} records instead of {records}")
+            yield out(held)
 
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
 
     def out(held):
         return pa.RecordBatch.from_arrays([pa.array([h[n] for h in held], t) for n, t in fields], names=[n for n, _ in fields])
 
-    return files.join(listed, "name").select("content", "records").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return listed.repartition(found["n"]).mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:

@@ -90,3 +90,18 @@ def test_more_repeated_payloads_than_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = [(i, "u", f"page {i % 7} " * 300) for i in range(60)]
     assert result(warc.archived(spark.createDataFrame(rows, SCHEMA).repartition(4))) == sorted(expected(rows), key=key)
+
+
+def test_files_end_at_their_limit_and_are_read_piece_by_piece(monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "WINDOW_BYTES", 5_000)
+    payloads = [hashlib.sha256(str(i).encode()).hexdigest().encode() * (i % 40) for i in range(300)] + [bytes(range(256)) * 2000]
+    records = [warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    left, files = iter(records), []
+    while sum(n for n, _, _ in files) < len(records):
+        out = io.BytesIO()
+        n, size = warc.pack(left, out, 6_000)
+        files.append((n, size, out.getvalue()))
+    assert len(files) > 2 and all(size == len(data) for _, size, data in files)
+    assert [r for _, _, data in files for r in warc.unpacked(io.BytesIO(data))] == records
