@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Mapping
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -180,16 +180,41 @@ def _places(lib: Library, k: int, words: np.ndarray, ids: np.ndarray, at: np.nda
     return found
 
 
+def _rest(lib: Library, k: int, words: np.ndarray, taken: np.ndarray, a: int, b: int) -> tuple[int, int, int]:
+    """(matched, start, end) of the best alignment of a template with a free run of the words a to b."""
+    template = lib.words[k]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], taken[a:b], [True]]).astype(np.int8)))
+    best = (0, a, a)
+    for first, last in edges.reshape(-1, 2).tolist():
+        if last - first >= lib.need[k]:
+            # as wide a band as the run: where the template lies in it is not known any more
+            band = max(last - first, len(template))
+            near = np.zeros(len(template) + 2 * band, dtype=np.uint64)
+            near[band : band + last - first] = words[a + first : a + last]
+            matched, start, end = aligned(template, near, band)
+            best = max(best, (matched, a + first + start - band, a + first + end - band), key=lambda m: m[0])
+    return best
+
+
 def _matches(lib: Library, words: np.ndarray, ids: np.ndarray, at: np.ndarray, template: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(template, matched, start, end) of one text, no two of them on the same words."""
+    """(template, matched, start, end) of one text, no two of them on the same words.
+
+    Those with most matched words come first; of one that meets their words, what is left between
+    them is aligned again and waits for its turn, if it is still enough.
+    """
     found = [(int(k), *one) for k in np.unique(template) for one in _places(lib, int(k), words, ids, at[template == k], place[template == k])]
-    starts, ends, kept = [], [], []
-    for one in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
-        i = bisect_right(starts, one[2])
-        if (i == 0 or ends[i - 1] <= one[2]) and (i == len(starts) or one[3] <= starts[i]):
-            starts.insert(i, one[2])
-            ends.insert(i, one[3])
-            kept.append(one)
+    waiting = [(-matched, start, k, end) for k, matched, start, end in found]
+    heapify(waiting)
+    taken, kept = np.zeros(len(words), dtype=bool), []
+    while waiting:
+        matched, start, k, end = heappop(waiting)
+        if not taken[start:end].any():
+            taken[start:end] = True
+            kept.append((k, -matched, start, end))
+            continue
+        left, start, end = _rest(lib, k, words, taken, start, end)
+        if left >= lib.need[k]:
+            heappush(waiting, (-left, start, k, end))
     return sorted(kept, key=lambda f: f[2:])
 
 
@@ -217,8 +242,8 @@ def scan(docs: DataFrame, lib: Library | None = None, id_col: str = "doc_id", te
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A text is a candidate
     for the templates of which it holds a winnowed fingerprint. Where the words about it are
     enough they are aligned in a band around the fingerprint's diagonal; every match of COVERAGE
-    percent of a template's words is reported, on overlapping words only the one with most
-    matched words. Texts stay where they are read; the index is sent to the tasks and grows with
+    percent of a template's words is reported. Words count for the match with most matched words;
+    another that meets them is reported if its words beside them are enough alone. Texts stay where they are read; the index is sent to the tasks and grows with
     the templates only. Null, empty and unlicensed texts have no rows, an empty table none; very
     long texts are scanned whole, in time that grows with their words and matches. Rows that repeat
     an id have their own; other columns are ignored. char_start and char_end are code points.

@@ -167,3 +167,18 @@ def test_spans_are_code_points_and_take_linear_time(spark):
         assert len(spans) == 1 and line[slice(*spans.pop())].startswith("Licensed under")
         assert sorted(r.char_start // len(line) for r in rows) == list(range(lines))
     assert took[1] < 24 * took[0]
+
+
+def test_a_match_that_shares_words_with_a_larger_one_is_kept_if_its_own_are_enough(spark):
+    one = [f"one{i}" for i in range(30)] + ["shared"]
+    two = ["shared"] + [f"two{i}" for i in range(20)]
+    lib = licenses.library({("one", "text"): " ".join(one), ("two", "text"): " ".join(two), ("part", "text"): " ".join(one[5:25])})
+    texts = [" ".join(one + two[1:]), " ".join([*one[:15], *two, *one[15:]]), " ".join(one), " ".join([*one[5:25], "x", *one[5:25]])]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lib).collect()
+    got = {i: sorted((r["word_start"], r["word_end"], r["license_id"], r["matched"]) for r in rows if r["doc_id"] == i) for i in range(4)}
+    # a template inside a larger match has no words of its own
+    assert got[0] == [(0, 31, "one", 31), (31, 51, "two", 20)]
+    assert got[2] == [(0, 31, "one", 31)]
+    assert got[3] == [(0, 20, "part", 20), (21, 41, "part", 20)]
+    # the words of "one" on each side of "two" are not enough alone, and "two" is wider than the band
+    assert got[1] == [(15, 36, "two", 21)]
