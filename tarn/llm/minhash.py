@@ -21,6 +21,8 @@ MAX_ERRORS = CHUNKS * (ERRORS + 1) - 1
 #: Sets and shingles of a block that are compared with another's at once, about, and rows of a
 #: bucket in one unit. A block of longer texts has fewer; only a single text can pass the bound.
 SET_BLOCK, SHINGLE_BLOCK, BUCKET_BLOCK = 256, 200_000, 1024
+#: Bucket rows, and pairs of blocks, of one task, about.
+TASK_ROWS, TASK_UNITS = 250_000, 64
 #: Bits of a slot that go into the bit planes that bound the distance from below.
 PLANES = 4
 
@@ -70,7 +72,7 @@ def _sums(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id, n_shingles, two sums that identify the shingle set, BITS-bit chunk keys and bit planes."""
+    """id, digest (of the text), n_shingles, two sums that identify the shingle set, BITS-bit chunk keys and bit planes."""
 
     def made(buf, offsets):
         sets, at = _sets(buf, offsets, width)
@@ -80,8 +82,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [*_sums(sets, at), tk.lists(keys.reshape(-1), flat), *_planes(minima)]
 
     planes = "".join(f", p{p} long" for p in range(PLANES))
-    out = tk.over_texts(docs, [id_col], text_col, f"n_shingles long, s1 long, s2 long, keys array<long>{planes}", made)
-    return out.withColumnRenamed(id_col, "id")
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return tk.over_texts(docs, ["id", "digest"], "text", f"n_shingles long, s1 long, s2 long, keys array<long>{planes}", made)
 
 
 def _near_blocks(batches):
@@ -153,24 +155,25 @@ def _linked(percent: int):
 SAME = ["n_shingles", "s1", "s2"]
 
 
-def _numbered(sets: DataFrame, filled: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``sets`` with rep, a number of its own, and the links (a, b) between sets that share an id.
+def _numbered(sets: DataFrame, filled: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """``sets`` with rep, a number of its own, the links (a, b) between sets that share an id, and whether ids repeat.
 
     The number is the set's smallest id. Where ids have several sets, only one of those with the
     same smallest id keeps it; others get numbers above all ids, and the links lead back.
     """
     spread = [f(c).alias(f"{n}{k}") for k, c in enumerate(SAME) for n, f in (("low", F.min), ("high", F.max))]
     several = " or ".join(f"low{k} < high{k}" for k in range(len(SAME)))
-    twins = cut(filled.groupBy("id").agg(*spread).where(several).select("id"))
+    again = cut(filled.groupBy("id").agg(F.count("*").alias("n"), *spread).where("n > 1").select("id", F.expr(several).alias("several")))
+    repeated, twins = not again.isEmpty(), again.where("several").select("id")
     if twins.isEmpty():
-        return sets.withColumn("rep", F.col("first")), None
+        return sets.withColumn("rep", F.col("first")), None, repeated
     top = filled.agg(F.max("id")).first()[0]
     if top > 2**63 - 2**50:
         raise ValueError("an id that has several texts needs numbers above all ids, and there are none")
     place = F.row_number().over(Window.partitionBy("first").orderBy(*SAME))
     numbered = table(sets.withColumn("place", place).withColumn("rep", F.when(F.col("place") == 1, F.col("first")).otherwise(F.lit(top + 1) + F.monotonically_increasing_id())).drop("place"))
     held = cut(filled.join(sized(twins), "id").select("id", *SAME).distinct().join(numbered.select("rep", *SAME), SAME).select("id", "rep"))
-    return numbered, held.join(held.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b")
+    return numbered, held.join(held.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b"), repeated
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -199,8 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = table(signatures(docs, "id", "text", width))
     planes = [f"p{p}" for p in range(PLANES)]
     filled = sigs.where("n_shingles > 0 and id is not null")
-    sets = table(filled.groupBy(SAME).agg(F.min("id").alias("first"), F.min_by(F.struct("keys", *planes), "id").alias("sign")))
-    sets, twins = _numbered(sets, filled)
+    sets = table(filled.groupBy(SAME).agg(F.min(F.struct("id", "digest")).alias("text"), F.min_by(F.struct("keys", *planes), "id").alias("sign")).withColumn("first", F.col("text.id")))
+    sets, twins, repeated = _numbered(sets, filled)
     keyed = sets.select("rep", F.explode("sign.keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n")).where("hub < last")
     buckets = cut(keyed.join(hubs.select("key", "hub", "n"), "key"))
@@ -214,19 +217,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = members.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
     shown = sets.select("rep", *(f"sign.{p}" for p in planes))
     units = dealt(members.join(mixed, "key", "left_semi").join(shown, "rep").select("key", "n", "rep", "block", *planes), ["key"], "rep", "n", BUCKET_BLOCK)
-    near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"]).mapInArrow(lean(_near_blocks), "a long, b long")
+    rows = buckets.agg(F.sum(F.ceil(F.col("n") / BUCKET_BLOCK))).first()[0] or 0
+    near = together(units.select("key", "i", "j", "side", "block", *planes), ["key", "i", "j"], rows // TASK_ROWS).mapInArrow(lean(_near_blocks), "a long, b long")
     pairs = cut(near.unionByName(placed.select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct())
 
     def made(buf, offsets):
         full, at = _sets(buf, offsets, width)
-        return [*_sums(full, at), tk.lists(full, at)]
-
-    chosen = sized(cut(placed.join(sets.select("rep", *SAME, F.col("first").alias("id")), "rep")))
-    texts = docs.join(chosen.select("id"), "id", "left_semi")
-    full = tk.over_texts(texts, ["id"], "text", "n_shingles long, s1 long, s2 long, shingles array<long>", made)
-    full = full.join(chosen, ["id", *SAME]).dropDuplicates(["id", *SAME]).select("rep", "block", "shingles")
+        return [tk.lists(full, at)]
+
+    # one text for each representative, chosen by its digest before it becomes shingles
+    chosen = sized(cut(placed.join(sets.select("rep", "text.id", "text.digest"), "rep")))
+    texts = docs.withColumn("digest", F.xxhash64("text")).join(chosen.select("id", "digest"), ["id", "digest"], "left_semi")
+    if repeated:
+        texts = texts.dropDuplicates(["id", "digest"])
+    full = tk.over_texts(texts, ["id", "digest"], "text", "shingles array<long>", made)
+    full = full.join(chosen, ["id", "digest"]).select("rep", "block", "shingles")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
-    links = together(sides.join(full, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"]).mapInArrow(lean(_linked(percent)), "a long, b long")
+    links = together(sides.join(full, "block").select("a", "b", "side", "rep", "shingles"), ["a", "b"], pairs.count() // TASK_UNITS).mapInArrow(lean(_linked(percent)), "a long, b long")
     whole = components(links if twins is None else links.unionByName(twins))
 
     classes = sets.select("rep", *SAME).join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*SAME, F.coalesce("component", "rep").alias("component"))

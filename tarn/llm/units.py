@@ -24,13 +24,14 @@ def dealt(members: DataFrame, keys: list[str], member: str, size: str, block: in
     return each.withColumn("i", low).withColumn("j", F.greatest("__own", "__other")).withColumn("side", (F.col("__own") > F.col("__other")).cast("int")).drop("__blocks", "__own", "__other")
 
 
-def together(rows: DataFrame, keys: list[str]) -> DataFrame:
+def together(rows: DataFrame, keys: list[str], tasks: int = 0) -> DataFrame:
     """The rows of a unit next to each other in one task; ``keys`` become the first columns.
 
     A unit's work is far more than its bytes, so its partitions are not to be merged by their
-    size: as many are asked for as the session has for shuffles.
+    size: as many are asked for as the work takes by ``tasks``, or as the session has for
+    shuffles if those are more.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.select(*keys, *(c for c in rows.columns if c not in keys)).repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
