@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions import dates, numeric, spline, stem
 from tarn.functions import text as X
 from tarn.operators import features, profile, share, traffic
+from tarn.plans import traffic as plans
 from tarn.sources import readers, schemas
 
 
@@ -30,6 +32,17 @@ def test_rounding_division_and_sums(spark):
     assert one(spark, numeric.percent_label(F.lit(0.125))) == "12%" and one(spark, numeric.thousands(F.lit(1234567))) == "1,234,567"
 
 
+def test_a_small_loss_keeps_its_sign_in_the_label(spark, tmp_path):
+    shares = [(-0.002,), (-0.005,), (0.002,), (0.0,), (-0.025,), (-0.015,), (None,)]
+    assert of(spark, shares, "a double", numeric.percent_label(F.col("a")))[:6] == ["-0%", "-0%", "0%", "0%", "-2%", "-2%"]
+    rows = [("O", "N", 1.0, float(price), dt.datetime(year, 6, 1)) for year, price in ((1995, 1000), (1996, 997), (1997, 1000))]
+    spark.createDataFrame(rows, "l_linestatus string, l_returnflag string, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = duckdb.connect()
+    made.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = made.sql(plans.SQL["traffic_axis_labels"]).fetchall()
+    assert [tuple(r) for r in plans.traffic_axis_labels(spark, str(tmp_path)).collect()] == want == [(0, "99,700", "-0%", "Jan"), (1, "100,000", "0%", "Feb")]
+
+
 def test_date_range_is_open_at_midnights(spark):
     times = ["2002-12-31 00:00", "2002-12-31 12:00", "2003-01-01 00:00", "2016-12-31 23:59", "2017-01-01 00:00"]
     df = spark.createDataFrame([(t,) for t in times], "s string").select(F.col("s").cast("timestamp_ntz").alias("dt"))
