@@ -56,9 +56,9 @@ def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -
 def tidy_words(text: Column, longer_than: int = 3) -> Column:
     """The words that are left of a text without handles, other characters and short words.
 
-    What is no letter and no # parts words, so they come from one split.
+    What is no letter and no # parts words, so they are its runs of letters and # that are long enough.
     """
-    return F.filter(F.split(without_handles(text), "[^a-zA-Z#]+"), lambda w: F.length(w) > longer_than)
+    return F.regexp_extract_all(without_handles(text), F.lit(f"[a-zA-Z#]{{{longer_than + 1},}}"), F.lit(0))
 
 
 def tidy(text: Column) -> Column:

@@ -14,6 +14,10 @@ from tarn.sources.readers import kept
 
 #: Parts of a label's words that are ranked on their own.
 PARTS = 64
+#: Rows of a table of keys or terms that are broadcast at most, once they have been counted.
+BROADCAST_ROWS = 500_000
+#: Texts of a repeated key that are joined into one at most.
+JOINED_ROWS = 1_000
 
 
 def word_frequencies(df: DataFrame, label: str, tokens: str, top: int = 200) -> DataFrame:
@@ -47,14 +51,42 @@ def stems(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return made.withColumn("stemmed", F.array_join("stems", " "))
 
 
+def counted(values: Column) -> Column:
+    """(term, tf) of each distinct value of an array: equal ones are neighbours once it is sorted."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda k: (k == 0) | (F.get(ordered, k) != F.get(ordered, k - 1)))
+        cells = lambda first: F.transform(first, lambda at, k: F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(ordered)) - at).cast("long").alias("tf")))
+        return F.flatten(F.transform(F.array(starts), cells))
+
+    # arrays of one array bind what is used more than once
+    return F.flatten(F.transform(F.filter(F.array(F.sort_array(values)), lambda v: F.size(v) > 0), runs))
+
+
 def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of lower-case terms of two characters or more.
 
-    Texts are dealt by the document before they become terms: one row a document crosses the
-    network, counts and later sums by document need no other shuffle.
+    Terms are counted in the row of their text, so texts cross no network and no task holds the
+    cells of more than a document. Keys that occur in several rows are found before, from the keys
+    alone: their texts are joined into one, or their cells summed up if the rows are many.
     """
-    found = df.select(key, text).repartition(key).select(key, F.explode_outer(X.terms(F.col(text))).alias("term"))
-    return found.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    again = kept(df.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n_rows")).where("n_rows > 1"))
+    n_again, most = again.agg(F.count("*"), F.max("n_rows")).first()
+    if not n_again:
+        return _cells(df, key, text)
+    met = df.join(F.broadcast(again) if n_again <= BROADCAST_ROWS else again, F.col(key).eqNullSafe(F.col("again")), "left")
+    few = met.where(F.col("n_rows") <= JOINED_ROWS).groupBy(key).agg(F.array_join(F.collect_list(text), "\n").alias(text))
+    cells = _cells(met.where("n_rows is null").select(key, text).unionByName(few), key, text)
+    if most <= JOINED_ROWS:
+        return cells
+    many = _cells(met.where(F.col("n_rows") > JOINED_ROWS), key, text).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return cells.unionByName(many)
+
+
+def _cells(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of each row by itself."""
+    found = df.select(key, F.explode_outer(counted(X.terms(F.col(text)))).alias("cell"))
+    return found.where("cell is not null").select(key, "cell.term", "cell.tf")
 
 
 def vocabulary(bag: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tarn.operators import textmodel
+from tarn.functions import text
+from tarn.operators import features, textmodel
 
 TRAIN = [(1, "cat dog dog"), (2, "dog Eel a"), (3, ""), (4, None)]
 NEW = [(10, "dog dog eel fox"), (11, "fox gnu"), (12, None), (13, "CAT cat"), (10, "never twice")]
@@ -64,3 +65,24 @@ def test_repeated_keys_and_empty_tables(spark):
     assert (none.n_docs, none.n_terms) == (0, 0)
     only = textmodel.sparse_rows(twice, textmodel.weigh(none, twice, "id", "text"), "id", none.n_terms).collect()
     assert {(r.size, tuple(r.indices)) for r in only} == {(0, ())}
+
+
+def test_terms_are_counted_in_their_rows_and_repeated_keys_are_summed(spark):
+    rows = [(1, "bb aa bb a AA"), (2, ""), (3, None), (4, "x"), (5, "one two"), (5, "two é_é two"), (None, "aa"), (None, "aa bb"), (6, "zz")]
+    rows += [(7, "many aa aa")] * (features.JOINED_ROWS + 1)
+    docs = spark.createDataFrame(rows, "id long, t string")
+    want = Counter((k, w.lower()) for k, t in rows for w in re.findall(r"\w\w+", t or ""))
+    assert {(r.id, r.term): r.tf for r in features.bag_of_words(docs, "id", "t").collect()} == want
+    once = docs.where("id < 7 and id <> 5")
+    made = features.bag_of_words(once, "id", "t")
+    assert {(r.id, r.term): r.tf for r in made.collect()} == {c: n for c, n in want.items() if c[0] not in (5, 7, None)}
+    # no task of a table of single keys holds more than a row's terms
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_tidy_words_are_runs_of_letters_and_hashes(spark):
+    texts = ["@a hi #abcd efgh1ijkl", "", None, "abc", "éabcdé #### ab#cd", "a" * 5 + "\n" + "b" * 4 + "@x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    want = [None if t is None else [w for w in re.split("[^a-zA-Z#]+", t.replace("@a", "").replace("@x", "")) if len(w) > 3] for t in texts]
+    assert [r.w for r in df.select(text.tidy_words(F.col("t")).alias("w")).collect()] == want
