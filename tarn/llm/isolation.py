@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm import textkernel as tk
-from tarn.llm.common import fold
-from tarn.llm.labelled import ROWS_PER_CLASS, sample, texts_of
+from tarn.llm.common import fold, lean, sized, table
 
 #: The statistics of the rules by what they describe; each family has a forest of its own. In one
 #: forest of all five a text that is odd in one way is hidden by all that are odd in others.
@@ -19,6 +21,12 @@ RATES = [k for family in FAMILIES.values() for k in family]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Small subsamples, so that even frequent anomalies are few in each and do not hide one another.
 TREES, SUBSAMPLE, DEPTH = 200, 64, 6
+#: Rows that the subsamples are drawn from: as many as all trees take, so that they hardly share any.
+POOL = TREES * SUBSAMPLE
+#: Steps of a score.
+STEPS = 1 << 16
+#: What is stored of a text: the counts that are returned, and the lines, which a rate needs.
+STORED = [*COUNTS, "n_lines"]
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: What a good document lost costs against a poor one kept, when a threshold is calibrated.
 COST = 5.0
@@ -115,27 +123,52 @@ def calibrated(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> float
     return float((edge[k] + edge[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_PER_CLASS) -> dict[str, Forest]:
-    """A forest of each family's rates, its threshold calibrated on labels.
+def _told(forest: Forest, x: np.ndarray) -> np.ndarray:
+    """Scores in steps of 1 / STEPS, so that those of any number of rows are a bounded table of counts."""
+    return np.rint(forest.scores(x) * STEPS) / STEPS
 
-    At most ``rows`` labelled rows of a class are used, those outside the held fold that pass the
-    counts' bounds. Forests are grown on them in the proportions of all labelled rows and do not
-    see the labels. Without rows of both classes the thresholds are 1, which rejects nothing.
-    """
-    chosen = sample(labels, label, fold(id_col, FOLDS) != HELD_FOLD, id_col, rows)
 
-    def made(buf, offsets):
-        counts = tk.rule_counts(tk.split(buf, offsets))
-        return [_failed(counts)] + [np.asarray(x, dtype=np.float64) for x in _rates(counts).values()]
-
-    fields = "failed boolean, " + ", ".join(f"{k} double" for k in RATES)
-    held = tk.over_texts(texts_of(docs, chosen, id_col, text_col), [id_col, "label", "weight"], "text", fields, made).where("not failed").orderBy(id_col).toPandas()
-    good, weight = held["label"].to_numpy() == 1, held["weight"].to_numpy().astype(float)
-    forests = {}
-    for name, columns in FAMILIES.items():
-        x = held[list(columns)].to_numpy().astype(float)
-        forests[name] = grow(x, weight)
-        forests[name].threshold = calibrated(forests[name].scores(x), good, weight)
+def _of_rows(counted: DataFrame, keep: list[str], fields: str, made: Callable[[dict[str, np.ndarray]], list]) -> DataFrame:
+    """``keep`` columns of counted rows and the ``fields`` that ``made(counts)`` gives."""
+    schema = T.StructType([counted.schema[k] for k in keep] + T.StructType.fromDDL(fields).fields)
+    read = [*keep, *(k for k in STORED if k not in keep)]
+
+    def run(batches):
+        for batch in batches:
+            counts = {k: batch.column(read.index(k)).to_numpy(zero_copy_only=False) for k in STORED}
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(x) for x in made(counts)], names=schema.names)
+
+    return counted.select(*(f"`{c}`" for c in read)).mapInArrow(lean(run), schema)
+
+
+def fit(counted: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> dict[str, Forest]:
+    """A forest of each family's rates, its threshold calibrated on all labelled rows.
+
+    ``counted``: ids and STORED counts. Rows count that have a label, are outside the held fold and
+    pass the counts' bounds; repeated ones count as often as they occur, and of an id's labels the
+    largest. A tree's subsample is drawn from POOL of these rows, by a hash of the id, or from all
+    if they are fewer; trees do not see the labels. Every row is scored for the thresholds, which
+    without rows of both classes are 1 and reject nothing.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (fold(id_col, FOLDS) != HELD_FOLD)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    met = counted.join(sized(known), id_col)
+    rated = table(_of_rows(met, [id_col, "label"], "failed boolean, " + ", ".join(f"{k} double" for k in RATES), lambda counts: [_failed(counts), *(np.asarray(x, dtype=np.float64) for x in _rates(counts).values())]).where("not failed"))
+    drawn = rated.orderBy(F.xxhash64(id_col), id_col, *RATES).limit(POOL).toPandas()
+    forests = {name: grow(drawn[list(columns)].to_numpy().astype(float), np.ones(len(drawn))) for name, columns in FAMILIES.items()}
+    steps = T.StructType.fromDDL("label int, " + ", ".join(f"{name} int" for name in FAMILIES))
+
+    def scored(batches):
+        for batch in batches:
+            at = {k: batch.column(1 + i).to_numpy(zero_copy_only=False) for i, k in enumerate(RATES)}
+            told = [_told(forests[name], np.stack([at[k] for k in columns], axis=1)) * STEPS for name, columns in FAMILIES.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int32)) for x in told)], names=steps.names)
+
+    scores = rated.select("label", *RATES).mapInArrow(lean(scored), steps)
+    each = scores.select("label", F.explode(F.array(*(F.struct(F.lit(name).alias("family"), F.col(name).alias("step")) for name in FAMILIES))).alias("at"))
+    counts = each.groupBy("at.family", "at.step", "label").agg(F.count("*").alias("n")).toPandas()
+    for name, forest in forests.items():
+        mine = counts[counts["family"] == name].sort_values(["step", "label"])
+        forest.threshold = calibrated(mine["step"].to_numpy() / STEPS, mine["label"].to_numpy() == 1, mine["n"].to_numpy().astype(float))
     return forests
 
 
@@ -147,15 +180,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     threshold; equal scores have equal verdicts. Null and empty texts have no words and so fail;
     very long ones count whole. Null ids and repeated rows keep their rows; other columns are
     ignored. No documents give no rows; without labels of both classes only the bounds decide.
+    Texts are read once: their counts are written, and all else works on these.
     """
-    forests = fit(docs, labels, id_col=id_col, text_col=text_col)
 
-    def made(buf, offsets):
+    def count(buf, offsets):
         counts = tk.rule_counts(tk.split(buf, offsets))
+        return [np.asarray(counts[k], dtype=np.int64) for k in STORED]
+
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    counted = table(tk.over_texts(texts, [id_col], text_col, ", ".join(f"{k} long" for k in STORED), count))
+    forests = fit(counted, labels, id_col=id_col)
+
+    def made(counts):
         failed, rates = _failed(counts), _rates(counts)
-        scores = {name: forests[name].scores(np.stack([rates[k] for k in columns], axis=1)) for name, columns in FAMILIES.items()}
+        scores = {name: _told(forests[name], np.stack([rates[k] for k in columns], axis=1)) for name, columns in FAMILIES.items()}
         odd = np.any([scores[name] > forests[name].threshold for name in FAMILIES], axis=0)
-        return [np.asarray(counts[k], dtype=np.int64) for k in COUNTS] + [failed, *scores.values(), ~failed & ~odd]
+        return [failed, *scores.values(), ~failed & ~odd]
 
-    fields = ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, " + ", ".join(f"{name}_anomaly double" for name in FAMILIES) + ", kept boolean"
-    return tk.over_texts(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), [id_col], text_col, fields, made)
+    fields = "base_failed boolean, " + ", ".join(f"{name}_anomaly double" for name in FAMILIES) + ", kept boolean"
+    return _of_rows(counted, [id_col, *COUNTS], fields, made)

@@ -80,6 +80,22 @@ def test_thresholds_cost_the_least():
     assert isolation.calibrated(score, np.ones(40, bool), weight) == 1.0
 
 
+def test_every_labelled_row_takes_part_in_the_thresholds(spark):
+    """No bound on the labelled rows: the thresholds are the best ones over all rows, beyond 6,000 of a class too."""
+    draw = np.random.default_rng(3)
+    words, ids = draw.integers(60, 400, 15_000), range(15_000)
+    rows = [(i, int(n), int(n * draw.integers(4, 9)), int(draw.integers(0, 30)), 0, int(n * draw.random() / 3), 20, int(draw.random() < 0.9)) for i, n in zip(ids, words, strict=True)]
+    made = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{k} long" for k in isolation.STORED) + ", quality int")
+    forests = isolation.fit(made.drop("quality"), made.select("doc_id", "quality"))
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % isolation.FOLDS != isolation.HELD_FOLD]
+    at = dict(zip(isolation.STORED, np.array([r[1:7] for r in learn]).T, strict=True))
+    good, rated = np.array([r[7] == 1 for r in learn]), isolation._rates(at)
+    assert good.sum() > 6_000
+    for name, columns in isolation.FAMILIES.items():
+        score = isolation._told(forests[name], np.stack([rated[k] for k in columns], axis=1))
+        assert forests[name].threshold == isolation.calibrated(score, good, np.ones(len(good)))
+
+
 def counts(text):
     text = text or ""
     words = brute.WORD.findall(text)
