@@ -115,13 +115,14 @@ def tfidf(df: DataFrame, bag: DataFrame, key: str) -> DataFrame:
     """(key, term, tfidf): tf * idf, each document's row scaled to length 1.
 
     n counts documents without terms too. Document frequencies come from the bag's rows, which
-    are one per document and term; the bag is counted once and written.
+    are one per document and term; the bag is counted once and written. Cells pass by a hash of
+    their task's terms, so they are not sorted by term.
     """
     bag = kept(bag)
     n = df.agg(F.countDistinct(key).alias("n_docs"))
     frequency = bag.groupBy("term").agg(F.count("*").alias("df"))
     idf = frequency.crossJoin(F.broadcast(n)).select("term", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    weighed = bag.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighed = bag.join(idf.hint("shuffle_hash"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("w") / length).alias("tfidf"))
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.features import bag_of_words, smooth_idf, vocabulary
+from tarn.operators.features import bag_of_words, smooth_idf
+from tarn.sources.ordinals import in_order
 from tarn.sources.readers import kept
 
 
@@ -38,7 +39,7 @@ def fit(df: DataFrame, key: str, text: str) -> TextModel:
     """
     n_docs = df.select(key).distinct().count()
     frequency = kept(bag_of_words(df, key, text).groupBy("term").agg(F.count("*").alias("df")))
-    terms = vocabulary(frequency).join(frequency, "term").select("term", "term_id", "df", smooth_idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    terms = in_order(frequency, ["term"], "term_id").select("term", "term_id", "df", smooth_idf(F.lit(n_docs), F.col("df")).alias("idf"))
     return TextModel(kept(terms), n_docs, frequency.count())
 
 
@@ -46,9 +47,10 @@ def weigh(model: TextModel, df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, term_id, tf, tfidf) of documents by a fitted model; each document's weights have length 1.
 
     Terms that the model does not know are left out before the length is taken, so a document of
-    such terms only has no cells. Nothing is fitted again.
+    such terms only has no cells. Nothing is fitted again. Cells pass by a hash of their task's
+    terms, so they are not sorted by term.
     """
-    known = bag_of_words(df, key, text).join(model.terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    known = bag_of_words(df, key, text).join(model.terms.hint("shuffle_hash"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return known.select(key, "term", "term_id", "tf", (F.col("w") / length).alias("tfidf"))
 

@@ -86,3 +86,14 @@ def test_tidy_words_are_runs_of_letters_and_hashes(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     want = [None if t is None else [w for w in re.split("[^a-zA-Z#]+", t.replace("@a", "").replace("@x", "")) if len(w) > 3] for t in texts]
     assert [r.w for r in df.select(text.tidy_words(F.col("t")).alias("w")).collect()] == want
+
+
+def test_cells_are_not_sorted_by_term(spark):
+    docs = spark.createDataFrame(TRAIN + NEW[:4], "id long, text string")
+    model = textmodel.fit(docs, "id", "text")
+    for made in (features.tfidf(docs, features.bag_of_words(docs, "id", "text"), "id"), textmodel.weigh(model, docs, "id", "text")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [line for line in plan.split("\n") if "Sort [" in line and "term" in line] == []
+    weights = {(r.id, r.term): round(r.tfidf, 9) for r in textmodel.weigh(model, docs, "id", "text").collect()}
+    assert {(r.id, r.term): round(r.tfidf, 9) for r in features.tfidf(docs, features.bag_of_words(docs, "id", "text"), "id").collect()} == weights
