@@ -42,15 +42,17 @@ def folded(counts: DataFrame, label: str) -> DataFrame:
     """(label, stem, word, n) of (label, word, n): cases are one word, and a plural is its singular if that occurs.
 
     The word is written as most often, of equals as first in code-point order. All steps work on
-    one exchange by label and stem.
+    one exchange by label and stem, and on one sort: a plural stands beside its singular.
     """
     same = Window.partitionBy(label, "stem")
     plural = F.lower("word") != F.col("stem")
     placed = counts.select(label, "word", "n", stem_of(F.col("word")).alias("stem"))
-    singular = placed.withColumn("has", F.max(~plural).over(same))
-    written = F.when(F.col("has") & plural, F.left("word", F.length("word") - 1)).otherwise(F.col("word"))
-    forms = singular.select(label, "stem", written.alias("word"), "n").groupBy(label, "stem", "word").agg(F.sum("n").alias("n"))
-    return forms.groupBy(label, "stem").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("best"), F.sum("n").alias("n")).select(label, "stem", F.col("best.word").alias("word"), "n")
+    beside = placed.withColumn("base", F.when(plural, F.left("word", F.length("word") - 1)).otherwise(F.col("word")))
+    both = beside.repartition(label, "stem").withColumn("both_n", F.sum("n").over(Window.partitionBy(label, "stem", "base")))
+    found = both.withColumn("has", F.max(~plural).over(same))
+    # without a singular every plural is a form of its own; with one, the rows of a base are a form and tell its sum
+    form = F.struct((-F.when(F.col("has"), F.col("both_n")).otherwise(F.col("n"))).alias("n"), F.when(F.col("has"), F.col("base")).otherwise(F.col("word")).alias("word"))
+    return found.groupBy(label, "stem").agg(F.min(form).alias("best"), F.sum("n").alias("n")).select(label, "stem", F.col("best.word").alias("word"), "n")
 
 
 def cloud_words(df: DataFrame, label: str, tokens: str, top: int = 200, threshold: float = THRESHOLD, stop_words: Sequence[str] = CLOUD_STOP_WORDS) -> DataFrame:

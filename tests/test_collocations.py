@@ -76,3 +76,13 @@ def test_top_words_are_ranked_with_pairs(spark):
 
 def test_an_empty_table_has_no_words(spark):
     assert collocations.cloud_words(spark.createDataFrame([], "label string, tokens array<string>"), "label", "tokens").collect() == []
+
+
+def test_forms_are_folded_with_one_sort(spark):
+    counts = [("x", w, n) for w, n in (("CATS", 2), ("CATs", 2), ("Cat", 1), ("cats", 3), ("Dogs", 1), ("dogs", 1), ("DOGS", 4), ("glass", 1), ("Glass", 1), ("s", 2), ("S", 3))]
+    counts += [("y", "cats", 3), ("y", "Cats", 3), ("y", "cat", 2), ("y", "Cat", 2)]
+    made = collocations.folded(spark.createDataFrame(counts, "label string, word string, n long"), "label")
+    want = {("x", "CAT", 8), ("x", "DOGS", 6), ("x", "Glass", 2), ("x", "S", 5), ("y", "Cat", 10)}
+    assert {(r.label, r.word, r.n) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len([line for line in plan.split("\n") if "Sort [" in line]) == 1
