@@ -171,7 +171,7 @@ def text_sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _tidy(spark, sf_dir)
     bag = readers.kept(features.bag_of_words(docs, "tweet_id", "tidy_text"))
     vocab = readers.kept(features.vocabulary(bag))
-    return textmodel.sparse_rows(docs, bag.join(vocab, "term"), "tweet_id", vocab.count())
+    return textmodel.sparse_rows(docs, bag.join(vocab.hint("shuffle_hash"), "term"), "tweet_id", vocab.count())
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
