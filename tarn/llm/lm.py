@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,6 +33,8 @@ DIMS, NOISE, INNER_NOISE, BATCH, RATE = 16, 16, 1, 8192, 0.08
 #: Tokens that a copy of the model learns from, about. Copies follow from the tokens alone: more of them,
 #: for idle cores, would each learn less, and scores would depend on the cluster.
 COPY_TOKENS = 8_000_000
+#: Copies whose rows of a file of the model are averaged by one task; of more copies, a task has a slice of a file.
+MERGED = 16
 #: Rows of vectors in a file of the model, contexts whose normalisers are one product, and tokens
 #: whose contexts are held at once.
 FILE_ROWS, CONTEXTS, GROUP = 1 << 14, 2048, 1 << 17
@@ -240,6 +241,18 @@ def _contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
+def _runs(values: np.ndarray) -> zip:
+    """(first, end) of each run of equal values."""
+    cut = (np.flatnonzero(np.diff(values)) + 1).tolist()
+    return zip([0, *cut], [*cut, len(values)], strict=True)
+
+
+def _bounds(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the first place and the end of its run of equal values."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
+    return np.repeat(cut[:-1], np.diff(cut)), np.repeat(cut[1:], np.diff(cut))
+
+
 class _Trainer:
     """Adagrad steps on the noise-contrastive objective; a batch's noise words serve all its tokens."""
 
@@ -252,29 +265,35 @@ class _Trainer:
         self.upto = np.cumsum(share)
 
     def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray, inner: tuple[tuple[np.ndarray, ...], ...] = ()) -> None:
-        """``inner``: for each later level the tokens' places in the batch, their outcomes, noise of
+        """``inner``: for each later level, which the last tokens of the batch have, their outcomes, noise of
         the same class or part, and the logarithms of the shares of the outcomes and of the noise."""
         context, target, bias, places = self.params
         noise = np.minimum(np.searchsorted(self.upto, self.draw.random(NOISE) * self.upto[-1]), len(self.share) - 1)
-        rn, rf = context[near], context[far]
+        rn, rf = context.take(near, axis=0), context.take(far, axis=0)
         predicted = rn * places[0] + rf * places[1]
-        right = target[word]
+        at = np.concatenate([word, noise, *(x.reshape(-1) for one, others, *_ in inner for x in (one, others))])
+        d, low = np.empty((len(at), target.shape[1] + 1), dtype=np.float32), len(word) + NOISE  # slopes of vectors and biases
+        right, wrong = target.take(word, axis=0), target.take(noise, axis=0)
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", predicted, right) + bias[word] - self.noise_log[word]))
-        down = -1 / (1 + np.exp(-(predicted @ target[noise].T + bias[noise] - self.noise_log[noise])))
-        moved = up[:, None] * right + down @ target[noise]
-        at, rows, slopes = [word, noise], [up[:, None] * predicted, down.T @ predicted], [up, down.sum(axis=0)]
-        for which, one, others, one_log, others_log in inner:
-            if not len(which):
+        down = -1 / (1 + np.exp(-(predicted @ wrong.T + bias[noise] - self.noise_log[noise])))
+        moved = down @ wrong
+        moved += np.multiply(up[:, None], right, out=right)
+        np.multiply(up[:, None], predicted, out=d[: len(word), :-1])
+        d[: len(word), -1] = up
+        d[len(word) : low, :-1], d[len(word) : low, -1] = down.T @ predicted, down.sum(axis=0)
+        for one, others, one_log, others_log in inner:
+            if not len(one):
                 continue
-            mine, right, wrong = predicted[which], target[one], target[others]
+            mine, right, wrong = predicted[-len(one) :], target.take(one, axis=0), target.take(others, axis=0)
             up = 1 / (1 + np.exp(np.einsum("ij,ij->i", mine, right) + bias[one] - one_log - np.float32(np.log(INNER_NOISE))))
             down = -1 / (1 + np.exp(-(np.einsum("ikj,ij->ik", wrong, mine) + bias[others] - others_log - np.float32(np.log(INNER_NOISE)))))
-            moved[which] += up[:, None] * right + np.einsum("ik,ikj->ij", down, wrong)
-            at += [one, others.reshape(-1)]
-            rows += [up[:, None] * mine, (down[:, :, None] * mine[:, None, :]).reshape(-1, mine.shape[1])]
-            slopes += [up, down.reshape(-1)]
-        at, rows, slopes = (np.concatenate(x) for x in (at, rows, slopes))
-        keys, d = self._sums(np.hstack([rows, slopes[:, None]]), at)
+            moved[-len(one) :] += up[:, None] * right + np.einsum("ik,ikj->ij", down, wrong)
+            for slopes in (up[:, None], down):
+                here = d[low : low + slopes.size].reshape(*slopes.shape, -1)
+                np.multiply(slopes[:, :, None], mine[:, None, :], out=here[:, :, :-1])
+                here[:, :, -1] = slopes
+                low += slopes.size
+        keys, d = self._sums(d, at)
         self._move(1, keys, d[:, :-1])
         self._move(2, keys, d[:, -1])
         d_places = np.stack([(moved * rn).sum(axis=0), (moved * rf).sum(axis=0)])
@@ -288,17 +307,19 @@ class _Trainer:
         self.mark[at] = True
         keys, width = np.flatnonzero(self.mark), rows.shape[1]
         self.mark[keys] = False
-        self.place[keys] = np.arange(len(keys))
+        self.place[keys] = np.arange(0, len(keys) * width, width)
         out = np.zeros(len(keys) * width, dtype=np.float32)
-        np.add.at(out, (self.place[at][:, None] * width + np.arange(width)).reshape(-1), rows.astype(np.float32, copy=False).reshape(-1))
+        np.add.at(out, (self.place.take(at)[:, None] + np.arange(width)).reshape(-1), rows.astype(np.float32, copy=False).reshape(-1))
         return keys, out.reshape(-1, width)
 
     def _move(self, k: int, at: np.ndarray, d: np.ndarray) -> None:
         """A step whose length follows the slopes that each row has had."""
-        grown = self.grown[k][at] + (d * d if d.ndim == 1 else np.einsum("ij,ij->i", d, d) / np.float32(d.shape[1]))
+        grown = self.grown[k].take(at) + (d * d if d.ndim == 1 else np.einsum("ij,ij->i", d, d) / np.float32(d.shape[1]))
         self.grown[k][at] = grown
         size = np.float32(RATE) / np.sqrt(grown)
-        self.params[k][at] += d * (size if d.ndim == 1 else size[:, None])
+        moved = self.params[k].take(at, axis=0)
+        moved += d * (size if d.ndim == 1 else size[:, None])
+        self.params[k][at] = moved
 
 
 def _start(plan: Layout, rows: np.ndarray) -> np.ndarray:
@@ -329,8 +350,7 @@ class _Copy:
         self.trainer = _Trainer(Model(first[:, :DIMS], first[:, DIMS : 2 * DIMS], first[:, 2 * DIMS], np.ones((2, DIMS), np.float32), 1), plan.shares[0], seed)
 
     def _add(self, rows: np.ndarray) -> None:
-        new = np.unique(rows)
-        new = new[self.slots[new] < 0]
+        new = np.unique(rows[self.slots[rows] < 0])
         if not len(new):
             return
         self.slots[new] = len(self.rows) + np.arange(len(new))
@@ -354,18 +374,19 @@ class _Copy:
         tokens = tokens[np.argsort(part[tokens], kind="stable")]
         of = part[tokens]
         levels = [(of // plan.size, self.slots[plan.words + of].astype(np.int64), np.log(plan.shares[1][of])), (of, slot[tokens], np.log(plan.shares[2][words[tokens] - plan.heads]))]
-        levels = [(*(np.searchsorted(node, node, side=x) for x in ("left", "right")), own, log.astype(np.float32)) for node, own, log in levels]
-        self.seen += np.bincount(slot, minlength=len(self.seen)) + np.bincount(outer[later], minlength=len(self.seen)) + np.bincount(levels[0][2], minlength=len(self.seen))
+        levels = [(*_bounds(node), own, log.astype(np.float32)) for node, own, log in levels]
+        self.seen += np.bincount(np.concatenate([slot, outer[later], levels[0][2]]), minlength=len(self.seen))
         place = np.zeros(n, dtype=np.int64)
         place[tokens] = np.arange(len(tokens))
         order = trainer.draw.permutation(n)
         for at in range(0, n, BATCH):
             batch = order[at : at + BATCH]
-            which = np.flatnonzero(later[batch])
-            p, inner = place[batch[which]], []
+            last = later[batch]
+            batch = np.concatenate([batch[~last], batch[last]])
+            p, inner = place[batch[np.count_nonzero(~last) :]], []
             for low, high, own, log in levels:
                 drawn = low[p, None] + (trainer.draw.random((len(p), INNER_NOISE)) * (high - low)[p, None]).astype(np.int64)
-                inner.append((which, own[p], own[drawn], log[p], log[drawn]))
+                inner.append((own[p], own[drawn], log[p], log[drawn]))
             trainer.step(outer[batch], near[batch], far[batch], tuple(inner))
 
 
@@ -374,21 +395,21 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
 
     ``copies`` tasks or fewer train a copy of the rows that their texts need; copies are averaged
     by word. A copy's row counts as often as its word or class occurs in the copy's texts. Rows
-    meet by the file of the model they are of, first in groups of about the square root of the
-    copies, then one task writes the file: no task has all copies of a row, and the model never
+    meet by the file of the model they are of, or by the slice of it, of which there are so many
+    that a task reads about MERGED copies of a file. Means of slices, one of each row however many
+    the copies are, cross the network once more to the task that writes their file; the model never
     is in one place.
     """
     path = shared_dir(texts.sparkSession)
-    width, groups = 2 * DIMS + 1, max(1, math.isqrt(copies))
+    width, slices = 2 * DIMS + 1, -(-copies // MERGED)
+    per_slice = -(-FILE_ROWS // slices)
 
-    def packed(k, group, rows, weight, values):
+    def packed(k, part, rows, weight, values):
         fields = (pack_numbers(rows), weight.astype("<f4").tobytes(), values.astype("<f2").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([group], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], names=["file", "part", "rows", "weights", "values"])
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in fields)], names=["file", "part", "rows", "weights", "values"])
 
     def run(batches):
-        own = TaskContext.get().partitionId()
-        copy, held, size = _Copy(plan, seed + own), [], 0
-        group = own % groups
+        copy, held, size = _Copy(plan, seed + TaskContext.get().partitionId()), [], 0
         for batch in batches:
             for text in batch.column(0):
                 words = unpack_numbers(text.as_py()).astype(np.int64)
@@ -407,8 +428,10 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
         flat = np.vstack([np.hstack([context, target, bias[:, None]]), last])
         weight = np.append(copy.seen, copy.seen.sum())
         order = np.argsort(rows, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(rows[order] // FILE_ROWS)) + 1):
-            yield packed(int(rows[part[0]]) // FILE_ROWS, group, rows[part], weight[part], flat[part])
+        key = rows[order] // FILE_ROWS * slices + rows[order] % FILE_ROWS // per_slice
+        for lo, hi in _runs(key):
+            part = order[lo:hi]
+            yield packed(*divmod(int(key[lo]), slices), rows[part], weight[part], flat[part])
 
     def means(batches, keys):
         """(file, part, rows, weights, means) of the rows with equal ``keys``, the first columns."""
@@ -433,7 +456,7 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
         if now is not None:
             yield out()
 
-    def grouped(batches):
+    def sliced(batches):
         for one in means(batches, 2):
             yield packed(*one)
 
@@ -448,8 +471,8 @@ def _trained(texts: DataFrame, plan: Layout, seed: int, copies: int) -> str:
 
     schema = "file long, part long, rows binary, weights binary, values binary"
     rows = texts.where("not held_out").select("words").coalesce(max(1, copies)).mapInArrow(lean(run), schema)
-    if groups > 1:
-        rows = rows.repartition("file", "part").sortWithinPartitions("file", "part").mapInArrow(lean(grouped), schema)
+    if slices > 1:
+        rows = rows.repartition("file", "part").sortWithinPartitions("file", "part").mapInArrow(lean(sliced), schema)
     rows.repartition("file").sortWithinPartitions("file").mapInArrow(lean(written), "file long").count()
     return path
 
@@ -458,7 +481,7 @@ class Vectors:
     """Rows of a model's files, mapped into memory where the shared folder is mounted, else read into it."""
 
     def __init__(self, path: str, plan: Layout):
-        self.plan, self.files = plan, {}
+        self.plan, self.files, self.mark, self.place = plan, {}, None, None
         self.system, self.folder = file_system(path)
         self.places = self.rows(np.array([plan.rows - 1]))[0, : 2 * DIMS].reshape(2, DIMS)
         outer = self.rows(_outer_rows(plan))
@@ -471,18 +494,18 @@ class Vectors:
         if self.system.get_file_info(name).type != pafs.FileType.File:
             return _start(self.plan, np.arange(k * FILE_ROWS, min((k + 1) * FILE_ROWS, self.plan.rows)))
         if isinstance(self.system, pafs.LocalFileSystem):
-            return np.load(name, mmap_mode="r")
+            return np.asarray(np.load(name, mmap_mode="r"))  # slices of a memmap itself are slow to make
         with self.system.open_input_stream(name, compression=None) as data:
             return np.load(io.BytesIO(data.read()))
 
     def rows(self, at: np.ndarray) -> np.ndarray:
+        """Rows in ascending order."""
         out = np.empty((len(at), 2 * DIMS + 1), dtype=np.float32)
-        of = at // FILE_ROWS
-        for k in np.unique(of).tolist():
+        for lo, hi in _runs(at // FILE_ROWS):
+            k = int(at[lo]) // FILE_ROWS
             if k not in self.files:
                 self.files[k] = self._file(k)
-            mine = of == k
-            out[mine] = self.files[k][at[mine] - k * FILE_ROWS]
+            np.take(self.files[k], at[lo:hi] - k * FILE_ROWS, axis=0, out=out[lo:hi], mode="clip")
         return out
 
     def block(self, first: int, last: int) -> np.ndarray:
@@ -501,45 +524,92 @@ class Vectors:
         plan = self.plan
         near, far = (np.concatenate(x) for x in zip(*(_contexts(t, 1) for t in texts), strict=True))
         words = np.concatenate(texts)
-        kinds, back = np.unique(np.concatenate([near, far]), return_inverse=True)
-        context = self.rows(kinds)[:, :DIMS]
+        kinds, place = self._kinds(words)
+        known = self.rows(kinds)
+        # the last number of a context is 1, which takes the bias
+        first, second = np.zeros((2, len(kinds), DIMS + 1), dtype=np.float32)
+        first[:, :DIMS], second[:, :DIMS] = known[:, :DIMS] * self.places[0], known[:, :DIMS] * self.places[1]
+        first[:, DIMS] = 1
+        target = np.ascontiguousarray(known[:, DIMS:])
         part = np.where(words < plan.heads, -1, (words - plan.heads) // plan.size)
-        of = part // plan.size
-        outer = np.where(part < 0, words, plan.heads + of)
         out = np.empty(len(words))
         order = np.argsort(part, kind="stable")
         for at in range(0, len(order), GROUP):
             group = order[at : at + GROUP]
-            predicted = np.ones((len(group), DIMS + 1), dtype=np.float32)  # the last one takes the bias
-            predicted[:, :DIMS] = context[back[group]] * self.places[0] + context[back[len(words) + group]] * self.places[1]
+            word, node = words[group], part[group]
+            predicted = first.take(place[near[group]], axis=0)
+            predicted += second.take(place[far[group]], axis=0)
+            outer = np.where(node < 0, word, plan.heads + node // plan.size)
+            made = np.empty(len(group))
             for lo in range(0, len(group), CONTEXTS):
-                some = group[lo : lo + CONTEXTS]
-                out[some] = _picked(predicted[lo : lo + CONTEXTS] @ self.outer, outer[some])
-            for node, first, end, mine in ((of, plan.words, plan.words + plan.parts, plan.words + part), (part, plan.heads, plan.words, words)):
-                cut = np.flatnonzero(np.diff(node[group])) + 1
-                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
-                    k = int(node[group[lo]])
-                    if k < 0:
-                        continue
-                    low = first + k * plan.size
-                    inner = self.block(low, min(low + plan.size, end))
-                    for a in range(lo, hi, CONTEXTS):
-                        b = min(a + CONTEXTS, hi)
-                        some = group[a:b]
-                        out[some] += _picked(predicted[a:b] @ inner[:, DIMS:].T, mine[some] - low)
+                made[lo : lo + CONTEXTS] = _picked(predicted[lo : lo + CONTEXTS] @ self.outer, outer[lo : lo + CONTEXTS])
+            later = int(np.searchsorted(node, 0))
+            if later < len(group):
+                made[later:] += self._inner(predicted[later:], target.take(place[word[later:]], axis=0), node[later:])
+            out[group] = made
         return np.split(out, np.cumsum([len(t) for t in texts])[:-1])
 
+    def _kinds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts and of their contexts, once and ascending, and the place of each word there."""
+        if self.mark is None:
+            self.mark, self.place = np.zeros(self.plan.words, dtype=bool), np.zeros(self.plan.words, dtype=np.int32)
+        self.mark[words] = True
+        self.mark[1] = True
+        kinds = np.flatnonzero(self.mark)
+        self.mark[kinds] = False
+        self.place[kinds] = np.arange(len(kinds))
+        return kinds, self.place
+
+    def _inner(self, predicted: np.ndarray, target: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The log-probabilities of parts in their classes and words in their parts, tokens by ascending part."""
+        plan = self.plan
+        of = part // plan.size
+        out = np.empty(len(part))
+        for lo, hi in _runs(of):
+            low = plan.words + int(of[lo]) * plan.size
+            inner = self.block(low, min(low + plan.size, plan.words + plan.parts))[:, DIMS:].T
+            for a in range(lo, hi, CONTEXTS):
+                b = min(a + CONTEXTS, hi)
+                out[a:b] = _picked(predicted[a:b] @ inner, plan.words + part[a:b] - low)
+        # parts are many and have few tokens each: what can be done for all of them at once is
+        total, ones = np.empty(len(part), dtype=np.float32), np.ones(plan.size, dtype=np.float32)
+        with np.errstate(over="ignore"):
+            for lo, hi in _runs(part):
+                low = plan.heads + int(part[lo]) * plan.size
+                inner = self.block(low, min(low + plan.size, plan.words))[:, DIMS:].T
+                for a in range(lo, hi, CONTEXTS):
+                    b = min(a + CONTEXTS, hi)
+                    scores_ = predicted[a:b] @ inner
+                    np.exp(scores_, out=scores_)
+                    np.matmul(scores_, ones[: scores_.shape[1]], out=total[a:b])
+        with np.errstate(divide="ignore"):
+            norm = np.log(total.astype(np.float64))
+        for k in np.flatnonzero(_beyond(total)).tolist():
+            low = plan.heads + int(part[k]) * plan.size
+            norm[k] = _log_sum(predicted[k : k + 1] @ self.block(low, min(low + plan.size, plan.words))[:, DIMS:].T)[0]
+        return out + np.einsum("ij,ij->i", predicted, target) - norm
+
+
+def _beyond(total: np.ndarray) -> np.ndarray:
+    """Sums out of the range of single precision."""
+    return (total < 1e-30) | (total > 1e30)
+
+
+def _log_sum(scores_: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row, whatever their range."""
+    top = scores_.max(axis=1).astype(np.float64)
+    return top + np.log(np.exp(scores_ - top[:, None]).sum(axis=1))
+
 
 def _picked(scores_: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of a place of each row."""
     own = scores_[np.arange(len(at)), at].astype(np.float64)
     with np.errstate(over="ignore"):
         total = (np.exp(scores_) @ np.ones(scores_.shape[1], scores_.dtype)).astype(np.float64)
-    far = np.flatnonzero((total < 1e-30) | (total > 1e30))  # out of the range of single precision
+    far = np.flatnonzero(_beyond(total))
     if len(far):
-        top = scores_[far].max(axis=1).astype(np.float64)
         total[far] = 1
-        own[far] -= top + np.log(np.exp(scores_[far] - top[:, None]).sum(axis=1))
+        own[far] -= _log_sum(scores_[far])
     return own - np.log(total)
 
 

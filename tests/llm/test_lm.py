@@ -120,3 +120,45 @@ def test_scores_do_not_depend_on_how_the_work_is_split(spark):
         rows = [r for r in lm.scores(docs.repartition(parts, "doc_id")).collect() if r["held_out"]]
         made.append(sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
     assert abs(made[0] - made[1]) < 0.01
+
+
+def test_scoring_does_no_work_of_its_own_for_each_part(tmp_path, monkeypatch):
+    plan = lm.layout({-1: [0] * 24 + [2000, 0, 0, 100], -2: [0] * 24 + [1500, 20]}, 50, 10)
+    draw = np.random.default_rng(3)
+    rows = draw.normal(size=(plan.rows, 2 * lm.DIMS + 1)).astype(np.float32)
+    rows[plan.heads + 5, lm.DIMS : -1] *= 100  # sums of exponentials out of the range of single precision
+    np.save(tmp_path / "0.npy", rows)
+    calls, picked = [], lm._picked
+    monkeypatch.setattr(lm, "_picked", lambda *a: calls.append(1) or picked(*a))
+    texts = [draw.integers(1, plan.words, 3000) for _ in range(3)] + [np.array([1])]
+    got = lm.Vectors(str(tmp_path), plan).log_probabilities(texts)
+    assert len(calls) < plan.parts
+    places = rows[-1, :-1].reshape(2, lm.DIMS).astype(float)
+    outer, vectors = lm._outer_rows(plan), rows.astype(float)
+
+    def log_share(predicted, members, one):
+        scores = vectors[members, lm.DIMS : -1] @ predicted + vectors[members, -1]
+        return scores[list(members).index(one)] - scores.max() - np.log(np.exp(scores - scores.max()).sum())
+
+    for text, made in zip(texts, got, strict=True):
+        padded = [1, 1, *text]
+        for k in [*range(0, len(text), 97), *np.flatnonzero((text - plan.heads) // plan.size == 0)[:20]]:
+            predicted = vectors[padded[k + 1], : lm.DIMS] * places[0] + vectors[padded[k], : lm.DIMS] * places[1]
+            part = (text[k] - plan.heads) // plan.size
+            of = part // plan.size
+            want = log_share(predicted, outer, text[k] if text[k] < plan.heads else plan.words + plan.parts + of)
+            if text[k] >= plan.heads:
+                want += log_share(predicted, np.arange(plan.words + of * plan.size, plan.words + min((of + 1) * plan.size, plan.parts)), plan.words + part)
+                want += log_share(predicted, np.arange(plan.heads + part * plan.size, min(plan.heads + (part + 1) * plan.size, plan.words)), text[k])
+            assert math.isclose(made[k], want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_slices_of_files_average_as_whole_files_do(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPY_TOKENS", 3000)
+    draw = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in draw.zipf(1.3, 250) % 4000)) for k in range(120)], "doc_id long, text string").repartition(12, "doc_id").cache()
+    made = []
+    for merged in (1000, 2):
+        monkeypatch.setattr(lm, "MERGED", merged)
+        made.append({r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.scores(docs).collect()})
+    assert max(abs(made[0][k] - made[1][k]) for k in made[0]) < 1e-3
